@@ -40,3 +40,11 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
 def held_out(doc_id, modulus: int, remainder: int):
     """Fold of a document: crc32 of its id as text; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def replace_text(changed: DataFrame, docs: DataFrame) -> DataFrame:
+    """(__doc struct of a row of ``docs``, __text) -> the columns of ``docs`` with the new text; n_chars follows it, if there is one."""
+    new = {"text": F.col("__text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("__text").cast(dict(docs.dtypes)["n_chars"])
+    return changed.select(*[new.get(c, F.col(f"__doc.`{c}`")).alias(c) for c in docs.columns])

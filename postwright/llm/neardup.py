@@ -80,25 +80,50 @@ def _verifier(size: int, percent: int):
     return run
 
 
-def _block_pairs(threshold: float):
-    """One pair of blocks of an unresolved bucket -> likely pairs across components, each in its first common band."""
+def _block_links(threshold: float, size: int, percent: int):
+    """One pair of blocks of an unresolved bucket -> links that join components, verified on full sets.
+
+    A pair is looked at in its first common band only, likeliest pairs first, and
+    not at all once its components are joined: what leaves a task is at most
+    one link for each of its sets.
+    """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
         t = table.to_pydict()
         regs = np.frombuffer(b"".join(t["regs"]), np.uint16).reshape(-1, sk.REGISTERS)
-        chunk, n, ids, comp = np.array(t["chunk"]), np.array(t["n_shingles"]), t["set_id"], np.array(t["component"], object)
+        chunk, n, ids, comp = np.array(t["chunk"]), np.array(t["n_shingles"]), t["set_id"], np.unique(t["component"], return_inverse=True)[1]
         bands = np.array(t["bands"], np.int64)
         where = int(np.flatnonzero(bands[0] == key[0].as_py())[0])
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        out_a, out_b = [], []
+        likely = []
         for x in left:
             ys = right[right > x] if i == j else right
             ys = ys[comp[ys] != comp[x]]
-            ys = ys[(np.minimum(n[ys], n[x]) >= threshold * np.maximum(n[ys], n[x]) - 1e-9) & ((bands[ys, :where] != bands[x, :where]).all(axis=1))]
+            ys = ys[(100 * np.minimum(n[ys], n[x]) >= percent * np.maximum(n[ys], n[x])) & ((bands[ys, :where] != bands[x, :where]).all(axis=1))]
             if len(ys):
                 est = sk.estimate((regs[x] > regs[ys]).sum(1), (regs[x] < regs[ys]).sum(1), n[x], n[ys])
-                for y in ys[est >= sk.margin(threshold)]:
+                likely += [(e, x, y) for e, y in zip(est, ys, strict=True) if e >= sk.margin(threshold)]
+        likely.sort(key=lambda p: -p[0])
+        parent, cache, sets = list(range(comp.max() + 1)), WordHashes(), {}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        def full(x: int) -> np.ndarray:
+            if x not in sets:
+                sets[x] = shingles(t["text"][x], size, cache)
+            return sets[x]
+
+        out_a, out_b = [], []
+        for _, x, y in likely:
+            p, q = root(comp[x]), root(comp[y])
+            if p != q:
+                both = len(np.intersect1d(full(x), full(y), assume_unique=True))
+                if 100 * both >= percent * (n[x] + n[y] - both):
+                    parent[p] = q
                     out_a.append(min(ids[x], ids[y]))
                     out_b.append(max(ids[x], ids[y]))
         return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
@@ -106,14 +131,18 @@ def _block_pairs(threshold: float):
     return run
 
 
+def _texts(set_ids: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """(set_id, text): one text for each of the set ids."""
+    keys = sets.select("set_id", "rep").join(set_ids.distinct(), "set_id").select("set_id", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_key").alias("text_key"))
+    # null doc_ids join too; rows repeated word for word give one text
+    texts = docs.join(keys, docs.doc_id.eqNullSafe(keys.doc_id) & (docs.text_key == keys.text_key)).select("set_id", "text")
+    return stage(texts.dropDuplicates(["set_id"]), "texts")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Distinct pairs of set ids (a, b) -> those linked, by their full texts."""
     pairs = stage(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b"))).distinct()
-    keys = sets.select("set_id", "rep").join(wanted, "set_id").select("set_id", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_key").alias("text_key"))
-    # null doc_ids join too; rows repeated word for word give one text
-    texts = docs.join(keys, docs.doc_id.eqNullSafe(keys.doc_id) & (docs.text_key == keys.text_key)).select("set_id", "text")
-    texts = stage(texts.dropDuplicates(["set_id"]), "texts")
+    texts = _texts(pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b"))), sets, docs)
     a = texts.select(F.col("set_id").alias("a"), F.col("text").alias("a_text"))
     b = texts.select(F.col("set_id").alias("b"), F.col("text").alias("b_text"))
     joined = pairs.join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text")
@@ -132,7 +161,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     of ROWS registers then bucket the distinct sets. Every set of a bucket is
     compared with the bucket's least set: a star, linear in the bucket. Buckets
     that still hold several components are compared across components in
-    blocks, by registers, so no link is lost and no group is expanded into pairs.
+    blocks, by registers and then by full sets, and only joining links leave a
+    block: no component is lost and no group is expanded into pairs.
     A pair at the threshold shares a band but for a chance of 3e-6.
     """
     threshold = percent / 100
@@ -164,9 +194,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         blocks = blocks.withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("n_chunks")).cast("int"))
         blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
         blocks = blocks.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "set_id", "component").distinct()
-        blocks = blocks.join(sets.select("set_id", "n_shingles", "regs", "bands"), "set_id")
-        more = blocks.groupBy("key", "i", "j").applyInArrow(_block_pairs(threshold), "a binary, b binary").distinct()
-        links = links.union(stage(_verified(more, sets, docs, shingle_words, percent), "links"))
+        blocks = blocks.join(sets.select("set_id", "n_shingles", "regs", "bands"), "set_id").join(_texts(rest.select("set_id"), sets, docs), "set_id")
+        more = blocks.groupBy("key", "i", "j").applyInArrow(_block_links(threshold, shingle_words, percent), "a binary, b binary")
+        links = links.union(stage(more, "links"))
         labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     named = sets.select("set_id", "rep").join(labels, sets.set_id == labels.node, "left").select("set_id", "rep", F.coalesce("component", "set_id").alias("component"))

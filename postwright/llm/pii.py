@@ -96,7 +96,11 @@ def _located(text: Column, pattern: str) -> Column:
 def base_spans(docs: DataFrame) -> DataFrame:
     """Adds a column per base kind: array<struct<start, end, value>> of ``text``."""
     text, none = F.coalesce("text", F.lit("")), F.array().cast(_SPANS)
-    return docs.withColumns({k: F.when(text.rlike(NEEDS[k]), F.filter(_located(text, PATTERNS[k]), lambda s, k=k: _valid(k, s["value"]))).otherwise(none) for k in KINDS})
+
+    def spans(kind: str) -> Column:
+        return F.when(text.rlike(NEEDS[kind]), F.filter(_located(text, PATTERNS[kind]), lambda s: _valid(kind, s["value"]))).otherwise(none)
+
+    return docs.withColumns({k: spans(k) for k in KINDS})
 
 
 def _shape(value: Column) -> Column:
@@ -168,8 +172,11 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; overlapping spans become one. n_chars follows the text, if there is one."""
     whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
     found, text = find(whole, ("__doc",)), F.coalesce("__doc.text", F.lit(""))
-    tagged = [F.transform(k, lambda s, k=k: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"<{k.upper()}>").alias("tag"))) for k in (*KINDS, DISCOVERED)]
-    found = found.withColumn("__spans", F.sort_array(F.concat(*tagged)))
+
+    def tagged(kind: str) -> Column:
+        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"<{kind.upper()}>").alias("tag")))
+
+    found = found.withColumn("__spans", F.sort_array(F.concat(*[tagged(k) for k in (*KINDS, DISCOVERED)])))
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def add(a: Column, s: Column) -> Column:
@@ -185,6 +192,10 @@ def redact(docs: DataFrame) -> DataFrame:
 
 def op7(spark, sf_dir: str) -> DataFrame:
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    names = lambda kinds: F.array_join(F.concat(*[F.transform(k, lambda s, k=k: F.concat_ws(":", F.lit(k), s["start"].cast("string"), s["end"].cast("string"))) for k in kinds]), ",")
+
+    def named(kind: str) -> Column:
+        return F.transform(kind, lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
+
+    names = lambda kinds: F.array_join(F.concat(*[named(k) for k in kinds]), ",")
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(names(KINDS), 256).alias("base_sha256"), names((*KINDS, DISCOVERED)).alias("spans"))

@@ -23,6 +23,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -31,41 +32,87 @@ END_ID = 1
 #: Tokens that one group holds before it is packed, and tokens of a step group.
 GROUP_TOKENS = 1 << 21
 STEP_TOKENS = 1 << 16
-#: Words whose ids a Python worker remembers, and the longest such word in bytes.
-CACHED_WORDS, CACHED_LENGTH = 400_000, 64
+#: Words whose ids a Python worker remembers in each of two generations, and the longest such word in bytes.
+CACHED_WORDS, CACHED_LENGTH = 300_000, 64
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_id long"
 
 
+class _Known(dict):
+    """key -> ids as little-endian uint32 bytes, computed on first sight; bounded: what one generation holds stays for the next."""
+
+    def __init__(self, compute, size: int) -> None:
+        super().__init__()
+        self.compute, self.size, self.old = compute, size, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(key) <= CACHED_LENGTH:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+def _byte_signs() -> list[str]:
+    """The printable sign of each byte in byte-level vocabularies."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(other)) for b in range(256)]
+
+
 class Encoder:
     """ids of whole texts as little-endian uint32 bytes.
 
     The vocabulary's pre-tokeniser removes white space and never looks across
-    it, so a text's ids are its words' ids in a row; words are encoded once.
-    Only ASCII white space splits here: the tokeniser itself sees the rest.
+    it, so a text's ids are its words' ids in a row. Words that only hold Latin
+    letters, digits and signs are normalised and split here, as the vocabulary's file
+    says, and their parts are encoded by its model; any other word goes
+    through the whole tokeniser. Words and parts are remembered, within a bound.
     """
 
+    #: Signs from ! to ~ and from U+00A1 to U+024F, which are in normal form and lose case one by one.
+    PLAIN = regex.compile("[!-~\u00a1-\u012f\u0131-\u0148\u014a-\u024f]*")
+    PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
     def __init__(self, tokenizer_path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.known: dict[bytes, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.signs, self.model = _byte_signs(), self.tokenizer.model
+        self.parts, self.words = _Known(self._part, CACHED_WORDS), _Known(self._word, CACHED_WORDS)
+
+    def _part(self, part: str) -> bytes:
+        found = self.model.tokenize(part if part.isascii() and part.isalpha() else "".join(map(self.signs.__getitem__, part.encode())))
+        return b"".join(t.id.to_bytes(4, "little") for t in found)
+
+    def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters alone are one part
+            return self.parts[word.lower().decode()]
+        if word[-1:] in (b".", b",") and word[:-1].isalpha():
+            return self.parts[word[:-1].lower().decode()] + self.parts[word[-1:].decode()]
+        text = word.decode("utf-8", "replace")
+        if self.PLAIN.fullmatch(text) and not any(t in text for t in self.special):
+            return b"".join(map(self.parts.__getitem__, self.PARTS.findall(text.lower())))
+        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        known = self.known
-        missing = list({w for words in split for w in words if w not in known})
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
-        for word, encoded in zip(missing, found, strict=True):
-            known[word] = b"".join(i.to_bytes(4, "little") for i in encoded.ids)
-        end = END_ID.to_bytes(4, "little")
-        out = [b"".join(map(known.__getitem__, words)) + end for words in split]
-        for word in missing:
-            if len(word) > CACHED_LENGTH:
-                del known[word]
-        return out
+        end, known = END_ID.to_bytes(4, "little"), self.words.__getitem__
+        return [b"".join(map(known, (t or "").encode("utf-8", "surrogatepass").split())) + end for t in texts]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(tokenizer_path: str) -> Encoder:
+    """The worker's encoder; it outlives a task, and so do the words that it knows."""
+    if tokenizer_path not in _ENCODERS:
+        _ENCODERS[tokenizer_path] = Encoder(tokenizer_path)
+    return _ENCODERS[tokenizer_path]
 
 
 class Pool:
@@ -147,7 +194,7 @@ def pack(lengths: list[tuple[int, int, int]], last: bool) -> tuple[list[tuple[in
 
 def _packer(tokenizer_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, base = Encoder(tokenizer_path), TaskContext.get().partitionId() << 32
+        encode, base = encoder(tokenizer_path), TaskContext.get().partitionId() << 32
         docs: dict[int, tuple[int | None, bytes]] = {}
         waiting: list[tuple[int, int, int]] = []
         sequence, number, tokens, steps = 0, 0, 0, dict.fromkeys(TIERS, 0)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from postwright.plans import date_queries, email_queries, label_queries, sync_queries, title_queries
+from postwright.plans import date_queries, email_queries, html_queries, label_queries, model_queries, sync_queries, title_queries
 
-_PARTS = (email_queries.R, date_queries.R, title_queries.R, sync_queries.R, label_queries.R)
+_PARTS = (email_queries.R, date_queries.R, title_queries.R, sync_queries.R, label_queries.R, html_queries.R, model_queries.R)
 
 
 def queries() -> dict:

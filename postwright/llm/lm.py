@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from postwright.llm.textset import words
 #: Words whose counts every task holds; other words' counts are joined.
 FREQUENT = 200_000
 #: Words counted in a task before they are sent on, tokens trained or scored at once, documents that start the network.
-COUNTED, CHUNK, START_DOCS = 300_000, 2_000_000, 1_500
+COUNTED, CHUNK, START_DOCS = 300_000, 8_000_000, 1_500
 START_RATE, RATE = 0.02, 0.01
 
 
@@ -71,7 +72,7 @@ def _encoder(frequent: list[tuple[bytes, int]], end_count: int, vocabulary: int)
             columns: list[list] = [[] for _ in range(10)]
             for doc_id, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 found = words(text)
-                at = np.fromiter((place.get(w, none) for w in found), np.int64, len(found))
+                at = np.fromiter(map(place.get, found, repeat(none)), np.int64, len(found))
                 ids, rare = symbols[at], [found[i] for i in np.flatnonzero(at == none)]
                 part = logs[at]
                 known = len(found) - len(rare) + (end_count > 0)
@@ -131,8 +132,15 @@ def score(docs: DataFrame, is_held_out) -> DataFrame:
     counts = stage(counts.groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word").isNull(), F.col("n"))).alias("docs")).first()
     train_tokens, types, end_count = total["n"] or 0, total["v"], total["docs"] or 0
-    top = counts.filter("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    frequent = [(bytes(r["word"]), r["n"]) for r in top]
+    # the least count that at most FREQUENT words reach, from how many words have each count: no task sends a top list
+    sizes, least, room = counts.filter("word IS NOT NULL").groupBy("n").agg(F.count("*").alias("words")), None, FREQUENT
+    for r in sizes.orderBy(F.desc("n")).limit(FREQUENT).collect():
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["n"]
+    top = counts.filter("word IS NOT NULL").filter(F.col("n") >= least).collect() if least is not None else []
+    frequent = sorted(((bytes(r["word"]), r["n"]) for r in top), key=lambda x: (-x[1], x[0]))
     vocabulary = min(len(frequent), gru.VOCABULARY - 2)
 
     encoded = docs.select("doc_id", "held_out", "text").mapInArrow(_encoder(frequent, end_count, vocabulary), _ENCODED)

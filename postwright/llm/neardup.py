@@ -214,7 +214,7 @@ def keep_first(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Da
     stays = stays.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
     keyed = docs.withColumn("__text_key", F.xxhash64("text"))
     kept = keyed.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__text_key"]).drop("__text_key").select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", "__text_key"]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -153,7 +153,9 @@ def score(docs: DataFrame, is_held_out) -> DataFrame:
     other_types = max(0, types - vocabulary - (end_count > 0))
     symbol_counts[gru.OTHER] = other_tokens
     training = encoded.filter(~F.col("held_out"))
-    first = training.orderBy(F.xxhash64("row"), "row").select("ids").limit(START_DOCS).collect()
+    # about START_DOCS rows by a hash, found where they are: no task sends more than its share
+    share = min(1.0, 1.2 * START_DOCS / max(1, end_count))
+    first = training.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(share * (1 << 30))).select("ids").limit(START_DOCS).collect()
     trainer = gru.Trainer(gru.start(symbol_counts), START_RATE)
     for _ in range(4 if first else 0):
         trainer.learn([np.frombuffer(r["ids"], np.uint16).astype(np.int32) for r in first])

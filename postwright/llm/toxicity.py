@@ -189,14 +189,14 @@ def _scorer(model: Model):
     return run
 
 
-def _filter(model: Model):
+def _filter(model: Model, text_at: int):
     """Whole rows -> the rows that are not predicted toxic; nothing is joined or shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.terms.keys()
         for batch in batches:
             keep = []
-            for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
+            for text in batch.column(text_at).to_pylist():
                 found = Counter(w for w in tokens(text) if w in known)
                 keep.append(score_terms(model, [(model.terms[w], c) for w, c in sorted(found.items())])[0] < THRESHOLD)
             yield batch.filter(pa.array(keep, pa.bool_()))
@@ -217,7 +217,10 @@ def fit(docs: DataFrame, labels: DataFrame, teach=None) -> tuple[Model, DataFram
         labels = labels.filter(teach)
     labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct()
-    sample = labels.join(known, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    labels = stage(labels.join(known, "doc_id", "left_semi").withColumn("order", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))), "tox-labelled")
+    # only rows that can be among the first are ordered, however many rows are labelled
+    share = min(1.0, (1.1 * MAX_LABELLED + 100) / max(1, labels.count()))
+    sample = labels.filter(F.col("order") <= int(share * (1 << 30))).orderBy("order", "doc_id").limit(MAX_LABELLED).drop("order")
     sample = stage(sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4))), "tox-labels")
     texts = stage(docs.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]), "tox-texts")  # bounded by MAX_LABELLED
     own = texts.filter("fold <> 0")
@@ -255,7 +258,9 @@ def score(docs: DataFrame, labels: DataFrame, teach=None) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, teach=None) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic; all columns."""
-    return docs.mapInArrow(_filter(fit(docs, labels, teach)[0]), docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots don't pass mapInArrow
+    kept = plain.mapInArrow(_filter(fit(docs, labels, teach)[0], docs.columns.index("text")), plain.schema)
+    return kept.toDF(*docs.columns)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

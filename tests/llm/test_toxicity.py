@@ -42,6 +42,13 @@ def test_labels_of_the_held_out_fold_teach_nothing(spark):
     assert sorted(a.select("doc_id", "score").collect()) == sorted(b.select("doc_id", "score").collect())
 
 
+def test_the_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(T, "MAX_LABELLED", 60)
+    rows, labels = corpus()
+    model, counted = T.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert 0 < len(model.ids) <= 60 and counted.count() == len(rows)
+
+
 def test_neighbours_are_exact():
     rng = np.random.default_rng(3)
     model = T.Model(terms={f"t{i}": i for i in range(40)}, idf=rng.random(40) + 1)

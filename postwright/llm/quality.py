@@ -114,7 +114,10 @@ def judge(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 def clean_lines(docs: DataFrame) -> DataFrame:
     """The documents kept, their failing lines removed; the columns of ``docs`` (n_chars follows the text, if there is one)."""
     whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
-    kept = judge(whole, ("__doc",)).filter("kept")
+    judged = judge(whole, ("__doc",))
+    # a verdict that isn't deterministic for the optimiser is not pushed below the columns that it is made of, to be computed anew there
+    judged = judged.withColumn("__stays", F.col("kept") & (F.monotonically_increasing_id() >= 0))
+    kept = judged.filter("__stays")
     return replace_text(kept.select("__doc", F.col("clean_text").alias("__text")), docs)
 
 

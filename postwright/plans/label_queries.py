@@ -125,6 +125,14 @@ def training_export(spark, sf_dir):
     return B.training_rows(rows)
 
 
+@R.add()
+def training_export_whole(spark, sf_dir):
+    """Every document with its whole text as the description; documents have no title, so it's blank."""
+    none = F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (1 + F.col("doc_id") % 21).alias("category_id"), none.alias("title_clean"), none.alias("title"), F.col("source").alias("original_category"), F.col("text").alias("description_clean"))
+    return B.training_rows(rows)
+
+
 @R.add("""WITH s AS (SELECT lang, CAST(round(count(*) * 0.1) AS BIGINT) AS n FROM documents GROUP BY lang),
 r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(concat_ws('|', doc_id, '42'))) AS r FROM documents) SELECT doc_id, lang, r <= n AS validation FROM r JOIN s USING (lang)""")
 def stratified_split(spark, sf_dir):

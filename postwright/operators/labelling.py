@@ -58,6 +58,15 @@ def toggle(labelled: DataFrame, ids: DataFrame) -> DataFrame:
     return marked.select(*[(F.col("verified") != F.coalesce("__flip", F.lit(False))).alias(c) if c == "verified" else F.col(c) for c in labelled.columns])
 
 
+def would_change(stored: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Every stored row: key, ``changed_*`` for each column of ``found`` (nulls are equal), and ``would_update``: whether any differs. Rows that ``found`` lacks don't change."""
+    columns = [c for c in found.columns if c != key]
+    new = found.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in columns])
+    joined = stored.join(new, stored[key] == F.col("__key"), "left")
+    differs = [(F.col("__key").isNotNull() & ~stored[c].eqNullSafe(F.col(f"__{c}"))).alias(f"changed_{c}") for c in columns]
+    return joined.select(stored[key], *differs).withColumn("would_update", F.greatest(*[F.col(f"changed_{c}") for c in columns], F.lit(False)))
+
+
 def stratified_split(rows: DataFrame, label: str, key: str, share: float, seed: str) -> DataFrame:
     """Adds ``validation``: that share of each class, rounded, by a seeded order."""
     sizes = rows.groupBy(label).agg(F.round(F.count("*") * share).cast("long").alias("__n"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postwright.operators import labelling as B
+from postwright.operators import process as W
 from postwright.operators import sync as S
+from postwright.plans import html_queries
 from postwright.plans.base import P, Registry, table
 from postwright.sources import dims
 from postwright.sources.postings import postings
@@ -117,6 +119,16 @@ def dry_run_diff(spark, sf_dir):
     return joined.filter(F.coalesce("toxic", F.lit(0)) != 1).select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
 
 
+@R.add()
+def dry_run_whole(spark, sf_dir):
+    """What re-evaluation would change in every stored posting, as the difference of stored and recomputed columns, without a write."""
+    rows = html_queries._marked(spark, sf_dir)
+    done = W.process(rows.withColumn("full", F.lit(1)), "source_job_id", html_queries._as_of())
+    stored = done.select("source_job_id", F.col("application_email").alias("email"), "expiry_date", "description_clean")
+    found = W.reevaluate(rows, "source_job_id", html_queries._as_of()).drop("status")
+    return B.would_change(stored, found, "source_job_id")
+
+
 @R.add("""SELECT coalesce(substring(text, 1, 20), '') AS title, coalesce(source, '') AS original_category, trim(regexp_replace('<p>' || coalesce(lang, '') || '</p>', '<[^>]*>', ' ', 'g')) AS description_plaintext, 1 + doc_id % 21 AS category_id
   FROM documents WHERE doc_id % 4 = 0""")
 def training_export(spark, sf_dir):

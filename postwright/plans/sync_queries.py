@@ -129,12 +129,12 @@ def normalise_backlog(spark, sf_dir):
     return rows.filter(F.col("title_clean").isNull() | F.col("description_clean").isNull()).select("source_job_id")
 
 
-def _snapshots(spark, sf_dir):
-    """An older state of the fact table, and the new rows: half of the keys overlap."""
+def _snapshots(spark, sf_dir, older="source_job_id % 2 = 0", newer="source_job_id % 3 = 0"):
+    """An older state of the fact table, and the new rows: some keys are in both."""
     rows = _payload(spark, sf_dir).select("source_db", "source_job_id", "site_id", "external_id", "title", "category")
-    old = S.last_per_key(rows.filter("source_job_id % 2 = 0"), S.CONFLICT_KEY, "source_job_id")
+    old = S.last_per_key(rows.filter(older), S.CONFLICT_KEY, "source_job_id")
     old = old.withColumns({"title": F.concat(F.lit("old "), F.col("title")), "email": F.lit("kept@x.example"), "external_id": F.when(F.col("source_job_id") % 10 == 0, F.concat(F.col("external_id"), F.lit("-moved"))).otherwise(F.col("external_id"))})
-    new = rows.filter("source_job_id % 3 = 0").withColumn("category", F.when(F.col("source_job_id") % 9 != 0, F.col("category")))
+    new = rows.filter(newer).withColumn("category", F.when(F.col("source_job_id") % 9 != 0, F.col("category")))
     return old, new
 
 
@@ -154,6 +154,13 @@ def sync_upsert(spark, sf_dir):
     return S.upsert(old.select("source_db", "source_job_id", "site_id", "external_id", "title", "category", "email"), new)
 
 
+@R.add()
+def sync_upsert_whole(spark, sf_dir):
+    """The upsert over old and new states that together hold every key."""
+    old, new = _snapshots(spark, sf_dir, "source_job_id % 3 <> 1", "source_job_id % 2 = 1 OR source_job_id % 3 = 1")
+    return S.upsert(old.select("source_db", "source_job_id", "site_id", "external_id", "title", "category", "email"), new)
+
+
 @R.add("""WITH l AS (SELECT event_id % 500 AS job_id, CASE WHEN event_id % 3 = 0 THEN 'ai' ELSE 'other' END AS destination, ts AS dt FROM events)
 SELECT job_id, destination, max(dt) AS dt FROM l GROUP BY 1, 2""")
 def sync_ledger(spark, sf_dir):

@@ -3,7 +3,9 @@
 import re
 
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
+from postwright.operators import labelling as B
 from postwright.plans import catalogue
 from tests.conftest import SF
 
@@ -17,3 +19,51 @@ def test_export_holds_every_whole_text(spark):
     plain = lambda text: re.sub("<[^>]*>", " ", text or "").strip(" ")
     want = sorted(("", r["source"] or "", plain(r["text"]), 1 + r["doc_id"] % 21) for r in rows_of("documents", "doc_id", "source", "text"))
     assert got == want
+
+
+def test_dry_run_compares_every_row(spark):
+    from postwright.operators import process as W
+    from postwright.plans import html_queries as H
+
+    got = {r["source_job_id"]: r for r in catalogue.queries()["dry_run_whole"](spark, SF).collect()}
+    rows = H._marked(spark, SF).withColumn("full", F.lit(1))
+    done = {r["source_job_id"]: r for r in W.process(rows, "source_job_id", H._as_of()).collect()}
+    again = {r["source_job_id"]: r for r in W.reevaluate(rows, "source_job_id", H._as_of()).collect()}
+    assert set(got) == set(done) == {r["o_orderkey"] for r in rows_of("orders", "o_orderkey")}
+    for k, r in got.items():
+        a, b = done[k], again[k]
+        want = (a["application_email"] != b["email"], a["expiry_date"] != b["expiry_date"], a["description_clean"] != b["description_clean"])
+        assert (r["changed_email"], r["changed_expiry_date"], r["changed_description_clean"], r["would_update"]) == (*want, any(want))
+    assert {r["would_update"] for r in got.values()} == {True, False}
+
+
+def test_would_change_with_nulls(spark):
+    stored = spark.createDataFrame([(1, "a", None), (2, None, None), (3, None, "x"), (4, "kept", None)], "k int, email string, expiry_date string")
+    found = spark.createDataFrame([(1, "a", None), (2, "b", None), (3, None, None)], "k int, email string, expiry_date string")
+    got = sorted(tuple(r) for r in B.would_change(stored, found, "k").collect())
+    assert got == [(1, False, False, False), (2, True, False, True), (3, False, True, True), (4, False, False, False)]
+
+
+def test_upsert_reads_every_key(spark):
+    from postwright.plans.sync_queries import _payload
+
+    columns = ("source_db", "source_job_id", "site_id", "external_id", "title", "category")
+    rows = sorted((r.asDict() for r in _payload(spark, SF).select(*columns).collect()), key=lambda r: r["source_job_id"])
+    conflict = lambda r: (r["source_db"], r["site_id"], r["external_id"])
+    old, new, seen = {}, {}, set()
+    for r in rows:
+        k = r["source_job_id"]
+        if k % 3 != 1:
+            seen.add(k)
+            old[conflict(r)] = r | {"title": "old " + r["title"], "external_id": r["external_id"] + ("-moved" if k % 10 == 0 else ""), "email": "kept@x.example"}
+        if k % 2 == 1 or k % 3 == 1:
+            seen.add(k)
+            new[conflict(r)] = r | {"category": r["category"] if k % 9 else None}
+    assert seen == {r["o_orderkey"] for r in rows_of("orders", "o_orderkey")}
+    at = {(r["source_db"], r["source_job_id"]): conflict(r) for r in new.values()}
+    stay = {conflict(r): r for r in old.values() if at.get((r["source_db"], r["source_job_id"]), conflict(r)) == conflict(r)}
+    want = [stay.get(c, {"email": None}) | n | {"category": n["category"] or stay.get(c, {}).get("category")} for c, n in new.items()]
+    want += [r for c, r in stay.items() if c not in new]
+    got = catalogue.queries()["sync_upsert_whole"](spark, SF).collect()
+    line = lambda r: tuple(r[c] for c in (*columns, "email"))
+    assert sorted(map(repr, map(line, got))) == sorted(map(repr, map(line, want)))

@@ -6,10 +6,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postwright.functions import email as E
+from postwright.functions import language as L
 from postwright.html.blocks import ARTEFACTS
 from postwright.html.udf import parsed
+from postwright.operators import categorise as C
+from postwright.operators import labelling as B
+from postwright.operators import language_model as LM
 from postwright.operators import process as W
 from postwright.plans.base import P, Registry, table
+from postwright.sources.dims import CATEGORIES, SOURCE_LABELS
 from postwright.sources.postings import postings
 
 R = Registry()
@@ -77,10 +82,38 @@ def hl_spans(spark, sf_dir):
     return rows.select("source_job_id", F.size("p.hl_dates").cast("long").alias("n_dates"), F.size("p.hl_emails").cast("long").alias("n_emails"))
 
 
+def _untagged(text):
+    return F.regexp_replace(text, "<[^>]*>", " ")
+
+
+def _languages(spark, sf_dir, rows):
+    """source_job_id, lang of every row: detected by the model of documents, and resolved; null where nothing is allowed."""
+    blob = L.text_blob(F.col("title"), _untagged(F.col("description")))
+    found = LM.detect(rows, "source_job_id", blob, LM.fit(table(spark, sf_dir, "documents"))).withColumnRenamed("lang", "detected")
+    none = F.lit(None).cast("string")
+    return rows.select("source_job_id").join(found, "source_job_id", "left").select("source_job_id", L.resolve(F.col("detected"), none, none).alias("lang"))
+
+
+def _categoriser(spark, rows):
+    """Rows (source_job_id, title, text) -> (source_job_id, category), by a model of all rows whose source label the mapping knows."""
+    mapping = spark.createDataFrame([(x, i + 3) for i, x in enumerate(SOURCE_LABELS)], "original_category string, category_id int")
+    known = B.map_categories(rows.withColumnRenamed("original_category", "category"), mapping, "inner")
+    text = C.model_input(F.col("title"), _untagged(F.col("description")))
+    model = C.fit(known.select(text.alias("input"), (F.col("category_id") - 1).cast("double").alias("label")))
+    titles = F.array(*[F.lit(t) for t in CATEGORIES])
+
+    def run(posts):
+        found = C.predict(model, posts.select("source_job_id", C.model_input(F.col("title"), F.col("text")).alias("input")), ["source_job_id"])
+        category = F.struct(F.col("category_id").cast("long").alias("id"), F.try_element_at(titles, F.col("category_id").cast("int")).alias("title"), F.col("confidence").cast("double").alias("confidence"))
+        return found.select("source_job_id", category.alias("category"))
+
+    return run
+
+
 @R.add()
 def process_full(spark, sf_dir):
     rows = _marked(spark, sf_dir).withColumn("full", F.lit(1))
-    return W.process(rows, "source_job_id", _as_of())
+    return W.process(rows, "source_job_id", _as_of(), _languages(spark, sf_dir, rows), _categoriser(spark, rows))
 
 
 @R.add()

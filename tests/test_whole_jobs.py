@@ -67,3 +67,26 @@ def test_upsert_reads_every_key(spark):
     got = catalogue.queries()["sync_upsert_whole"](spark, SF).collect()
     line = lambda r: tuple(r[c] for c in (*columns, "email"))
     assert sorted(map(repr, map(line, got))) == sorted(map(repr, map(line, want)))
+
+
+def test_full_processing_detects_and_categorises_every_row(spark):
+    got = catalogue.queries()["process_full"](spark, SF).collect()
+    assert {r["source_job_id"] for r in got} == {r["o_orderkey"] for r in rows_of("orders", "o_orderkey")} and len(got) == len({r["source_job_id"] for r in got})
+    local = [r for r in got if r["language_code"] in ("en", "fr")]
+    assert local and len(local) < len(got) and {"en", "fr"} <= {r["language_code"] for r in local}
+    assert all(r["category"]["id"] and r["category"]["title"] and 0 < r["category"]["confidence"] <= 1 for r in local)
+    assert all(r["category"]["title"] and r["category"]["confidence"] is None and r["application_email"] is None and r["expiry_date"] is None for r in got if r not in local)
+
+
+def test_full_processing_passes_other_languages_through(spark):
+    from postwright.operators import process as W
+    from postwright.plans import html_queries as H
+
+    texts = {r["lang"]: r["text"] for r in rows_of("documents", "text", "lang") if len(r["text"] or "") > 400}
+    body = "<p>{}</p><p>Apply to jane@acme.example</p>"
+    rows = spark.createDataFrame([(i, "Koch - Vollzeit", body.format(t), "2-high", 1) for i, t in enumerate(texts.values())], "source_job_id long, title string, description string, original_category string, full int")
+    posted = H._marked(spark, SF)
+    got = {r["source_job_id"]: r for r in W.process(rows, "source_job_id", H._as_of(), H._languages(spark, SF, rows), H._categoriser(spark, posted)).collect()}
+    assert [got[i]["language_code"] for i in range(len(texts))] == list(texts) and {"en", "fr", "de", "es"} <= set(texts)
+    for i, lang in enumerate(texts):
+        assert (got[i]["application_email"] is None) == (lang in ("de", "es")) == (got[i]["category"]["id"] is None)

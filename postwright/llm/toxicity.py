@@ -1,15 +1,23 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted lists.
-
-The vocabulary is learnt from labelled rows: words that are significantly more
-frequent in toxic examples and mostly found there. Document frequencies are
-counted over all documents. Examples are stored as an inverted index in blocks,
-each term of a block with its largest weight; a query visits blocks in the
-order of their bounds and stops when no bound reaches its k-th similarity, so its
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine, over all words and over telling words.
+
+All sampled labelled examples, clean ones too, are indexed with the TF-IDF
+weights of all their words; every text is compared with every one of them, and its
+nearest examples vote by a high power of similarity, so that copies and close
+variants of an example take over its label whatever words they hold.
+
+A second vote sees only telling words, those that are significantly more frequent
+in toxic examples and mostly found there, so that one insult in a long text
+still counts. These examples are stored as an inverted index in blocks, each
+term of a block with its largest weight; a query visits blocks in the order of
+their bounds and stops when no bound reaches its k-th similarity, so its
 neighbours are exact. Their votes, weighted by similarity, are calibrated on a
-fold of labelled rows that chose neither words nor examples.
+fold of labelled rows that chose neither words nor examples. The score is the
+greater of both votes, the evidence the nearest over all words. Document
+frequencies are counted over all documents.
 
-Defined results: a null or empty text, or one without a known word, has no
-neighbour and the prior of such texts as its score. Rows are scored one by one,
+Defined results: a null or empty text has no neighbour; a text without a telling
+word has the prior of such texts as its second vote. A word that no example holds
+weighs as much as one of a single document. Rows are scored one by one,
 repeated rows alike; a document labelled twice counts as toxic if one label says
 so; null labels and ids teach nothing. Without labels all scores are 0. An empty table
 gives an empty table; extra columns are ignored.
@@ -19,12 +27,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +43,8 @@ MAX_LABELLED = 20_000
 #: A word's least toxic examples, least share of toxic ones among its examples, and least likelihood ratio (G2).
 MIN_TOXIC, MIN_SHARE, MIN_G2 = 3, 0.6, 12.0
 NEIGHBOURS, BLOCK, ALPHA = 15, 64, 1.0
+#: Over all words: words kept as dense rows, texts compared at once, and the power of similarity that a vote counts.
+HEAD, AT_ONCE, POWER = 256, 64, 8
 THRESHOLD = 0.3
 _TOKEN = re.compile(r"\w+")
 
@@ -43,6 +53,22 @@ def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall(text.lower()) if text else []
 
 
+@dataclass
+class Whole:
+    """All words of all sampled examples: the words of most examples as dense rows, lists of (example, weight) for the others."""
+
+    words: np.ndarray
+    idf: np.ndarray
+    unknown: float
+    head_of: np.ndarray
+    head: np.ndarray
+    start: np.ndarray
+    rows: np.ndarray
+    weights: np.ndarray
+    ids: np.ndarray
+    labels: np.ndarray
+
+
 @dataclass
 class Model:
     """Everything that scoring needs; bounded by MAX_LABELLED."""
@@ -57,6 +83,9 @@ class Model:
     prior: float = 0.0
     raw: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     calibrated: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
+    hashes: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    term_of: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    whole: Whole | None = None
 
 
 def select_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> list[str]:
@@ -147,20 +176,107 @@ def calibrate(model: Model, raw: np.ndarray, labels: np.ndarray) -> None:
     model.raw, model.calibrated = np.array(xs), np.maximum.accumulate(np.array(ys))
 
 
-def _counter(terms: dict[str, int]):
-    """Texts -> their known words as term numbers and counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = terms.keys()
-        for batch in batches:
-            maps = []
-            for text in batch.column("text").to_pylist():
-                found = Counter(w for w in tokens(text) if w in known)
-                maps.append([{"term": terms[w], "count": c} for w, c in sorted(found.items())])
-            kind = pa.list_(pa.struct([("term", pa.int32()), ("count", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(maps, kind)], names=["doc_id", "terms"])
-
-    return run
+def build_whole(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, words: np.ndarray, counts: np.ndarray, known: np.ndarray, df: np.ndarray, n: int) -> Whole:
+    """Examples, to be numbered in the order of their ids; the ``sizes`` words of each, with counts, stand one after another in ``words``. ``known``: all of them, sorted, with ``df``."""
+    idf = np.log((1 + n) / (1 + df)) + 1
+    word = np.empty(len(words), np.int32)  # narrow types and chunks: the driver is small
+    for i in range(0, len(words), 1 << 20):
+        word[i : i + (1 << 20)] = np.searchsorted(known, words[i : i + (1 << 20)])
+    w = (1 + np.log(counts.astype(np.float32))) * idf.astype(np.float32)[word]
+    norms = np.sqrt(np.add.reduceat(np.square(w), (np.cumsum(sizes) - sizes)[sizes > 0], dtype=np.float64))
+    w /= np.repeat(norms.astype(np.float32), sizes[sizes > 0])
+    order = np.argsort(ids, kind="stable")
+    ids, labels, number = ids[order], labels[order], np.argsort(order).astype(np.int32)
+    example = np.repeat(number, sizes)
+    top = np.argsort(-np.bincount(word, minlength=len(known)), kind="stable")[:HEAD]
+    head_of = np.full(len(known), -1, np.int32)
+    head_of[top] = np.arange(len(top))
+    dense = head_of[word] >= 0
+    head = np.zeros((len(top), len(ids)), np.float32)
+    head[head_of[word[dense]], example[dense]] = w[dense]
+    word, example, w = word[~dense], example[~dense], w[~dense]
+    order = np.argsort(word, kind="stable")
+    start = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(known)))])
+    return Whole(known, idf, math.log((1 + n) / 2) + 1, head_of, head, start, example[order], w[order], ids, labels)
+
+
+def nearest_whole(whole: Whole, bags: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per bag (distinct word hashes, their counts): the k examples of greatest cosine and their similarities, all examples compared; ties to the smaller number."""
+    out, size = [], len(whole.ids)
+    behind, k = np.arange(size - 1, -1, -1), min(k, size)
+    for at in range(0, len(bags), AT_ONCE):
+        part = bags[at : at + AT_ONCE]
+        heads, tails = np.zeros((len(part), len(whole.head))), []
+        for i, (own, counts) in enumerate(part):
+            place = np.minimum(np.searchsorted(whole.words, own), len(whole.words) - 1)
+            hit = whole.words[place] == own
+            w = (1 + np.log(counts)) * np.where(hit, whole.idf[place], whole.unknown)
+            w = (w / (np.sqrt((w * w).sum()) or 1.0))[hit]
+            place = place[hit]
+            dense = whole.head_of[place] >= 0
+            heads[i, whole.head_of[place[dense]]] = w[dense]
+            first, n = whole.start[place[~dense]], whole.start[place[~dense] + 1] - whole.start[place[~dense]]
+            lists = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            tails.append(np.bincount(whole.rows[lists], np.repeat(w[~dense], n) * whole.weights[lists], size))
+        rough = heads.astype(np.float32) @ whole.head
+        for i, tail in enumerate(tails):
+            order = np.rint((rough[i] + tail) * 1e5).astype(np.int64) * size + behind
+            best = np.argpartition(order, size - k)[size - k :]
+            best = best[np.argsort(-order[best])]
+            sims = np.minimum(1.0, np.round(tail[best] + whole.head[:, best].T.astype(float) @ heads[i], 6))
+            out.append((best[sims > 0], sims[sims > 0]))
+    return out
+
+
+def whole_votes(whole: Whole | None, bags: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[tuple[int, float]]]]:
+    """Per bag: the vote of its nearest examples against one of a clean example at similarity 1, and the nearest as (id, similarity)."""
+    if whole is None:
+        return [(0.0, [])] * len(bags)
+    out = []
+    for best, sims in nearest_whole(whole, bags):
+        s = sims**POWER
+        out.append((float(s @ whole.labels[best] / (s.sum() + 1)), [(int(whole.ids[i]), float(x)) for i, x in zip(best[:3], sims[:3], strict=True)]))
+    return out
+
+
+def _hashes(text: str):
+    """All words of a text, hashed."""
+    return F.coalesce(F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0)), lambda w: F.xxhash64(w)), F.array().cast("array<bigint>"))
+
+
+def _lists(column) -> list[np.ndarray]:
+    """A column of lists of hashes as arrays."""
+    values, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False))
+    return np.split(values, ends[:-1]) if len(ends) else []
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word hashes -> distinct ones and their counts."""
+    for batch in batches:
+        found = [np.unique(x, return_counts=True) for x in _lists(batch.column("hashes"))]
+        words, counts = pa.array([w for w, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], words, counts], names=["doc_id", "toxic", "fold", "words", "counts"])
+
+
+def _examples(docs: DataFrame, texts: DataFrame) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """(doc_id, toxic, fold, words, counts) of ``texts`` (bounded by MAX_LABELLED); all their words, sorted, with frequencies over all of ``docs``."""
+    hashed = texts.select("doc_id", (F.col("toxic") == 1).cast("int").alias("toxic"), "fold", _hashes("text").alias("hashes"))
+    bags = stage(hashed.mapInArrow(_bags, "doc_id long, toxic int, fold long, words array<long>, counts array<int>"), "tox-bags")
+    known = bags.select(F.explode("words").alias("word")).distinct()
+    every = docs.select(F.explode(F.array_distinct(_hashes("text"))).alias("word")).join(F.broadcast(known), "word", "left_semi")
+    counted = every.groupBy("word").agg(F.count("*").alias("df")).toArrow()
+    words, df = counted["word"].to_numpy(), counted["df"].to_numpy()
+    order = np.argsort(words)
+    return bags.toArrow(), words[order], df[order]
+
+
+def telling(model: Model, words: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
+    """Distinct word hashes and their counts -> the telling words among them as term numbers and counts."""
+    if not len(model.hashes) or not len(words):
+        return []
+    place = np.minimum(np.searchsorted(model.hashes, words), len(model.hashes) - 1)
+    hit = model.hashes[place] == words
+    return sorted(zip(model.term_of[place[hit]].tolist(), counts[hit].tolist(), strict=True))
 
 
 def score_terms(model: Model, pairs: list[tuple[int, int]]) -> tuple[float, list[tuple[int, float]]]:
@@ -173,39 +289,42 @@ def score_terms(model: Model, pairs: list[tuple[int, int]]) -> tuple[float, list
     return min(1.0, max(0.0, value)), [(int(model.ids[i]), s) for s, i in best[:3]]
 
 
+def _scores(model: Model, hashes: list[np.ndarray]) -> list[tuple[float, list[tuple[int, float]]]]:
+    """Score and evidence of each text, given as the hashes of its words."""
+    bags, out, seen = [np.unique(x, return_counts=True) for x in hashes], [], {}
+    for bag, (whole, near) in zip(bags, whole_votes(model.whole, bags), strict=True):
+        key = tuple(telling(model, *bag))
+        if key not in seen:
+            seen[key] = score_terms(model, list(key))[0]
+        out.append((max(seen[key], whole), near))
+    return out
+
+
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores, evidence, seen = [], [], {}
-            for found in batch.column("terms").to_pylist():
-                key = tuple((t["term"], t["count"]) for t in found)
-                if key not in seen:
-                    seen[key] = score_terms(model, list(key))
-                scores.append(seen[key][0])
-                evidence.append([{"doc_id": d, "similarity": s} for d, s in seen[key][1]])
+            found = _scores(model, _lists(batch.column("hashes")))
+            evidence = [[{"doc_id": d, "similarity": s} for d, s in near] for _, near in found]
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x for x, _ in found], pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
 
     return run
 
 
-def _filter(model: Model, text_at: int):
-    """Whole rows -> the rows that are not predicted toxic; nothing is joined or shuffled."""
+def _filter(model: Model):
+    """Whole rows and the hashes of their words as the last column -> the rows that are not predicted toxic; nothing is joined or shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = model.terms.keys()
         for batch in batches:
-            keep = []
-            for text in batch.column(text_at).to_pylist():
-                found = Counter(w for w in tokens(text) if w in known)
-                keep.append(score_terms(model, [(model.terms[w], c) for w, c in sorted(found.items())])[0] < THRESHOLD)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            last = batch.num_columns - 1
+            found = _scores(model, _lists(batch.column(last)))
+            yield batch.select(range(last)).filter(pa.array([x < THRESHOLD for x, _ in found], pa.bool_()))
 
     return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, teach=None) -> tuple[Model, DataFrame]:
-    """The fitted model, and (doc_id, terms) of every row of ``docs``.
+    """The fitted model, and doc_id and text of every row of ``docs``.
 
     ``labels``: doc_id, toxic. ``teach``: which doc_ids may teach (a condition on
     doc_id). At most MAX_LABELLED labelled rows do, a quarter of them for the
@@ -228,38 +347,50 @@ def fit(docs: DataFrame, labels: DataFrame, teach=None) -> tuple[Model, DataFram
     sizes = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sum(n for t, n in sizes.items() if t != 1)
     per_term = words.groupBy("term").agg(F.sum((F.col("toxic") == 1).cast("int")).alias("a"), F.sum((F.col("toxic") != 1).cast("int")).alias("b"))
-    rows = per_term.filter((F.col("a") >= MIN_TOXIC) & (F.col("a") >= MIN_SHARE * (F.col("a") + F.col("b")))).collect()  # bounded by the sample
+    rows = per_term.filter((F.col("a") >= MIN_TOXIC) & (F.col("a") >= MIN_SHARE * (F.col("a") + F.col("b")))).withColumn("hash", F.xxhash64("term")).collect()  # bounded by the sample
     model = Model(prior=toxic / max(1, toxic + clean))
     model.terms = {t: i for i, t in enumerate(select_terms([(r["term"], r["a"], r["b"]) for r in rows], toxic, clean))}
 
-    counted = stage(docs.mapInArrow(_counter(model.terms), "doc_id long, terms array<struct<term:int,count:int>>"), "tox-terms")
-    n = counted.count()
-    df = {r["term"]: r["df"] for r in counted.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()}
-    model.idf = np.log((1 + n) / (1 + np.array([df.get(i, 0) for i in range(len(model.terms))], float))) + 1
+    hashes = {r["term"]: r["hash"] for r in rows}
+    by_hash = sorted((hashes[t], i) for t, i in model.terms.items())
+    model.hashes, model.term_of = np.array([h for h, _ in by_hash], np.int64), np.array([i for _, i in by_hash], np.int64)
+    n = docs.count()
+    found, known, df = _examples(docs, texts)
+    model.idf = np.zeros(len(model.terms))
+    model.idf[model.term_of] = np.log((1 + n) / (1 + df[np.searchsorted(known, model.hashes)])) + 1
     examples, probes = [], []
-    for r in counted.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).collect():  # bounded by MAX_LABELLED
-        pairs, label = [tuple(t) for t in r["terms"]], int(r["toxic"] == 1)
-        if r["fold"] == 0:
+    words, counts = (pa.compute.list_flatten(found[c]).to_numpy() for c in ("words", "counts"))
+    sizes = pa.compute.list_value_length(found["words"]).to_numpy()
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    found = found.select(["doc_id", "toxic", "fold"])
+    for i, (doc, label, fold) in enumerate(zip(found["doc_id"].to_pylist(), found["toxic"].to_pylist(), found["fold"].to_pylist(), strict=True)):
+        pairs = telling(model, words[offsets[i] : offsets[i + 1]], counts[offsets[i] : offsets[i + 1]])
+        if fold == 0:
             probes.append((pairs, label))
         elif pairs:
-            examples.append((r["doc_id"], label, pairs))
+            examples.append((doc, label, pairs))
     if examples:
         build_index(model, examples)
         raw = np.array([vote(model, nearest(model, *vector(model, p))) if p else 0.0 for p, _ in probes])
         calibrate(model, raw, np.array([y for _, y in probes], float))
-    return model, counted
+    if len(words):
+        model.whole = build_whole(found["doc_id"].to_numpy(), found["toxic"].to_numpy().astype(float), sizes, words, counts, known, df, n)
+    del words, counts
+    pa.default_memory_pool().release_unused()
+    return model, docs
 
 
 def score(docs: DataFrame, labels: DataFrame, teach=None) -> DataFrame:
     """doc_id, score, evidence (the nearest examples) of every row of ``docs``."""
-    model, counted = fit(docs, labels, teach)
-    return counted.mapInArrow(_scorer(model), "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double>>")
+    model, _ = fit(docs, labels, teach)
+    return docs.select("doc_id", _hashes("text").alias("hashes")).mapInArrow(_scorer(model), "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double>>")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, teach=None) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic; all columns."""
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots don't pass mapInArrow
-    kept = plain.mapInArrow(_filter(fit(docs, labels, teach)[0], docs.columns.index("text")), plain.schema)
+    at = docs.columns.index("text")
+    kept = plain.select("*", _hashes(f"c{at}").alias("hashes")).mapInArrow(_filter(fit(docs, labels, teach)[0]), plain.schema)
     return kept.toDF(*docs.columns)
 
 

@@ -78,3 +78,33 @@ def test_filter_and_edge_cases(spark):
     assert T.score(no_documents(spark), labels).count() == 0
     extra = documents(spark)
     assert T.without_toxic(extra, none).columns == extra.columns and T.without_toxic(extra, none).count() == extra.count()
+
+
+def test_copies_of_examples_without_a_telling_word(spark):
+    rows, labels = corpus()
+    odd, clean = prose(7001, 80), prose(7002, 80)
+    rows += [(2000, odd), (2001, odd), (2002, odd + " end"), (2004, clean), (2005, clean), (2007, None)]
+    labels += [(2000, 1), (2004, 0)]
+    found = {r["doc_id"]: r for r in T.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert not set(T.tokens(odd)) & set(BAD)
+    assert all(found[i]["score"] >= T.THRESHOLD and found[i]["evidence"][0]["doc_id"] == 2000 for i in (2000, 2001, 2002))
+    assert found[2001]["evidence"][0]["similarity"] == 1 and found[2001]["score"] == found[2000]["score"]
+    assert found[2005]["score"] < T.THRESHOLD and found[2005]["evidence"][0] == (2004, 1.0) and found[2007]["evidence"] == []
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in T.without_toxic(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert not kept & {2000, 2001, 2002} and {2004, 2005, 2007} <= kept
+
+
+def test_neighbours_over_all_words_are_exact(monkeypatch):
+    monkeypatch.setattr(T, "HEAD", 8)
+    rng = np.random.default_rng(5)
+    bags = [np.minimum(rng.zipf(1.3, 40), 500).astype(np.int64) * 7919 for _ in range(300)]
+    own = [np.unique(b, return_counts=True) for b in bags]
+    df = {int(w): int(sum(w in x for x, _ in own)) for w in np.unique(np.concatenate([x for x, _ in own]))}
+    whole = T.build_whole(np.arange(300), np.zeros(300), np.array([len(x) for x, _ in own]), np.concatenate([x for x, _ in own]), np.concatenate([c for _, c in own]), np.array(sorted(df)), np.array([df[w] for w in sorted(df)]), 300)
+    full = np.zeros((300, 501))
+    for i, (x, c) in enumerate(own):
+        full[i, x // 7919] = (1 + np.log(c)) * (np.log(301 / (1 + np.array([df[int(w)] for w in x]))) + 1)
+    full /= np.linalg.norm(full, axis=1, keepdims=True)
+    for i, (best, sims) in enumerate(T.nearest_whole(whole, own)):
+        assert np.allclose(sims, np.sort(full @ full[i])[::-1][: T.NEIGHBOURS], atol=2e-5) and np.allclose(full[best] @ full[i], sims, atol=2e-6)

@@ -1,6 +1,8 @@
 """Queries that do the whole job, against brute force over the same tables."""
 
+import math
 import re
+from collections import Counter
 
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
@@ -90,3 +92,13 @@ def test_full_processing_passes_other_languages_through(spark):
     assert [got[i]["language_code"] for i in range(len(texts))] == list(texts) and {"en", "fr", "de", "es"} <= set(texts)
     for i, lang in enumerate(texts):
         assert (got[i]["application_email"] is None) == (lang in ("de", "es")) == (got[i]["category"]["id"] is None)
+
+
+def test_term_statistics_count_all_documents_and_pairs(spark):
+    count, docs = Counter(), rows_of("documents", "text")
+    for r in docs:
+        words = re.findall(r"\w\w+", " ".join([r["text"][:60]] * 3 + [r["text"]]).lower() if r["text"] is not None else "")
+        count.update({*words, *map(" ".join, zip(words, words[1:]))})
+    got = {r["term"]: (r["documents"], r["idf"]) for r in catalogue.queries()["tfidf_term_stats_whole"](spark, SF).collect()}
+    assert {t: n for t, (n, _) in got.items()} == dict(count) and any(" " in t for t in got)
+    assert all(abs(idf - (math.log((1 + len(docs)) / (1 + n)) + 1)) < 1e-6 for n, idf in got.values())

@@ -89,7 +89,7 @@ def _untagged(text):
 def _languages(spark, sf_dir, rows):
     """source_job_id, lang of every row: detected by the model of documents, and resolved; null where nothing is allowed."""
     blob = L.text_blob(F.col("title"), _untagged(F.col("description")))
-    found = LM.detect(rows, "source_job_id", blob, LM.fit(table(spark, sf_dir, "documents"))).withColumnRenamed("lang", "detected")
+    found = LM.detect_any(rows, "source_job_id", blob, LM.fit_grams(table(spark, sf_dir, "documents"))).withColumnRenamed("lang", "detected")
     none = F.lit(None).cast("string")
     return rows.select("source_job_id").join(found, "source_job_id", "left").select("source_job_id", L.resolve(F.col("detected"), none, none).alias("lang"))
 

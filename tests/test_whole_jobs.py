@@ -102,3 +102,30 @@ def test_term_statistics_count_all_documents_and_pairs(spark):
     got = {r["term"]: (r["documents"], r["idf"]) for r in catalogue.queries()["tfidf_term_stats_whole"](spark, SF).collect()}
     assert {t: n for t, (n, _) in got.items()} == dict(count) and any(" " in t for t in got)
     assert all(abs(idf - (math.log((1 + len(docs)) / (1 + n)) + 1)) < 1e-6 for n, idf in got.values())
+
+
+def test_every_text_gets_a_result(spark):
+    from postwright.operators import language_model as LM
+
+    docs = rows_of("documents", "doc_id", "text", "lang")
+    found = {r["doc_id"]: r["detected"] for r in catalogue.queries()["lang_detect_whole"](spark, SF).collect()}
+    assert set(found) == {r["doc_id"] for r in docs}
+    assert all(found[r["doc_id"]] for r in docs if re.search(r"[^\W\d_]", r["text"] or ""))
+    assert sum(found[r["doc_id"]] == r["lang"] for r in docs) >= 0.97 * len(docs)
+    taught = spark.createDataFrame([("en", "the quick brown fox"), ("de", "über große Flüsse")], "lang string, text string")
+    rare = spark.createDataFrame([(1, "quickest"), (2, "größte"), (3, ""), (4, None), (5, "12 !"), (6, "你")], "k int, text string")
+    got = LM.detect_any(rare, "k", F.col("text"), LM.fit_grams(taught)).collect()
+    assert {r["k"]: r["lang"] for r in got} == {1: "en", 2: "de", 3: None, 4: None, 5: None, 6: None}
+
+
+def test_trigram_scores(spark):
+    from postwright.operators import language_model as LM
+
+    docs, grams = rows_of("documents", "doc_id", "text", "lang")[:40], {}
+    cut = lambda t: [f"_{w}_"[i : i + 3] for w in re.findall(r"[^\W\d_]+", (t or "").lower()) for i in range(len(w))]
+    for r in docs:
+        grams.setdefault(r["lang"], Counter()).update(cut(r["text"]))
+    types = len(set().union(*grams.values()))
+    model = LM.fit_grams(spark.createDataFrame([(r["doc_id"], r["text"], r["lang"]) for r in docs], "doc_id long, text string, lang string")).collect()
+    assert len(model) == types * len(grams)
+    assert all(abs(r["log_p"] - math.log((grams[r["lang"]][r["gram"]] + 1) / (sum(grams[r["lang"]].values()) + types))) < 1e-9 for r in model)

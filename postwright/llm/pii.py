@@ -1,17 +1,27 @@
 """Personal data by patterns, and identifiers discovered by bootstrapping contexts, in DataFrame functions only.
 
 Base kinds (e-mail, IP address, payment card, phone number) are found by fixed
-patterns. Seeds, the base entities and the values of a few unmistakable
-assignments, induce lexical patterns: what stands directly left and right of
-them. A bipartite graph of patterns and instances is then scored iteratively: a
-pattern is as good as the known instances that it meets, an instance as good
-as the patterns that meet it. Identifier-like strings that high-confidence
-patterns meet are reported as kind ``id``.
+patterns. They seed one graph per kind; strings that are unmistakable by their form
+or assignment seed a fifth, of other identifiers. Two sorts of lexical patterns
+stand on one side of a graph, values on the other: a cue (the word and the signs
+left of a value) and a shape (what a value is made of). Spark scores the graphs
+in rounds. A pattern is as good as the share of known values in all that it
+meets: for cues that is every place of the corpus where the cue occurs, so a common
+word is never a good cue. Values at a good cue become known, with a score from all
+their patterns, and count as seeds in the next round. What stands at a good cue in the
+end, and isn't a base span, is reported.
+
+Values are all tokens with a digit (digit groups may hold single blanks, dots,
+hyphens and brackets) and all tokens, of letters too, after an assigning sign.
+Letters alone after plain words are no values.
 
 Defined results: a null or empty text has no spans. Base matches that fail their
-check are dropped without a retry. Rows that repeat a doc_id are told apart by a
-row number and give one row each; a null doc_id stays null. An empty table gives
-an empty table. Extra columns pass ``redact`` untouched and are ignored elsewhere.
+check are dropped without a retry. A value that two kinds claim goes to the higher
+confidence, on a tie to the greater kind name. Texts of any length are searched
+whole: no pattern backtracks over them. Rows that repeat a doc_id, or a whole row, are
+told apart by a row number and give one row each; a null doc_id stays null. An
+empty table gives an empty table. Extra columns pass ``redact`` untouched and are
+ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -36,14 +46,23 @@ PATTERNS = {
 #: What a text must contain to be searched at all.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 
-#: An identifier-like string: a whole run of at least twelve characters with a letter and a digit.
-INSTANCE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{12,}+"
-#: Seeds of kind ``id``: values of these assignments, and strings with these prefixes.
-SEED_CONTEXT, SEED_VALUE = r"(?i)(password|passwd|secret|api_key)\s*[=:]\s*.?$", "^(AKIA|ASIA|ghp_|sk-)"
-#: Rounds over the graph; what is added to a pattern's instances; least confidence and instances of a pattern that discovers.
-ROUNDS, SMOOTHING, ACCEPT, SUPPORT = 4, 2.0, 0.5, 3
-_CONTEXT = 24
-_SPANS = "array<struct<start:bigint,end:bigint,value:string>>"
+#: Characters of a value inside; a value that may be an identifier: a token with a digit, or one after an assigning sign.
+_IN = r"\p{L}\p{N}_@%./+-"
+_GROUPS = r"\(?[0-9]{1,6}\)?(?:[ ./-]\(?[0-9]{1,6}\)?)++(?![\p{L}\p{N}])"
+VALUE = rf"(?<![{_IN}])(?:(?=[\p{{L}}_@%./+-]*+[0-9])|(?<=[=:#][\s\"'(\[]{{0,3}}))(?:{_GROUPS}|[\p{{L}}\p{{N}}](?:[{_IN}]*[\p{{L}}\p{{N}}])?)"
+VALUE_NEEDS = "[0-9=:#]"
+#: The cue of a value: the word left of it and the signs between, in lower case with single blanks; read from this many characters.
+CUE, CONTEXT = r"(?<![\p{L}_])[\p{L}_]++[^\p{L}\p{N}_+]++", 40
+#: Seeds of kind ``id``: values of these assignments and values with these prefixes, which are reported; random keys, which only seed.
+SEED_CUE, SEED_VALUE = r"(?:password|passwd|secret|api_?key|access_?key)\W*[=:]\W*$", "^(?:AKIA|ASIA|ghp_|sk-)[A-Za-z0-9_-]{8,}$"
+KEY = r"^(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])(?:[0-9a-f]{16,}|[0-9A-F]{16,}|[0-9A-Za-z]{24,})$"
+#: Rounds over the graphs at most; what is added to the places of a pattern; least confidence and known values of a cue that discovers.
+ROUNDS, SMOOTHING, ACCEPT, SUPPORT = 4, 2.0, 0.6, 3
+#: Cues that are broadcast at most when the corpus is counted; more are counted by a shuffle.
+BROADCAST_CUES = 200_000
+#: Matches of a text that one inner pass gathers.
+BLOCK = 128
+_CUED = "array<struct<start:bigint,end:bigint,value:string,cue:string>>"
 
 
 def _digits(text: Column) -> Column:
@@ -75,97 +94,129 @@ def _valid(kind: str, match: Column) -> Column:
 
 
 def _located(text: Column, pattern: str) -> Column:
-    """Matches of a pattern with their places: array<struct<start, end, value>>, in code points.
+    """Matches of a pattern with their places and cues: array<struct<start, end, value, cue>>, in code points.
 
     The texts between the matches come from a split by the same pattern; sums of
-    both lengths give the places in one pass.
+    both lengths give the places in one pass, and their ends what stands left of a
+    match. Matches are gathered block by block, so that time grows with the text.
     """
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
-    pairs = F.filter(pairs, lambda p: p["value"].isNotNull())
-    spans = F.array().cast(_SPANS)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), spans.alias("spans"))
+    state = lambda at, left, spans: F.struct(at.alias("at"), left.alias("left"), spans.alias("spans"))
 
     def add(a: Column, p: Column) -> Column:
-        start = a["at"] + F.length(p["gap"])
+        start, left = a["at"] + F.length(p["gap"]), F.right(F.concat(a["left"], p["gap"]), F.lit(CONTEXT))
         end = start + F.length(p["value"])
-        return F.struct(end.alias("at"), F.array_append(a["spans"], F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value"))).alias("spans"))
+        span = F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value"), _cue(left).alias("cue"))
+        return state(end, F.right(F.concat(left, p["value"]), F.lit(CONTEXT)), F.array_append(a["spans"], span))
 
-    return F.aggregate(pairs, zero, add, lambda a: a["spans"])
+    def add_block(all_pairs: Column, a: Column, i: Column) -> Column:
+        block = F.aggregate(F.slice(all_pairs, i * BLOCK + 1, F.lit(BLOCK)), state(a["at"], a["left"], F.array().cast(_CUED)), add)
+        return F.element_at(F.transform(F.array(block), lambda b: state(b["at"], b["left"], F.array_append(a["spans"], b["spans"]))), 1)
 
+    def blocks(found: Column) -> Column:
+        zero = state(F.lit(0).cast("long"), F.lit(""), F.array().cast(f"array<{_CUED}>"))
+        numbers = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int"))
+        return F.when(F.size(found) > 0, F.aggregate(numbers, zero, lambda a, i: add_block(found, a, i), lambda a: F.flatten(a["spans"]))).otherwise(F.array().cast(_CUED))
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """Adds a column per base kind: array<struct<start, end, value>> of ``text``."""
-    text, none = F.coalesce("text", F.lit("")), F.array().cast(_SPANS)
+    return F.element_at(F.transform(F.array(F.filter(pairs, lambda p: p["value"].isNotNull())), blocks), 1)
 
+
+def _cue(left: Column) -> Column:
+    """The cue at the end of what stands left of a value; null if there is none, or if it may be cut off."""
+    found = F.regexp_extract(F.regexp_replace(F.lower(left), r"\s+", " "), f"({CUE})$", 1)
+    return F.when((found != "") & (F.length(found) < CONTEXT), found)
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """Adds a column per base kind, and ``values`` of all kinds of values: array<struct<start, end, value, cue>> of ``text``."""
+    text, none = F.coalesce("text", F.lit("")), F.array().cast(_CUED)
     def spans(kind: str) -> Column:
         return F.when(text.rlike(NEEDS[kind]), F.filter(_located(text, PATTERNS[kind]), lambda s: _valid(kind, s["value"]))).otherwise(none)
 
-    return docs.withColumns({k: spans(k) for k in KINDS})
+    return docs.withColumns({**{k: spans(k) for k in KINDS}, "values": F.when(text.rlike(VALUE_NEEDS), _located(text, VALUE)).otherwise(none)})
 
 
 def _shape(value: Column) -> Column:
-    """What an identifier-like string is made of."""
-    kinds = {"^[0-9a-f]+$": "hex", "^[0-9A-F]+$": "HEX", "^[0-9a-z]+$": "lower", "^[0-9A-Z]+$": "upper", "^[0-9A-Za-z]+$": "mixed"}
-    out = F.lit("joined")
-    for pattern, name in reversed(kinds.items()):
-        out = F.when(value.rlike(pattern), name).otherwise(out)
-    return F.concat(F.lit("shape "), out)
+    """What a value is made of: runs of one class as one sign, long mixtures as a star."""
+    out = value
+    for pattern, sign in (("[0-9]+", "9"), ("[a-z]+", "a"), ("[A-Z]+", "A"), (r"[\p{L}&&[^aA]]+", "l"), ("(?:9[aA]|[aA]9){2,}[9aA]?", "*")):
+        out = F.regexp_replace(out, pattern, sign)
+    return out
 
 
-def _with_candidates(found: DataFrame) -> DataFrame:
-    """Adds candidates: array<struct<start, end, value, patterns, seed, base>>, of base spans and of identifier-like strings outside them.
+def _occurrences(staged: DataFrame) -> DataFrame:
+    """row, start, end, value, cue, kind (of a seed, or null), base, certain: base spans, and values that overlap none."""
+    def seeds(kind: str) -> Column:
+        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["cue"].alias("cue"), F.lit(kind).alias("kind"), F.lit(True).alias("base"), F.lit(True).alias("certain")))
 
-    Patterns are the word and the signs directly left with the sign directly
-    right, and, for identifier-like strings, what they are made of.
-    """
-    text = F.coalesce("text", F.lit(""))
-    left = lambda s: F.substring(text, F.greatest(s["start"] - _CONTEXT, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(_CONTEXT)).cast("int"))
-    right = lambda s: F.regexp_replace(F.substring(text, s["end"].cast("int") + 1, F.lit(1)), r"\s", " ")
-    around = lambda s: F.concat(F.lit("near "), F.lower(F.regexp_extract(F.regexp_replace(left(s), r"\s+", " "), "([A-Za-z_]*[^A-Za-z_]*)$", 1)), F.lit("\x1f"), right(s))
-    base = F.concat(*[F.col(k) for k in KINDS])
-    other = F.when(text.rlike("[0-9]"), F.filter(_located(text, INSTANCE), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))).otherwise(F.array().cast(_SPANS))
-    known = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.array(around(s)).alias("patterns"), F.lit(True).alias("seed"), F.lit(True).alias("base")))
-    open_ = F.transform(other, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.array(around(s), _shape(s["value"])).alias("patterns"), (left(s).rlike(SEED_CONTEXT) | s["value"].rlike(SEED_VALUE)).alias("seed"), F.lit(False).alias("base")))
-    return found.withColumn("candidates", F.concat(known, open_))
-
-
-def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``edges(pattern, instance, seed)`` -> (pattern, confidence, support) after ``rounds`` of scoring the graph.
-
-    confidence = sum of its instances' scores / (instances + SMOOTHING). An
-    instance's score is 1 for a seed, else 1 - prod(1 - confidence) over its
-    patterns. Each round joins tables that shrink to distinct pairs; a pattern
-    that meets very many instances is summed partially before its shuffle.
+    known = F.concat(*[seeds(k) for k in KINDS])
+    base = F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS])
+    free = F.filter("values", lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    certain = lambda s: F.coalesce(s["cue"].rlike(SEED_CUE), F.lit(False)) | s["value"].rlike(SEED_VALUE)
+    open_ = F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["cue"].alias("cue"), F.when(certain(s) | s["value"].rlike(KEY), DISCOVERED).alias("kind"), F.lit(False).alias("base"), certain(s).alias("certain")))
+    return staged.select("row", F.explode(F.concat(known, open_)).alias("o")).select("row", "o.*")
+
+
+def cue_totals(texts: DataFrame, cues: DataFrame) -> DataFrame:
+    """(pattern, total): how often each of the distinct ``cues`` (pattern: "near " and the cue) stands anywhere in ``texts`` (text)."""
+    plain = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " ")
+    every = texts.select(F.explode(F.regexp_extract_all(plain, F.lit(f"({CUE})"), F.lit(1))).alias("cue")).select(F.concat(F.lit("near "), "cue").alias("pattern"))
+    if cues.count() <= BROADCAST_CUES:
+        return every.join(F.broadcast(cues), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
+    return every.groupBy("pattern").agg(F.count("*").alias("total")).join(cues, "pattern", "left_semi")
+
+
+def score_graphs(edges: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``edges(pattern, instance, n, kind)``, ``totals(pattern, total)`` -> (pattern, kind, confidence, support) of the good cues, each under its best kind.
+
+    n: how often the pattern meets the instance; kind: the instance's kind if it is a
+    seed. Every round sums what patterns meet, by partial aggregation, and joins on
+    keys that adaptive execution can split; nothing is gathered.
     """
-    edges = stage(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
-    scores = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    for turn in range(rounds):
-        known = edges.join(scores, "instance")
-        patterns = known.groupBy("pattern").agg((F.sum("score") / (F.count("*") + F.lit(SMOOTHING))).alias("confidence"), F.count("*").alias("support"))
-        patterns = stage(patterns, "pii-patterns")
-        if turn < rounds - 1:
-            met = edges.join(patterns, "pattern").groupBy("instance")
-            scores = met.agg(F.max(F.col("seed")).alias("seed"), (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("score"))
-            scores = stage(scores.select("instance", F.when(F.col("seed"), 1.0).otherwise(F.col("score")).alias("score")), "pii-scores")
-    return patterns
+    seeds = stage(edges.filter("kind IS NOT NULL").select("instance", "kind").distinct().withColumn("score", F.lit(1.0)), "pii-seeds")
+    known, size = seeds, seeds.count()
+    while True:
+        hits = edges.drop("kind").join(known, "instance").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("hits"), F.count("*").alias("support"))
+        patterns = stage(hits.join(totals, "pattern").select("pattern", "kind", (F.col("hits") / (F.col("total") + SMOOTHING)).alias("confidence"), "support"), "pii-patterns")
+        good = patterns.filter(F.col("pattern").startswith("near ") & (F.col("confidence") >= ACCEPT) & (F.col("support") >= SUPPORT))
+        good = good.groupBy("pattern").agg(F.max(F.struct("confidence", "kind", "support")).alias("b")).select("pattern", "b.kind", "b.confidence", "b.support")
+        rounds -= 1
+        if not rounds:
+            return good
+        met = edges.select("pattern", "instance").join(good.select("pattern", "kind"), "pattern").select("instance", "kind").distinct()
+        met = met.join(seeds.select("instance"), "instance", "left_anti")
+        scored = edges.select("pattern", "instance").join(met, "instance").join(patterns, ["pattern", "kind"])
+        scored = scored.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("score"))
+        best = scored.groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("b")).select("instance", "b.kind", "b.score")
+        known = stage(seeds.unionByName(best), "pii-known")
+        if (now := known.count()) == size:
+            return good
+        size = now
 
 
 def find(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): row, doc_id, a span column per base kind, and ``id`` for what the method adds.
 
     Spans are array<struct<start, end, value>>, in code points of the text, ends
-    exclusive. Columns named in ``carry`` are passed through.
+    exclusive; those of ``id`` also name the kind that they were taken for. Columns named in ``carry`` are passed through.
     """
     docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", *carry)
-    found = _with_candidates(base_spans(docs))
-    staged = stage(found.drop("text"), "pii-spans")
-    candidates = staged.select("row", F.explode("candidates").alias("c")).select("row", "c.*")
-    edges = candidates.select(F.explode("patterns").alias("pattern"), F.col("value").alias("instance"), "seed")
-    patterns = score_patterns(edges)
-    good = patterns.filter((F.col("confidence") >= ACCEPT) & (F.col("support") >= SUPPORT)).select("pattern")
-    new = candidates.filter(~F.col("base")).select("row", "start", "end", "value", F.explode("patterns").alias("pattern")).join(good, "pattern")
-    new = new.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end", "value"))).alias(DISCOVERED))
-    return staged.drop("candidates").join(new, "row", "left").withColumn(DISCOVERED, F.coalesce(DISCOVERED, F.array().cast(_SPANS)))
+    staged = stage(scanned(docs).drop("text"), "pii-spans")
+    places = stage(_occurrences(staged), "pii-places")
+    cue, shape = F.concat(F.lit("near "), "cue"), F.concat(F.lit("shape "), _shape(F.col("value")))
+    edges = places.select(F.explode(F.array(cue, shape)).alias("pattern"), F.col("value").alias("instance"), "kind").filter("pattern IS NOT NULL")
+    edges = stage(edges.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("kind").alias("kind")), "pii-edges")
+    own = edges.groupBy("pattern").agg(F.sum("n").alias("own"), F.count("*").alias("values"))
+    # a cue of fewer values can't get enough support: it is neither counted nor scored
+    own = stage(own.filter(~F.col("pattern").startswith("near ") | (F.col("values") >= SUPPORT)), "pii-own")
+    counted = cue_totals(docs.select("text"), own.filter(F.col("pattern").startswith("near ")).select("pattern"))
+    totals = stage(own.join(counted, "pattern", "left").select("pattern", F.greatest("own", F.coalesce("total", F.lit(0))).alias("total")), "pii-totals")
+    good = score_graphs(edges, totals)
+    new = places.filter("NOT base").withColumn("pattern", cue).join(good.select("pattern", F.col("kind").alias("found")), "pattern", "left").filter("certain OR found IS NOT NULL")
+    new = new.select("row", F.struct("start", "end", "value", F.coalesce("found", F.lit(DISCOVERED)).alias("kind")).alias("s")).groupBy("row").agg(F.sort_array(F.collect_list("s")).alias(DISCOVERED))
+    plain = [F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))).alias(k) for k in KINDS]
+    whole = staged.join(new, "row", "left")
+    return whole.select("row", "doc_id", *plain, F.coalesce(DISCOVERED, F.array().cast("array<struct<start:bigint,end:bigint,value:string,kind:string>>")).alias(DISCOVERED), *carry)
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -174,7 +225,8 @@ def redact(docs: DataFrame) -> DataFrame:
     found, text = find(whole, ("__doc",)), F.coalesce("__doc.text", F.lit(""))
 
     def tagged(kind: str) -> Column:
-        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"<{kind.upper()}>").alias("tag")))
+        tag = lambda s: F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")) if kind == DISCOVERED else F.lit(f"<{kind.upper()}>")
+        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), tag(s).alias("tag")))
 
     found = found.withColumn("__spans", F.sort_array(F.concat(*[tagged(k) for k in (*KINDS, DISCOVERED)])))
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import public_tokenizers
 import sentencepiece
@@ -25,11 +27,25 @@ def test_small_caches_give_the_same(monkeypatch):
     fst = pieces.Transducer(PATH)
     want = [fst.encode(t) for t in ODD]
     monkeypatch.setattr(pieces, "CACHED_WORDS", 2)
-    monkeypatch.setattr(pieces, "CACHED_PAIRS", 3)
+    monkeypatch.setattr(pieces, "PLACES", 8)
     small = pieces.Transducer(PATH)
     assert [small.encode(t) for t in ODD] == want
     assert np.frombuffer(want[0], "<u4").size == 0
 
 
+def test_random_joins_of_pieces_equal_the_library():
+    library, fst, rng = sentencepiece.SentencePieceProcessor(model_file=PATH), pieces.Transducer(PATH), random.Random(3)
+    names = list(fst.ids)
+    texts = ["".join(rng.choices(names, k=rng.randrange(1, 9))).replace("▁", " ") for _ in range(3000)]
+    texts += ["".join(rng.choices("abcdeinrst    ABéü了中😀\n\t.,01▁", k=rng.randrange(50))) for _ in range(3000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in fst.encode_all(texts)] == [library.encode(t) for t in texts]
+
+
+def test_decoding_bytes_and_unknown_like_the_library():
+    library, fst = sentencepiece.SentencePieceProcessor(model_file=PATH), pieces.Transducer(PATH)
+    for ids in ([], [0], [1, 2], [0, 300, 1], [*range(3, 259)][97:101], [fst.byte[b] for b in "é😀".encode()]):
+        assert fst.decode(np.array(ids, "<u4").tobytes()) == library.decode(ids)
+
+
 def test_empty_table(spark):
     assert pieces.encode(no_documents(spark), PATH).count() == 0

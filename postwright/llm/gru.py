@@ -1,10 +1,11 @@
 """A gated recurrent language model in numpy: truncated backpropagation, class-factored softmax, carried state.
 
-Words are numbered by frequency and dealt into classes of equal size; a word's
-probability is its class's times its own within the class. Documents run in
-parallel lanes, one after another in a lane; the state is carried from
-window to window of a document and cleared where a document starts, so a
-document's log-likelihood is that of its whole text.
+Words are numbered by frequency and dealt into classes of equal size, about as many
+classes as words in a class; a word's probability is its class's times its own
+within the class. The first class holds the end of a document and the symbol of all
+words outside the vocabulary. Documents run in parallel lanes, one after another in
+a lane; the state is carried from window to window of a document and cleared
+where a document starts, so a document's log-likelihood is that of its whole text.
 """
 
 from __future__ import annotations
@@ -13,37 +14,48 @@ import heapq
 
 import numpy as np
 
-HIDDEN, CLASSES, CLASS_SIZE, WINDOW = 16, 32, 32, 16
-VOCABULARY = CLASSES * CLASS_SIZE
+HIDDEN, WINDOW = 16, 16
 #: Symbols: the end of a document (also the input before its first word), and any word outside the vocabulary.
-END, OTHER = 0, 1
+END, OTHER, SPECIAL = 0, 1, 2
 MAX_LANES = 1024
-SHAPES = {
-    "embed": (VOCABULARY, HIDDEN), "w": (HIDDEN, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,),
-    "class_w": (HIDDEN, CLASSES), "class_b": (CLASSES,), "word_w": (CLASSES, HIDDEN, CLASS_SIZE), "word_b": (CLASSES, CLASS_SIZE),
-}
 
 
-def start(counts: np.ndarray) -> dict[str, np.ndarray]:
+def shapes(classes: int) -> dict[str, tuple[int, ...]]:
+    """Parameters of a network with ``classes`` classes of ``classes`` words each, and the special class."""
+    c, k = classes, HIDDEN
+    return {
+        "embed": (vocabulary(c), k), "w": (k, 3 * k), "u": (k, 3 * k), "b": (3 * k,), "class_w": (k, c + 1), "class_b": (c + 1,),
+        "special_w": (k, SPECIAL), "special_b": (SPECIAL,), "word_w": (c, k, c), "word_b": (c, c),
+    }
+
+
+def vocabulary(classes: int) -> int:
+    """Symbols: the special ones and the words."""
+    return SPECIAL + classes * classes
+
+
+def start(counts: np.ndarray, classes: int) -> dict[str, np.ndarray]:
     """First parameters: small random weights, and biases that give the symbols' relative frequencies."""
     rng = np.random.Generator(np.random.PCG64(11))
-    p = {k: (rng.standard_normal(s) * (0.5 if k == "embed" else 0.25)).astype(np.float32) for k, s in SHAPES.items()}
-    share = (counts + 0.5).reshape(CLASSES, CLASS_SIZE)
+    p = {k: (rng.standard_normal(s) * (0.5 if k == "embed" else 0.25)).astype(np.float32) for k, s in shapes(classes).items()}
+    words, special = (counts[SPECIAL:] + 0.5).reshape(classes, classes), counts[:SPECIAL] + 0.5
+    per_class = np.concatenate([[special.sum()], words.sum(1)])
     p["b"][:] = 0
-    p["class_b"] = np.log(share.sum(1) / share.sum()).astype(np.float32)
-    p["word_b"] = np.log(share / share.sum(1, keepdims=True)).astype(np.float32)
-    for k in ("class_w", "word_w"):
+    p["class_b"] = np.log(per_class / per_class.sum()).astype(np.float32)
+    p["special_b"] = np.log(special / special.sum()).astype(np.float32)
+    p["word_b"] = np.log(words / words.sum(1, keepdims=True)).astype(np.float32)
+    for k in ("class_w", "word_w", "special_w"):
         p[k] *= 0.2
     return p
 
 
 def flatten(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in SHAPES])
+    return np.concatenate([p[k].ravel() for k in shapes(len(p["word_b"]))])
 
 
-def restore(flat: np.ndarray) -> dict[str, np.ndarray]:
+def restore(flat: np.ndarray, classes: int) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, shape in SHAPES.items():
+    for k, shape in shapes(classes).items():
         n = int(np.prod(shape))
         out[k], at = np.array(flat[at : at + n], np.float32).reshape(shape), at + n
     return out
@@ -77,57 +89,80 @@ def lanes(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return source, target, owner
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def _recur(p: dict, x: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
+def _recur(p: dict, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
     """x: steps x lanes x 3H input sums. Returns all states (the first is ``h``) and what backpropagation needs."""
-    out, kept, u, k = np.empty((len(x) + 1, *h.shape), np.float32), [], p["u"], HIDDEN
+    out, kept, k = np.empty((len(x) + 1, *h.shape), np.float32), [], HIDDEN
     out[0] = h
     for t in range(len(x)):
         old = out[t] * fresh[t][:, None]
-        gates = _sigmoid(x[t, :, : 2 * k] + old @ u[:, : 2 * k])
-        r, z = gates[:, :k], gates[:, k:]
-        inner = old @ u[:, 2 * k :]
-        c = np.tanh(x[t, :, 2 * k :] + r * inner)
-        out[t + 1] = c + z * (old - c)
-        kept.append((old, r, z, inner, c))
+        sums = old @ p["u"]
+        gates = sums[:, : 2 * k] + x[t, :, : 2 * k]
+        gates *= -1
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        r, z, inner = gates[:, :k], gates[:, k:], sums[:, 2 * k :]
+        c = r * inner
+        c += x[t, :, 2 * k :]
+        np.tanh(c, out=c)
+        np.subtract(old, c, out=out[t + 1])
+        out[t + 1] *= z
+        out[t + 1] += c
+        if keep:
+            kept.append((old, r, z, inner, c))
     return out, kept
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, target: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log-probabilities of the targets, and the gradient of their negative sum by the logits."""
+    x = h @ w
+    x += b
+    x -= x.max(axis=1, keepdims=True)
+    rows = np.arange(len(target))
+    own = x[rows, target]
+    np.exp(x, out=x)
+    total = x.sum(axis=1)
+    logs = own - np.log(total)
+    if not learn:
+        return logs, None
+    x *= (1 / total)[:, None]
+    x[rows, target] -= 1
+    return logs, x
 
 
 def _output(p: dict, h: np.ndarray, target: np.ndarray, learn: bool) -> tuple[np.ndarray, dict | None, np.ndarray | None]:
     """States and targets -> natural log-probabilities, and the gradients of their negative sum."""
-    cls, rows = target // CLASS_SIZE, np.arange(len(target))
-    log_c = _log_softmax(h @ p["class_w"] + p["class_b"])
-    total = log_c[rows, cls]
-    order = np.argsort(cls, kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    size = p["word_b"].shape[1]
+    cls = np.where(target < SPECIAL, 0, (target - SPECIAL) // size + 1)
+    # targets class by class: each class is a slice
+    order = np.argsort(cls.astype(np.int16 if size < 1 << 15 else np.int64), kind="stable")
+    h, target, cls = h[order], target[order], cls[order]
+    edges = np.searchsorted(cls, np.arange(len(p["class_b"]) + 1)).tolist()
+    total, d = _softmax(h, p["class_w"], p["class_b"], cls, learn)
     grads = dh = None
     if learn:
-        d = np.exp(log_c)
-        d[rows, cls] -= 1
-        grads = {"class_w": h.T @ d, "class_b": d.sum(0), "word_w": np.zeros_like(p["word_w"]), "word_b": np.zeros_like(p["word_b"])}
+        grads = {"class_w": h.T @ d, "class_b": d.sum(0), "special_w": np.zeros_like(p["special_w"]), "special_b": np.zeros_like(p["special_b"]), "word_w": np.zeros_like(p["word_w"]), "word_b": np.zeros_like(p["word_b"])}
         dh = d @ p["class_w"].T
-    for c in range(CLASSES):
-        own = order[edges[c] : edges[c + 1]]
-        if not len(own):
+    for c in range(len(edges) - 1):
+        part = slice(edges[c], edges[c + 1])
+        if part.start == part.stop:
             continue
-        hs, word = h[own], target[own] % CLASS_SIZE
-        log_w = _log_softmax(hs @ p["word_w"][c] + p["word_b"][c])
-        k = np.arange(len(own))
-        total[own] += log_w[k, word]
+        if c:
+            w, b, word = p["word_w"][c - 1], p["word_b"][c - 1], target[part] - SPECIAL - (c - 1) * size
+        else:
+            w, b, word = p["special_w"], p["special_b"], target[part]
+        logs, d = _softmax(h[part], w, b, word, learn)
+        total[part] += logs
         if learn:
-            d = np.exp(log_w)
-            d[k, word] -= 1
-            grads["word_w"][c], grads["word_b"][c] = hs.T @ d, d.sum(0)
-            dh[own] += d @ p["word_w"][c].T
-    return total, grads, dh
+            gw, gb = (grads["word_w"][c - 1], grads["word_b"][c - 1]) if c else (grads["special_w"], grads["special_b"])
+            gw[:], gb[:] = h[part].T @ d, d.sum(0)
+            dh[part] += d @ w.T
+    logs, back = np.empty_like(total), None
+    logs[order] = total
+    if learn:
+        back = np.empty_like(dh)
+        back[order] = dh
+    return logs, grads, back
 
 
 def log_likelihoods(p: dict, docs: list[np.ndarray]) -> np.ndarray:
@@ -139,7 +174,7 @@ def log_likelihoods(p: dict, docs: list[np.ndarray]) -> np.ndarray:
     first[1:] = owner[1:] != owner[:-1]
     for at in range(0, len(source), WINDOW):
         part = slice(at, at + WINDOW)
-        states, _ = _recur(p, table[source[part]], (~first[part]).astype(np.float32), h)
+        states, _ = _recur(p, table[source[part]], (~first[part]).astype(np.float32), h, False)
         h, real = states[-1], target[part] >= 0
         logs, _, _ = _output(p, states[1:][real], target[part][real], False)
         sums += np.bincount(owner[part][real], weights=logs, minlength=len(docs))
@@ -163,25 +198,34 @@ class Trainer:
             part = slice(at, at + WINDOW)
             ids, real, fresh = source[part], target[part] >= 0, (~first[part]).astype(np.float32)
             x = p["embed"][ids]
-            states, kept = _recur(p, x @ p["w"] + p["b"], fresh, h)
+            states, kept = _recur(p, x @ p["w"] + p["b"], fresh, h, True)
             _, grads, dh = _output(p, states[1:][real], target[part][real], True)
             flow = np.zeros_like(states[1:])
             flow[real] = dh
             dx, du, back = np.empty((*ids.shape, 3 * k), np.float32), np.zeros_like(p["u"]), np.zeros_like(h)
+            down = p["u"].T.copy()
             for t in range(len(ids) - 1, -1, -1):
                 old, r, z, inner, c = kept[t]
-                g = flow[t] + back
-                dc = g * (1 - z) * (1 - c * c)
-                dx[t, :, 2 * k :] = dc
-                dx[t, :, :k] = dc * inner * r * (1 - r)
-                dx[t, :, k : 2 * k] = g * (old - c) * z * (1 - z)
-                du[:, : 2 * k] += old.T @ dx[t, :, : 2 * k]
-                du[:, 2 * k :] += old.T @ (dc * r)
-                back = (g * z + dx[t, :, : 2 * k] @ p["u"][:, : 2 * k].T + (dc * r) @ p["u"][:, 2 * k :].T) * fresh[t][:, None]
+                g, own = flow[t], dx[t]
+                g += back
+                dc = g * (1 - z)
+                dc *= 1 - c * c
+                through = np.empty_like(own)  # what goes back into the last state
+                np.multiply(dc * inner, r * (1 - r), out=through[:, :k])
+                np.multiply(g * (old - c), z * (1 - z), out=through[:, k : 2 * k])
+                np.multiply(dc, r, out=through[:, 2 * k :])
+                du += old.T @ through
+                back = through @ down
+                g *= z
+                back += g
+                back *= fresh[t][:, None]
+                own[:, : 2 * k], own[:, 2 * k :] = through[:, : 2 * k], dc
             flat, xs = dx.reshape(-1, 3 * k), x.reshape(-1, k)
-            de = flat @ p["w"].T
-            embed = np.stack([np.bincount(ids.ravel(), weights=de[:, j], minlength=VOCABULARY) for j in range(k)], axis=1)
-            grads |= {"u": du, "w": xs.T @ flat, "b": flat.sum(0), "embed": embed.astype(np.float32)}
+            seen, place = np.unique(ids.ravel(), return_inverse=True)
+            order = np.argsort(place, kind="stable")
+            embed = np.zeros_like(p["embed"])
+            embed[seen] = np.add.reduceat((flat @ p["w"].T)[order], np.searchsorted(place[order], np.arange(len(seen))), axis=0)
+            grads |= {"u": du, "w": xs.T @ flat, "b": flat.sum(0), "embed": embed}
             h = states[-1]
             self._step(grads, max(1, int(real.sum())))
 

@@ -1,15 +1,20 @@
 """Language-model scores of whole documents: an add-one unigram base and a gated recurrent network.
 
 Word counts are taken over all training documents. The network knows the most
-frequent words and one symbol for all others, whose own probability is
-their share among the others. It is started on a bounded sample in the driver;
-then every training document takes part: each task of a first pass trains its
-own copy on the documents that it reads, and the copies' weighted mean is the model.
+frequent words, a number that grows with the number of different words, and one symbol
+for all others, whose own probability is their share among the others. It is
+started on some documents in the driver; then every training document takes part:
+training documents are dealt into shards by a hash of id and text, as many as there
+are tokens for, each shard trains its own copy in a fixed order, and the copies'
+mean, weighted by tokens and summed in the order of the shards, is the model. Neither
+depends on how rows lie in partitions, so neither do scores (but for rounding).
 
 Defined results: a null or empty text is the end alone; it is scored, and counts in
-training. Rows are scored one by one, so repeated rows get equal scores; a null
-doc_id is a training row. Without training documents every token is unknown. An
-empty table gives an empty table; extra columns are ignored.
+training. Texts of any length are scored whole, as the state is carried from window to
+window. Words of equal count are ranked by their bytes. Rows are scored one by one, so
+repeated rows get equal scores; a null doc_id is a training row. Without training
+documents every token is unknown. An empty table gives an empty table; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +35,16 @@ from postwright.llm.textset import words
 
 #: Words whose counts every task holds; other words' counts are joined.
 FREQUENT = 200_000
-#: Words counted in a task before they are sent on, tokens trained or scored at once, documents that start the network.
-COUNTED, CHUNK, START_DOCS = 300_000, 8_000_000, 1_500
+#: Words counted in a task before they are sent on, tokens trained or scored at once, tokens of a shard, documents that start the network.
+COUNTED, CHUNK, SHARD, START_DOCS = 300_000, 4_000_000, 4_000_000, 1_500
 START_RATE, RATE = 0.02, 0.01
+#: Least number of classes of the network; copies that one task sums.
+CLASSES, SUMMED = 32, 16
+
+
+def classes_for(types: int) -> int:
+    """Classes of the network for this many different words: the fourth root, so that the vocabulary is about its square."""
+    return max(CLASSES, round(types**0.25))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,14 +69,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _ENCODED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, n_other long, base_part double, other_part double, ids binary, rare array<binary>"
 
 
-def _encoder(frequent: list[tuple[bytes, int]], end_count: int, vocabulary: int):
+def _symbols(vocabulary: int):
+    """The type that holds a symbol."""
+    return np.uint16 if vocabulary <= 1 << 16 else np.uint32
+
+
+def _encoder(frequent: list[tuple[bytes, int]], end_count: int, vocabulary: int, kind):
     """Texts -> symbols, sums over frequent words, and the rare words whose counts are elsewhere."""
     place = {w: i for i, (w, _) in enumerate(frequent)}
     # the last entry is a rare word's, of which nothing is known here
     logs = np.append(np.log10(np.array([c for _, c in frequent], float) + 1), 0.0)
-    symbols = np.full(len(frequent) + 1, gru.OTHER, np.uint16)
-    symbols[:vocabulary] = np.arange(vocabulary) + 2
-    end = np.array([gru.END], np.uint16).tobytes()
+    symbols = np.full(len(frequent) + 1, gru.OTHER, kind)
+    symbols[:vocabulary] = np.arange(vocabulary) + gru.SPECIAL
+    end = np.array([gru.END], kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, none = TaskContext.get().partitionId() << 33, len(frequent)
@@ -86,13 +103,13 @@ def _encoder(frequent: list[tuple[bytes, int]], end_count: int, vocabulary: int)
     return run
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], name: str = "ids") -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Rows gathered until they hold CHUNK tokens: (other columns' values, symbols)."""
+def _chunks(batches: Iterator[pa.RecordBatch], kind) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Rows (row, ids) gathered until they hold CHUNK tokens: (rows, symbols)."""
     keys, docs, tokens = [], [], 0
     for batch in batches:
-        for key, raw in zip(batch.column(0).to_pylist(), batch.column(name).to_pylist(), strict=True):
+        for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             keys.append(key)
-            docs.append(np.frombuffer(raw, np.uint16).astype(np.int32))
+            docs.append(np.frombuffer(raw, kind).astype(np.int32))
             tokens += len(docs[-1])
             if tokens >= CHUNK:
                 yield keys, docs
@@ -101,30 +118,77 @@ def _chunks(batches: Iterator[pa.RecordBatch], name: str = "ids") -> Iterator[tu
         yield keys, docs
 
 
-def _train(flat: np.ndarray):
-    """A task's documents -> its copy of the parameters after them, with its tokens as weight."""
+def _ordered(doc_ids: list, raw: list[bytes], kind) -> list[np.ndarray]:
+    """Symbols of documents in an order that only depends on their ids and texts."""
+    order = sorted(range(len(raw)), key=lambda i: (doc_ids[i] is None, doc_ids[i] or 0, raw[i]))
+    return [np.frombuffer(raw[i], kind).astype(np.int32) for i in order]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, tokens = gru.Trainer(gru.restore(flat), RATE), 0
-        for _, docs in _chunks(batches):
-            trainer.learn(docs)
-            tokens += sum(map(len, docs))
-        if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([float(tokens)]), pa.array([gru.flatten(trainer.p).astype(np.float64)], pa.list_(pa.float64()))], names=["weight", "p"])
+
+def _train(flat: np.ndarray, classes: int, kind):
+    """A shard's documents -> its copy of the parameters after them, with its tokens as weight."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        copies = np.repeat(np.arange(table.num_rows), table["copies"].to_numpy()).tolist()
+        doc_ids, raw = table["doc_id"].to_pylist(), table["ids"].to_pylist()
+        docs = _ordered([doc_ids[i] for i in copies], [raw[i] for i in copies], kind)
+        trainer, tokens = gru.Trainer(gru.restore(flat, classes), RATE), sum(map(len, docs))
+        trainer.learn(docs)
+        weighted = gru.flatten(trainer.p).astype(np.float64) * tokens
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "weight": pa.array([float(tokens)]), "p": pa.array([weighted], pa.list_(pa.float64()))})
 
     return run
 
 
-def _score(flat: np.ndarray):
+def _sum(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """SUMMED weighted copies at most -> their sum, in the order of their shards."""
+    order = np.argsort(table["shard"].to_numpy())
+    p = np.zeros(len(table["p"][0]))
+    for i in order:
+        p += table["p"][int(i)].values.to_numpy()
+    return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "weight": pa.array([float(table["weight"].to_numpy().sum())]), "p": pa.array([p], pa.list_(pa.float64()))})
+
+
+def _mean(copies: DataFrame, shards: int) -> np.ndarray | None:
+    """The weighted mean of the shards' copies, summed by SUMMED at a time; None without copies."""
+    schema = "shard long, weight double, p array<double>"
+    copies = stage(copies, "lm-copies")
+    while shards > 1:
+        copies = copies.withColumn("shard", F.expr(f"shard div {SUMMED}"))
+        copies, shards = stage(copies.groupBy("shard").applyInArrow(_sum, schema), "lm-sums"), -(-shards // SUMMED)
+    found = copies.first()  # one row, of as many numbers as the network has parameters
+    return None if found is None else np.array(found["p"]) / found["weight"]
+
+
+def _score(flat: np.ndarray, classes: int, kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = gru.restore(flat)
-        for keys, docs in _chunks(batches):
+        p = gru.restore(flat, classes)
+        for keys, docs in _chunks(batches, kind):
             logs = gru.log_likelihoods(p, docs) / np.log(10)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(logs)], names=["row", "network"])
 
     return run
 
 
+def fit_network(training: DataFrame, counts: np.ndarray, classes: int, docs: int, tokens: int) -> np.ndarray:
+    """``training(doc_id, ids)``: symbols of ``docs`` documents with ``tokens`` tokens -> the network's parameters. ``counts``: of the symbols."""
+    kind = _symbols(len(counts))
+    # rows whose hash of id and text is low, repeated ones once: about START_DOCS wherever they lie
+    share = min(1.0, START_DOCS / max(1, docs))
+    first = training.withColumn("hash", F.xxhash64("doc_id", "ids")).filter(F.pmod("hash", F.lit(1 << 30)) < int(share * (1 << 30))).distinct().collect()
+    trainer = gru.Trainer(gru.start(counts, classes), START_RATE)
+    start = _ordered([r["doc_id"] for r in first], [bytes(r["ids"]) for r in first], kind)
+    for _ in range(4 if start else 0):
+        trainer.learn(start)
+    flat, shards = gru.flatten(trainer.p), max(1, -(-tokens // SHARD))
+    # rows that repeat id and text fall together before the shuffle, and their copies are dealt evenly
+    same = training.groupBy(F.xxhash64("ids", "doc_id").alias("hash")).agg(F.first("doc_id").alias("doc_id"), F.first("ids").alias("ids"), F.count("*").alias("n"))
+    same = same.withColumn("parts", F.least("n", F.lit(shards))).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    copies = F.expr("n div parts") + (F.col("k") < F.col("n") % F.col("parts")).cast("long")
+    dealt = same.select("doc_id", "ids", copies.alias("copies"), F.pmod(F.col("hash") % shards + F.col("k"), F.lit(shards)).alias("shard"))
+    found = _mean(dealt.groupBy("shard").applyInArrow(_train(flat, classes, kind), "shard long, weight double, p array<double>"), shards)
+    return flat if found is None else found.astype(np.float32)
+
+
 def score(docs: DataFrame, is_held_out) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; ``is_held_out`` is a column."""
     docs = docs.select("doc_id", is_held_out.alias("held_out"), "text")
@@ -141,32 +205,23 @@ def score(docs: DataFrame, is_held_out) -> DataFrame:
         least = r["n"]
     top = counts.filter("word IS NOT NULL").filter(F.col("n") >= least).collect() if least is not None else []
     frequent = sorted(((bytes(r["word"]), r["n"]) for r in top), key=lambda x: (-x[1], x[0]))
-    vocabulary = min(len(frequent), gru.VOCABULARY - 2)
+    classes = classes_for(types)
+    vocabulary = min(len(frequent), classes * classes)
+    kind = _symbols(gru.vocabulary(classes))
 
-    encoded = docs.select("doc_id", "held_out", "text").mapInArrow(_encoder(frequent, end_count, vocabulary), _ENCODED)
+    encoded = docs.select("doc_id", "held_out", "text").mapInArrow(_encoder(frequent, end_count, vocabulary, kind), _ENCODED)
     encoded = stage(encoded, "lm-encoded")
 
-    symbol_counts = np.zeros(gru.VOCABULARY)
+    symbol_counts = np.zeros(gru.vocabulary(classes))
     symbol_counts[gru.END] = end_count
-    symbol_counts[2 : vocabulary + 2] = [n for _, n in frequent[:vocabulary]]
+    symbol_counts[gru.SPECIAL : vocabulary + gru.SPECIAL] = [n for _, n in frequent[:vocabulary]]
     other_tokens = train_tokens - symbol_counts.sum()
     other_types = max(0, types - vocabulary - (end_count > 0))
     symbol_counts[gru.OTHER] = other_tokens
-    training = encoded.filter(~F.col("held_out"))
-    # about START_DOCS rows by a hash, found where they are: no task sends more than its share
-    share = min(1.0, 1.2 * START_DOCS / max(1, end_count))
-    first = training.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(share * (1 << 30))).select("ids").limit(START_DOCS).collect()
-    trainer = gru.Trainer(gru.start(symbol_counts), START_RATE)
-    for _ in range(4 if first else 0):
-        trainer.learn([np.frombuffer(r["ids"], np.uint16).astype(np.int32) for r in first])
-    flat = gru.flatten(trainer.p)
-    # copies are read back some hundred at a time and summed there, so no task or driver sees them all
-    copies = stage(training.select("row", "ids").mapInArrow(_train(flat), "weight double, p array<double>"), "lm-copies")
-    summed = copies.select("weight", F.posexplode("p").alias("at", "x")).groupBy("at").agg((F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("x"))
-    for r in summed.collect():  # as many rows as the network has parameters
-        flat[r["at"]] = r["x"]
-
-    network = encoded.select("row", "ids").mapInArrow(_score(flat), "row long, network double")
+    training = encoded.filter(~F.col("held_out")).select("doc_id", "ids")
+    flat = fit_network(training, symbol_counts, classes, end_count, train_tokens)
+
+    network = encoded.select("row", "ids").mapInArrow(_score(flat, classes, kind), "row long, network double")
     rare = encoded.select("row", F.explode("rare").alias("word")).join(counts.filter("word IS NOT NULL"), "word")
     rare = rare.groupBy("row").agg(F.count("*").alias("seen"), F.sum(F.log10(F.col("n") + 1)).alias("part"))
     whole = encoded.drop("ids", "rare").join(network, "row").join(rare, "row", "left")

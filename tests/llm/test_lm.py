@@ -39,6 +39,25 @@ def test_empty_tables(spark):
     assert len(unseen) == len(ROWS) and all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in unseen)
 
 
+def test_scores_do_not_depend_on_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 20_000)
+    monkeypatch.setattr(lm, "SUMMED", 2)
+    monkeypatch.setattr(lm, "START_DOCS", 5)
+    docs, held = documents(spark), held_out(F.col("doc_id"), 7, 2)
+    one, six = (sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in lm.score(docs.repartition(n), held).collect()) for n in (1, 6))
+    assert [x[:2] for x in one] == [x[:2] for x in six]
+    assert np.allclose([x[2] for x in one], [x[2] for x in six], rtol=1e-4)
+    again = {}
+    for d, _, x in one:
+        again.setdefault(d, []).append(x)
+    assert all(max(x) - min(x) <= 1e-4 * abs(x[0]) for d, x in again.items() if d != "None" and len(x) > 1)
+
+
+def test_the_vocabulary_grows():
+    assert [lm.classes_for(n) for n in (0, 10**6, 10**8, 10**10)] == [32, 32, 100, 316]
+    assert lm._symbols(gru.vocabulary(100)) is np.uint16 and lm._symbols(gru.vocabulary(316)) is np.uint32
+
+
 def sequences(n, seed):
     """Two languages of words that follow each other: context helps."""
     rng = np.random.default_rng(seed)
@@ -51,8 +70,8 @@ def sequences(n, seed):
 
 def test_training_beats_the_start():
     train, test = sequences(300, 1), sequences(60, 2)
-    counts = np.bincount(np.concatenate(train), minlength=gru.VOCABULARY).astype(float)
-    start = gru.start(counts)
+    counts = np.bincount(np.concatenate(train), minlength=gru.vocabulary(32)).astype(float)
+    start = gru.start(counts, 32)
     trainer = gru.Trainer(start, 0.02)
     for _ in range(6):
         trainer.learn(train)
@@ -63,15 +82,15 @@ def test_training_beats_the_start():
 
 def test_a_documents_score_does_not_depend_on_its_neighbours():
     docs = sequences(40, 5)
-    p = gru.start(np.ones(gru.VOCABULARY))
+    p = gru.start(np.ones(gru.vocabulary(32)), 32)
     together = gru.log_likelihoods(p, docs)
     alone = [gru.log_likelihoods(p, [d])[0] for d in docs]
     assert np.allclose(together, alone, rtol=1e-4)
 
 
 def test_probabilities_sum_to_one():
-    p = gru.start(np.random.default_rng(0).random(gru.VOCABULARY) * 50)
-    docs = [np.array([7, w], np.int32) for w in range(gru.VOCABULARY)]
+    p = gru.start(np.random.default_rng(0).random(gru.vocabulary(32)) * 50, 32)
+    docs = [np.array([7, w], np.int32) for w in range(gru.vocabulary(32))]
     one = gru.log_likelihoods(p, [np.array([7], np.int32)])[0]
     assert abs(np.exp(gru.log_likelihoods(p, docs) - one).sum() - 1) < 1e-3
 
@@ -79,7 +98,7 @@ def test_probabilities_sum_to_one():
 def test_gradients():
     """Backpropagation against differences of the loss, over one window."""
     rng = np.random.default_rng(4)
-    p = {k: v.astype(np.float64) for k, v in gru.start(np.ones(gru.VOCABULARY)).items()}
+    p = {k: v.astype(np.float64) for k, v in gru.start(np.ones(gru.vocabulary(32)), 32).items()}
     docs = [rng.integers(0, 200, gru.WINDOW).astype(np.int32)]
     caught = {}
 

@@ -1,10 +1,14 @@
 """Near-duplicate documents by SetSketch banding, joint estimation and exact verification.
 
 Defined results: a document's shingle set is empty if its text is null, empty or
-has no word; it then links with nothing and is its own component. Rows that
-share a doc_id are separate documents unless their texts link. A null doc_id is
-carried through: it may link others, and is its component's id only if the
-component holds no other id. Extra columns are ignored by ``near_duplicates``.
+has no word; it then links with nothing, is its own component and always stays. Texts
+of any length are sketched whole, in bounded memory. Rows that share a doc_id are
+separate documents unless their texts link; rows repeated word for word link, so
+one of them stays. Of equal choices (texts of a set, rows of a component) the one with
+the smallest doc_id counts, then that with the smallest hash of its text. A null
+doc_id is carried through: it may link others, and is its component's id only if the
+component holds no other id. An empty table gives an empty table. Extra columns, of
+whatever names, are ignored by ``near_duplicates`` and untouched by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -17,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postwright.llm import setsketch as sk
-from postwright.llm.common import stage
+from postwright.llm.common import WORD, stage
 from postwright.llm.components import connected_components
 from postwright.llm.textset import WordHashes, set_digest, shingles
 
-#: Sets that one task compares with each other, at most, when a bucket stays unresolved.
-BLOCK = 512
+#: Sets, and shingles of sets, of half a block of an unresolved bucket, about; parts into which a bucket's sets are dealt.
+BLOCK, BLOCK_SHINGLES, SALTS = 512, 400_000, 64
 
 _SKETCH = "doc_id long, text_key long, n_shingles long, set_id binary, regs binary, bands array<long>"
 
@@ -80,32 +84,52 @@ def _verifier(size: int, percent: int):
     return run
 
 
+def _likely_pairs(key: tuple[pa.Scalar, ...], table: pa.Table, threshold: float, percent: int) -> tuple[list[tuple[float, int, int]], np.ndarray]:
+    """One pair of blocks of an unresolved bucket -> likely pairs of rows across components with their estimates, and the rows' components.
+
+    A pair is looked at in its first common band only.
+    """
+    table = table.combine_chunks()
+    i, j = key[1].as_py(), key[2].as_py()
+    regs = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint16).reshape(-1, sk.REGISTERS)
+    bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, sk.BANDS)
+    chunk, n, comp = table["chunk"].to_numpy(), table["n_shingles"].to_numpy(), np.unique(np.array(table["component"].to_pylist(), object), return_inverse=True)[1]
+    where = int(np.flatnonzero(bands[0] == key[0].as_py())[0])
+    left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+    likely = []
+    for x in left:
+        ys = right[right > x] if i == j else right
+        ys = ys[comp[ys] != comp[x]]
+        ys = ys[(100 * np.minimum(n[ys], n[x]) >= percent * np.maximum(n[ys], n[x])) & ((bands[ys, :where] != bands[x, :where]).all(axis=1))]
+        if len(ys):
+            est = sk.estimate((regs[x] > regs[ys]).sum(1), (regs[x] < regs[ys]).sum(1), n[x], n[ys])
+            likely += [(e, int(x), int(y)) for e, y in zip(est, ys, strict=True) if e >= sk.margin(threshold)]
+    return likely, comp
+
+
+def _block_needs(threshold: float, percent: int):
+    """One pair of blocks -> its sets that are in a likely pair: only their texts are fetched."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        likely, _ = _likely_pairs(key, table, threshold, percent)
+        needed = pa.array(sorted({x for _, a, b in likely for x in (a, b)}), pa.int64())
+        return table.select(["key", "i", "j", "chunk", "set_id", "component"]).take(needed)
+
+    return run
+
+
 def _block_links(threshold: float, size: int, percent: int):
-    """One pair of blocks of an unresolved bucket -> links that join components, verified on full sets.
+    """One pair of blocks with texts -> links that join components, verified on full sets.
 
-    A pair is looked at in its first common band only, likeliest pairs first, and
-    not at all once its components are joined: what leaves a task is at most
-    one link for each of its sets.
+    Likeliest pairs come first, and a pair not at all once its components are joined:
+    what leaves a task is at most one link for each of its sets.
     """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        t = table.to_pydict()
-        regs = np.frombuffer(b"".join(t["regs"]), np.uint16).reshape(-1, sk.REGISTERS)
-        chunk, n, ids, comp = np.array(t["chunk"]), np.array(t["n_shingles"]), t["set_id"], np.unique(t["component"], return_inverse=True)[1]
-        bands = np.array(t["bands"], np.int64)
-        where = int(np.flatnonzero(bands[0] == key[0].as_py())[0])
-        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        likely = []
-        for x in left:
-            ys = right[right > x] if i == j else right
-            ys = ys[comp[ys] != comp[x]]
-            ys = ys[(100 * np.minimum(n[ys], n[x]) >= percent * np.maximum(n[ys], n[x])) & ((bands[ys, :where] != bands[x, :where]).all(axis=1))]
-            if len(ys):
-                est = sk.estimate((regs[x] > regs[ys]).sum(1), (regs[x] < regs[ys]).sum(1), n[x], n[ys])
-                likely += [(e, x, y) for e, y in zip(est, ys, strict=True) if e >= sk.margin(threshold)]
+        likely, comp = _likely_pairs(key, table, threshold, percent)
         likely.sort(key=lambda p: -p[0])
-        parent, cache, sets = list(range(comp.max() + 1)), WordHashes(), {}
+        n, ids, texts = table["n_shingles"].to_numpy(), table["set_id"].to_pylist(), table["text"]
+        parent, cache, sets = list(range(int(comp.max()) + 1)), WordHashes(), {}
 
         def root(c: int) -> int:
             while parent[c] != c:
@@ -114,7 +138,7 @@ def _block_links(threshold: float, size: int, percent: int):
 
         def full(x: int) -> np.ndarray:
             if x not in sets:
-                sets[x] = shingles(t["text"][x], size, cache)
+                sets[x] = shingles(texts[x].as_py(), size, cache)
             return sets[x]
 
         out_a, out_b = [], []
@@ -158,11 +182,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     representative row, which tells rows apart that repeat that doc_id.
 
     Copies fall together by the digest of their set before any pair is made. Bands
-    of ROWS registers then bucket the distinct sets. Every set of a bucket is
-    compared with the bucket's least set: a star, linear in the bucket. Buckets
-    that still hold several components are compared across components in
-    blocks, by registers and then by full sets, and only joining links leave a
-    block: no component is lost and no group is expanded into pairs.
+    of ROWS registers then bucket the distinct sets. A bucket's sets are dealt into
+    SALTS parts, so that no key brings a bucket into one task: every set is compared
+    with its part's least set, and these with the bucket's least: stars of stars,
+    linear in the bucket. Buckets that still hold several components are compared
+    across components in blocks of bounded size, by registers first; texts are only
+    fetched for sets of likely pairs, and only joining links leave a block: no
+    component is lost and no group is expanded into pairs.
     A pair at the threshold shares a band but for a chance of 3e-6.
     """
     threshold = percent / 100
@@ -171,12 +197,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     full = sketch.filter("set_id IS NOT NULL")
     rep = full.groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"), F.first("bands").alias("bands"))
     sets = stage(rep, "sets")
-    keys = sets.select(F.explode("bands").alias("key"), "set_id")
-    buckets = keys.groupBy("key").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("most"), F.count("*").alias("size"))
-    buckets = stage(buckets.filter("leader <> most").drop("most"), "buckets")
-    members = stage(keys.join(buckets, "key"), "members")
-
-    star = members.filter("set_id <> leader").select(F.col("leader").alias("a"), F.col("set_id").alias("b")).distinct()
+    keys = sets.select(F.explode("bands").alias("key"), F.pmod(F.xxhash64("set_id"), F.lit(SALTS)).cast("int").alias("salt"), "set_id", "n_shingles")
+    parts = keys.groupBy("key", "salt").agg(F.min("set_id").alias("leader"), F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    whole = parts.groupBy("key").agg(F.min("leader").alias("head"), F.sum("n").alias("size"), F.sum("s").alias("shingles")).filter("size > 1")
+    parts = stage(parts.select("key", "salt", "leader").join(whole, "key"), "parts")
+    members = stage(keys.drop("n_shingles").join(parts, ["key", "salt"]), "members")
+
+    star = members.filter("set_id <> leader").select(F.col("leader").alias("a"), F.col("set_id").alias("b"))
+    star = star.union(parts.filter("leader <> head").select("head", "leader")).distinct()
     side = sets.select("set_id", "n_shingles", "regs")
     star = star.join(side.select(F.col("set_id").alias("b"), F.col("n_shingles").alias("b_n"), F.col("regs").alias("b_regs")), "b")
     star = star.join(side.select(F.col("set_id").alias("a"), F.col("n_shingles").alias("a_n"), F.col("regs").alias("a_regs")), "a")
@@ -185,17 +213,22 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     links = stage(_verified(star, sets, docs, shingle_words, percent), "links")
     labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    # buckets of three and more whose sets the star left in several components
-    open_sets = members.filter("size > 2").join(labels, members.set_id == labels.node, "left").select("key", "size", "set_id", F.coalesce("component", "set_id").alias("component"))
-    unresolved = open_sets.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    rest = stage(open_sets.join(unresolved, "key"), "unresolved")
+    # buckets of three and more whose sets the stars left in several components
+    named = members.filter("size > 2").join(labels, members.set_id == labels.node, "left")
+    open_sets = stage(named.select("key", "salt", "size", "shingles", "set_id", F.coalesce("component", "set_id").alias("component")), "open")
+    ends = open_sets.groupBy("key", "salt").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    unresolved = ends.groupBy("key").agg(F.min("low").alias("lowest"), F.max("high").alias("highest")).filter("lowest <> highest").select("key")
+    rest = stage(open_sets.join(ends.select("key", "salt").join(unresolved, "key"), ["key", "salt"]), "unresolved")
     if not rest.isEmpty():
-        blocks = rest.withColumn("n_chunks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        blocks = blocks.withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("n_chunks")).cast("int"))
+        blocks = rest.withColumn("n_chunks", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int"))
+        blocks = blocks.withColumn("chunk", F.pmod(F.xxhash64("set_id", F.lit(1)), F.col("n_chunks")).cast("int"))
         blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
         blocks = blocks.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "set_id", "component").distinct()
-        blocks = blocks.join(sets.select("set_id", "n_shingles", "regs", "bands"), "set_id").join(_texts(rest.select("set_id"), sets, docs), "set_id")
-        more = blocks.groupBy("key", "i", "j").applyInArrow(_block_links(threshold, shingle_words, percent), "a binary, b binary")
+        sketches = sets.select("set_id", "n_shingles", "regs", "bands")
+        found = blocks.join(sketches, "set_id").groupBy("key", "i", "j").applyInArrow(_block_needs(threshold, percent), blocks.schema)
+        needed = stage(found, "needed")
+        whole = needed.join(sketches, "set_id").join(_texts(needed.select("set_id"), sets, docs), "set_id")
+        more = whole.groupBy("key", "i", "j").applyInArrow(_block_links(threshold, shingle_words, percent), "a binary, b binary")
         links = links.union(stage(more, "links"))
         labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
@@ -212,9 +245,11 @@ def keep_first(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Da
     plan = near_duplicates(docs, shingle_words, percent)
     stays = plan.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("first_key")))
     stays = stays.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    keyed = docs.withColumn("__text_key", F.xxhash64("text"))
+    # rows without words are never copies of each other
+    alone = F.when(F.col("text").rlike(WORD), F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)
+    keyed = docs.withColumn("__text_key", F.xxhash64("text")).withColumn("__alone", alone)
     kept = keyed.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__text_key"]).select(*[f"`{c}`" for c in docs.columns])
+    return kept.dropDuplicates(["doc_id", "__text_key", "__alone"]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -53,6 +53,34 @@ def test_unresolved_buckets_lose_no_link(spark):
     assert set(found.values()) == {0}
 
 
+def test_pairs_just_above_the_threshold_are_found(spark):
+    # pairs of texts without any word in common with others; one word in the middle costs four shingles
+    rows, wanted = [], {}
+    for k in range(300):
+        words = [f"p{k}w{i}" for i in range(60 + k % 50)]
+        other = list(words)
+        for c in range(k % 3 + 1):
+            other[10 + 13 * c] = f"new{k}x{c}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        a, b = ({tuple(t[i : i + 4]) for i in range(len(t) - 3)} for t in (words, other))
+        wanted[2 * k + 1] = 2 * k if 100 * len(a & b) >= 80 * len(a | b) else 2 * k + 1
+        if k % 2:  # both sides of the threshold stand near it
+            assert 0.6 < len(a & b) / len(a | b) < 0.95
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert {d: found[d] for d in wanted} == wanted
+
+
+def test_a_large_bucket_is_dealt_into_parts_and_blocks(spark, monkeypatch):
+    # one long common text, changed at its end in another way each time: all sets share most bands
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join(base[:180] + [f"e{k}x{i}" for i in range(k % 2 * 60)] + [f"t{k}"])) for k in range(60)]
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    sets = {k: {tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)} for k, t in rows}
+    near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    assert all(found[k] == 0 for k in range(0, 60, 2)) and all(near(a, 0) == (found[a] == 0) for a in range(1, 60))
+
+
 def test_keep_first_keeps_one_of_each(spark):
     docs = documents(spark)
     kept = neardup.keep_first(docs, 5)
@@ -63,6 +91,11 @@ def test_keep_first_keeps_one_of_each(spark):
     assert ids[15] == 1 and ids[None] == 1
 
 
+def test_repeated_rows_without_words_all_stay(spark):
+    docs = spark.createDataFrame([(1, " "), (1, " "), (2, None), (2, None), (3, "a b"), (3, "a b")], "doc_id long, text string")
+    assert Counter(r["doc_id"] for r in neardup.keep_first(docs).collect()) == {1: 2, 2: 2, 3: 1}
+
+
 def test_empty_table(spark):
     assert neardup.near_duplicates(no_documents(spark)).count() == 0
     assert neardup.keep_first(no_documents(spark)).count() == 0

@@ -1,17 +1,22 @@
 """Line-first quality rules, in DataFrame functions only.
 
-Every line is judged by itself: symbols, shouting, repetition, boilerplate,
-navigation, an earlier copy in the same text. Lines that fail are removed, and a
+Every line is judged by itself: punctuation (symbols, no end mark, a teaser's dots),
+shouting, repetition, boilerplate, navigation (words, separators, links, runs of
+short lines), an earlier copy in the same text. Lines that fail are removed, and a
 document that loses too much of its text is rejected.
 
 Defined results: a null or empty text, or one without words, has counts of 0 and
-is rejected. Lines without a word are never judged; they stay. Texts of any length
-are handled whole, in one row. Rows are independent: repeated rows get equal
-results, an empty table gives none, extra columns pass ``clean_lines`` untouched.
+is rejected. Lines without a word are never judged; they stay, and end a run of short
+lines. Of equal lines the first stays. Texts of any length are handled whole, in one
+row. Rows are independent: repeated rows get equal results, an empty table gives
+none, extra columns pass ``clean_lines`` untouched.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,13 +25,37 @@ from postwright.llm.common import replace_text
 #: Limits of the line rules and of the document rules.
 SYMBOLS_PER_WORD, CAPITALS_PER_CHAR, LONG_LINE, DISTINCT_SHARE, MAX_LOST = 0.3, 0.5, 10, 1 / 3, 0.5
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
+#: Words of a line that must end with an end mark; separators of a row of links and its words per separator; share of links in a line.
+SENTENCE, SEPARATORS, WORDS_PER_SEPARATOR, LINK_SHARE = 5, 2, 5, 0.5
+#: Words of a short line at most, and lines of a run of them.
+SHORT, RUN = 3, 4
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOL = "[#*$%&|<>]"
 CAPITAL = "\\p{Lu}"
-#: Whole phrases of licences, notices and page furniture. Java and RE2 read them alike.
-BOILERPLATE = "(?i)(all rights reserved|licensed under|released under the|terms of (use|service)|privacy policy|accept (all )?cookies)"
-NAVIGATION = "(?i)^\\s*(home|menu|log ?in|sign (in|up)|subscribe|next|previous|back to top|read more|share|skip to content)\\s*$"
+# Java and RE2 read all patterns alike.
+#: A line that ends as a sentence does, brackets and quotation marks aside; a teaser; separators between links; a link.
+ENDED = "[.!?…:;][)\\]\"'”’»]*[\\x20\\x09-\\x0D]*\\z"
+TEASER = "(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*\\z"
+SEPARATOR = "[|»›•·]"
+LINK = "(?:https?://|www\\.)[^\\x20\\x09-\\x0D]+"
+#: Phrases of licences, notices and page furniture, by language (English, French, German, Spanish).
+BOILERPLATE = "(?i)(" + "|".join(
+    (
+        "all rights reserved|licensed under|released under the|terms of (use|service)|terms and conditions|privacy policy|cookie policy|accept (all )?cookies",
+        "tous droits r[eé]serv[eé]s|conditions (g[eé]n[eé]rales|d['’]utilisation)|politique de confidentialit[eé]|mentions l[eé]gales|accepter (tous )?les cookies|sous licence",
+        "alle rechte vorbehalten|nutzungsbedingungen|datenschutz(erkl[aä]rung|richtlinie)|gesch[aä]ftsbedingungen|(alle )?cookies (akzeptieren|zulassen)|lizenziert unter",
+        "todos los derechos reservados|t[eé]rminos (de uso|y condiciones)|pol[ií]tica de (privacidad|cookies)|aviso legal|aceptar (todas las )?cookies|bajo (la )?licencia",
+    )
+) + ")"
+NAVIGATION = "(?i)^\\s*(" + "|".join(
+    (
+        "home|menu|log ?in|sign (in|up)|subscribe|next|previous|back to top|read more|share|skip to content|contact( us)?|search",
+        "accueil|connexion|s['’]inscrire|s['’]abonner|suivant|pr[eé]c[eé]dent|haut de page|lire la suite|partager|contactez-nous|rechercher",
+        "startseite|men[uü]|anmelden|registrieren|abonnieren|weiter|zur[uü]ck|nach oben|weiterlesen|teilen|kontakt|suche",
+        "inicio|men[uú]|iniciar sesi[oó]n|registrarse|suscribirse|siguiente|anterior|volver arriba|leer m[aá]s|compartir|contacto|buscar",
+    )
+) + ")\\s*$"
 
 
 def split_words(text: Column) -> Column:
@@ -44,6 +73,10 @@ def line_fails(line: Column) -> Column:
     verdict = lambda x: (
         (F.regexp_count(line, F.lit(SYMBOL)) > SYMBOLS_PER_WORD * x["n"])
         | (F.regexp_count(line, F.lit(CAPITAL)) > CAPITALS_PER_CHAR * x["chars"])
+        | ((x["n"] >= SENTENCE) & ~line.rlike(ENDED))
+        | line.rlike(TEASER)
+        | ((F.regexp_count(line, F.lit(SEPARATOR)) >= SEPARATORS) & (x["n"] <= WORDS_PER_SEPARATOR * F.regexp_count(line, F.lit(SEPARATOR))))
+        | (line.rlike(LINK) & (F.length(F.array_join(F.regexp_extract_all(line, F.lit(f"({LINK})"), F.lit(1)), "")) > LINK_SHARE * x["chars"]))
         | ((x["n"] >= LONG_LINE) & (x["distinct"] < DISTINCT_SHARE * x["n"]))
         | line.rlike(BOILERPLATE)
         | line.rlike(NAVIGATION)
@@ -54,8 +87,14 @@ def line_fails(line: Column) -> Column:
 def _with_lines(docs: DataFrame) -> DataFrame:
     """Adds __lines: struct<line, fails> in order; fails is null for a line without words."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    judged = lambda x: F.struct(x.alias("line"), F.when(_has_word(x), line_fails(x)).alias("fails"))
-    docs = docs.withColumn("__judged", F.transform(lines, judged))
+    judged = lambda x: F.struct(x.alias("line"), F.when(_has_word(x), line_fails(x)).alias("fails"), (_has_word(x) & (F.size(split_words(x)) <= SHORT) & ~x.rlike(ENDED)).alias("short"))
+    docs = docs.withColumn("__rules", F.transform(lines, judged))
+    # a short line is in a run if some window of RUN lines around it is all short
+    short = lambda i: F.coalesce(F.get(F.col("__rules"), i)["short"], F.lit(False))
+    window = lambda i: reduce(or_, (reduce(and_, (short(i + k) for k in range(first, first + RUN))) for first in range(1 - RUN, 1)))
+    runs = F.transform("__rules", lambda x, i: F.struct(x["line"].alias("line"), (x["fails"] | window(i)).alias("fails")))
+    plain = F.transform("__rules", lambda x: F.struct(x["line"].alias("line"), x["fails"].alias("fails")))
+    docs = docs.withColumn("__judged", F.when(F.size(F.filter("__rules", lambda x: x["short"])) >= RUN, runs).otherwise(plain))
     docs = docs.withColumn("__texts", F.transform("__judged", lambda x: F.when(x["fails"].isNotNull(), x["line"])))
     repeated = F.size(F.array_distinct(F.filter("__texts", lambda x: x.isNotNull()))) < F.size(F.filter("__texts", lambda x: x.isNotNull()))
     docs = docs.withColumn("__repeated", repeated)
@@ -126,6 +165,10 @@ def op5(spark, sf_dir: str) -> DataFrame:
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_share")
 
 
+def _sql(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
@@ -133,12 +176,19 @@ x AS (SELECT r, unnest(range(1, greatest(len(ws) - 1, 1))) AS i, ws FROM w WHERE
 h AS (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i], ws[i + 1], ws[i + 2]) AS c FROM x),
 p AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS q FROM h WHERE c > 1) GROUP BY r),
 l AS (SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM w),
-m AS (SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY k) AS nth, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS lw FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+m AS (SELECT r, k, line, row_number() OVER (PARTITION BY r, line ORDER BY k) AS nth, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS lw FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+i AS (SELECT *, len(lw) <= {SHORT} AND NOT regexp_matches(line, '{_sql(ENDED)}') AS short FROM m),
+j AS (SELECT *, CASE WHEN short THEN k - row_number() OVER (PARTITION BY r, short ORDER BY k) END AS island FROM i),
+g AS (SELECT *, count(*) OVER (PARTITION BY r, island) AS run FROM j),
 f AS (SELECT r, length(line) AS size, nth,
     nth > 1 OR len(regexp_extract_all(line, '{SYMBOL}')) > {SYMBOLS_PER_WORD}::DOUBLE * len(lw)
     OR len(regexp_extract_all(line, '{CAPITAL}')) > {CAPITALS_PER_CHAR}::DOUBLE * length(array_to_string(lw, ''))
     OR (len(lw) >= {LONG_LINE} AND len(list_distinct(lw)) < (1::DOUBLE / 3) * len(lw))
-    OR regexp_matches(line, '{BOILERPLATE}') OR regexp_matches(line, '{NAVIGATION}') AS fails FROM m),
+    OR regexp_matches(line, '{_sql(BOILERPLATE)}') OR regexp_matches(line, '{_sql(NAVIGATION)}')
+    OR (len(lw) >= {SENTENCE} AND NOT regexp_matches(line, '{_sql(ENDED)}')) OR regexp_matches(line, '{_sql(TEASER)}')
+    OR (len(regexp_extract_all(line, '{SEPARATOR}')) >= {SEPARATORS} AND len(lw) <= {WORDS_PER_SEPARATOR} * len(regexp_extract_all(line, '{SEPARATOR}')))
+    OR (regexp_matches(line, '{LINK}') AND length(array_to_string(regexp_extract_all(line, '{LINK}'), '')) > {LINK_SHARE}::DOUBLE * length(array_to_string(lw, '')))
+    OR (short AND run >= {RUN}) AS fails FROM g),
 s AS (SELECT r, count(*) FILTER (WHERE nth > 1) AS dups, sum(size) FILTER (WHERE fails) AS lost, sum(size) AS total FROM f GROUP BY r),
 t AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, len(regexp_extract_all(text, '{SYMBOL}')) AS n_symbols,
     coalesce(dups, 0) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, CASE WHEN total > 0 THEN coalesce(lost, 0)::DOUBLE / total::DOUBLE ELSE 1.0::DOUBLE END AS lost_share

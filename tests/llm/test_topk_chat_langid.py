@@ -30,17 +30,47 @@ def test_top_k_is_exact(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 100)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
     monkeypatch.setattr(topk, "RESOLVE", 12)
+    monkeypatch.setattr(topk, "READ_COST", 0)  # read on as long as anything is open
+    monkeypatch.setattr(topk, "SLICE", 4)
     v = topk.quantised(table.withColumn("v", F.lit(1)).withColumn("score", F.lit(2)))
-    found = topk.top_k(v, v.filter("vec_id % 100 = 0"))
+    found = topk.top_k(v, F.col("vec_id") % 100 == 0)
     assert sorted(map(tuple, found.collect())) == brute(rows, range(0, 700, 100))
 
 
 def test_fewer_candidates_and_large_numbers(spark):
     rows = [(0, [1e30, 1.0]), (1, [1e30, -1.0]), (2, [-3.0, 5.5])]
     v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    found = topk.top_k(v, v.filter("vec_id = 0")).collect()
+    found = topk.top_k(v, F.col("vec_id") == 0).collect()
     assert [(r["rank"], r["vec_id"]) for r in sorted(found, key=lambda r: r["rank"])] == [(1, 1), (2, 2)] and found[0]["score"] <= 2**63 - 1
-    assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
+    assert topk.top_k(v.limit(0), F.lit(True)).count() == 0
+
+
+def test_repeated_queries_empty_vectors_and_null_ids(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [-1.0, 0.0]), (1, []), (2, [0.5]), (None, [9.0, 9.0]), (3, [1.0, 2.0])]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"] // 1024**2) for r in topk.top_k(v, F.col("vec_id") % 100 == 0, 3).collect())
+    # each of the three rows with id 0 is a query of its own, and a candidate of the others
+    assert found == [(0, 1, 0, 5), (0, 1, 0, 5), (0, 1, 1, 0), (0, 2, 2, -1), (0, 2, 3, 5), (0, 2, 3, 5), (0, 3, 0, -1), (0, 3, 2, 0), (0, 3, 2, 0)]
+
+
+def test_stopping_early_reads_less():
+    rng = np.random.default_rng(3)
+    far = rng.integers(-50, 50, (2000, 8)).astype(float)
+    near = np.full((12, 8), 900.0) + rng.integers(0, 9, (12, 8))
+    vectors, query = np.vstack([far, near]), np.full((1, 8), 100.0)
+    seen = []
+    original = topk.bounds
+
+    def counted(lists, queries, depths, sums, unread):
+        seen.append(depths)
+        return original(lists, queries, depths, sums, unread)
+
+    topk.bounds = counted
+    try:
+        found = topk.search_block(query, vectors, np.array([-1]), np.array([-np.inf]), 10, 0.0)[0]
+    finally:
+        topk.bounds = original
+    assert seen == [(0, topk.SLICE)] and set(np.argsort(-(vectors @ query[0]), kind="stable")[:10]) <= set(found)
 
 
 TURNS = [

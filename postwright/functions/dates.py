@@ -8,14 +8,6 @@ from pyspark.sql import functions as F
 from postwright.functions import fixed_values as V
 from postwright.functions.textops import ci, strip
 
-NUMERIC = r"(\d{1,2})[/\-](\d{1,2})[/\-](\d{4})"
-SHORT_NUMERIC = r"(\d{1,2})[/\-](\d{1,2})[/\-](\d{2})\b"
-ISO = r"(\d{4})-(\d{2})-(\d{2})"
-DAY_MON = r"(\d{1,2})-([A-Za-z]{3})-(\d{4})"
-ORDINAL = r"(?i)(\d{1,2})(?:st|nd|rd|th)\s+([A-Za-z]+)\s+(\d{4})"
-DAY_MONTH = r"(?iu)(\d{1,2})\s+([a-zéûôàî]+)\s+(\d{4})"
-MONTH_DAY = r"([A-Za-z]+)\s+(\d{1,2}),?\s+(\d{4})"
-PARTIAL = r"(?i)\b([A-Za-z]+)\s+(\d{1,2})(?:st|nd|rd|th)?\b(?!\d)"
 OPEN = ci(V.OPEN_ENDED)
 
 
@@ -36,11 +28,11 @@ def _groups(text: Column, pattern: str) -> tuple[Column, Column, Column]:
 
 
 def iso_date(text: Column) -> Column:
-    return ymd(*_groups(text, ISO))
+    return ymd(*_groups(text, V.ISO))
 
 
 def day_mon_date(text: Column) -> Column:
-    d, m, y = _groups(text, DAY_MON)
+    d, m, y = _groups(text, V.DAY_MON)
     return ymd(y, _month(m, V.MONTH_ABBREVIATIONS), d)
 
 
@@ -51,24 +43,24 @@ def _either(a: Column, b: Column, year: Column, month_first: Column) -> Column:
 
 def numeric_date(text: Column, month_first: Column) -> Column:
     """D/M/Y or M/D/Y; years of two digits only where none has four."""
-    a, b, y = _groups(text, NUMERIC)
-    c, d, yy = _groups(text, SHORT_NUMERIC)
+    a, b, y = _groups(text, V.NUMERIC)
+    c, d, yy = _groups(text, V.SHORT_NUMERIC)
     short = F.when(yy != "", _either(c, d, F.concat(F.lit("20"), yy), month_first))
     return F.when(y != "", _either(a, b, y, month_first)).otherwise(short)
 
 
 def ordinal_date(text: Column) -> Column:
-    d, m, y = _groups(text, ORDINAL)
+    d, m, y = _groups(text, V.ORDINAL)
     return ymd(y, _month(m, V.EN_MONTHS), d)
 
 
 def day_month_date(text: Column) -> Column:
-    d, m, y = _groups(text, DAY_MONTH)
+    d, m, y = _groups(text, V.DAY_MONTH)
     return ymd(y, _month(m, V.FR_MONTHS, V.EN_MONTHS), d)
 
 
 def month_day_date(text: Column) -> Column:
-    m, d, y = _groups(text, MONTH_DAY)
+    m, d, y = _groups(text, V.MONTH_DAY)
     return ymd(y, _month(m, V.EN_MONTHS), d)
 
 
@@ -85,18 +77,18 @@ def parse_date(text: Column, month_first: Column | bool = False) -> Column:
 
 def partial_date(text: Column, as_of: Column) -> Column:
     """Month and day without a year: the first such day from ``as_of`` on, this year or next."""
-    month, day = _month(F.regexp_extract(text, PARTIAL, 1), V.EN_MONTHS), F.regexp_extract(text, PARTIAL, 2)
+    month, day = _month(F.regexp_extract(text, V.PARTIAL, 1), V.EN_MONTHS), F.regexp_extract(text, V.PARTIAL, 2)
     this, following = ymd(F.year(as_of), month, day), ymd(F.year(as_of) + 1, month, day)
     return F.when(~text.rlike(r"\d{4}"), F.coalesce(F.when(this >= as_of, this), F.when(following >= as_of, following)))
 
 
 def month_first(text: Column) -> Column:
     """Whether a text's numeric dates put the month first: by the first one that tells."""
-    parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(NUMERIC), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(NUMERIC), F.lit(2)).alias("b"))
+    parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(V.NUMERIC), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(V.NUMERIC), F.lit(2)).alias("b"))
     telling = F.filter(parts, lambda p: (p["a"].cast("int") > 12) | (p["b"].cast("int") > 12))
     return F.coalesce(F.get(telling, 0)["b"].cast("int") > 12, F.lit(False))
 
 
 def expiry_status(date: Column, as_of: Column) -> Column:
-    """``expired`` for a date before ``as_of``, ``open`` for another, null without one."""
-    return F.when(date < as_of, "expired").when(date.isNotNull(), "open")
+    """``expired`` for a date before ``as_of``, the date itself as text for another, null without one."""
+    return F.when(date < as_of, "expired").otherwise(F.date_format(date, "yyyy-MM-dd"))

@@ -1,10 +1,9 @@
 """Deadline scanner: lines, rules in order, first date wins, open-ended values stop the scan.
 
-Every line offers candidate strings in the order in which the rules would try
-them; candidates are parsed once, as columns, and the least (line, rank) that
-gives a date or a stop is the document's result. Lines and their neighbours
-come from one array, so the scan itself needs no window; one partially
-aggregated shuffle by key takes the minimum.
+The scan is one expression over a text, in its own row: no line leaves it, and nothing
+is shuffled. Lines that no rule can fire on are passed by one combined pattern.
+On the others the candidate strings are tried in the order of the rules, and parsing
+ends with the first that gives a date or a stop; then so does the scan.
 """
 
 from __future__ import annotations
@@ -21,7 +20,9 @@ START_LABEL = ci(rf"(?s)(?:{'|'.join(V.START_LABELS)})\s*:?\s*(.*)$")
 APPLY_BY, RESUME_BY, SUBMIT_BY = ci(V.INLINE_APPLY_BY), ci(V.INLINE_RESUME_BY), ci(V.INLINE_SUBMIT_BY)
 CLOSE_ON, ACCEPTED, BY, AU = ci(V.INLINE_CLOSE_ON), ci(V.INLINE_ACCEPTED_UNTIL), ci(V.BY_LINE), ci(V.AU_LINE)
 BY_CONTEXT = ci(V.BY_LINE_CONTEXT)
-_CANDIDATE = "struct<rank:int,text:string,partial:boolean,stops:boolean,rule:string>"
+#: Any line on which a rule can fire.
+TRIGGERS = (*V.DEADLINE_LABELS, V.INLINE_APPLY_BY, V.INLINE_RESUME_BY, V.INLINE_SUBMIT_BY, V.INLINE_CLOSE_ON, V.INLINE_ACCEPTED_UNTIL, V.BY_LINE, V.AU_LINE)
+FOUND = "struct<date:date,rule:string,open_ended:boolean>"
 
 
 def _candidate(rank: int, rule: str, when: Column, text: Column, partial: bool = False, stops: bool = False) -> Column:
@@ -66,39 +67,62 @@ def _start_rules(at: Column, all_lines: Column) -> Column:
     return F.filter(F.array(*found), lambda c: c.isNotNull())
 
 
-def _scan(docs: DataFrame, key: list[str], text: str, as_of: Column, rules) -> DataFrame:
-    body = docs.select(*key, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    body = body.select(*key, month_first(F.col("__text")).alias("__mdy"), lines(F.col("__text")).alias("__lines"))
-    # both columns are used below: they stay columns, and are not computed again in every candidate
-    body = body.filter((F.size("__lines") > 0) & F.col("__mdy").isNotNull())
-    at = body.withColumn("__at", F.explode(F.sequence(F.lit(0), F.size("__lines") - 1)))
-    found = at.withColumn("__c", F.explode(rules(F.col("__at"), F.col("__lines"))))
-    c, candidate = F.col("__c"), F.col("__c.text")
-    date = parse_date(candidate, F.col("__mdy"))
-    date = F.coalesce(date, F.when(c["partial"], partial_date(candidate, as_of)))
-    stop = c["stops"] & open_ended(candidate)
-    before = F.slice("__lines", F.greatest(F.col("__at") - 2, F.lit(1)), F.least(F.col("__at"), F.lit(3)))
-    range_ok = (c["rule"] != "au line") | F.exists(F.transform(before, lambda p: parse_date(p, F.col("__mdy"))), lambda d: d.isNotNull())
-    found = found.select(*key, "__at", c["rank"].alias("rank"), c["rule"].alias("rule"), F.when(~stop, date).alias("date"), stop.alias("stop"), range_ok.alias("ok"))
-    found = found.filter(F.col("ok") & (F.col("date").isNotNull() | F.col("stop")))
-    first = F.min(F.struct("__at", "rank", "date", "stop", "rule")).alias("first")
-    found = found.groupBy(*key).agg(first)
-    return found.select(*key, F.col("first.date").alias("date"), F.col("first.rule").alias("rule"), F.col("first.stop").alias("open_ended"))
+def _bind(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _outcome(c: Column, at: Column, all_lines: Column, mdy: Column, as_of: Column) -> Column:
+    """FOUND of a candidate, or null if it gives neither a date nor a stop."""
+    before = F.slice(all_lines, F.greatest(at - 2, F.lit(1)), F.least(at, F.lit(3)))
+    in_range = (c["rule"] != "au line") | F.exists(before, lambda p: parse_date(p, mdy).isNotNull())
+    date = F.coalesce(parse_date(c["text"], mdy), F.when(c["partial"], partial_date(c["text"], as_of)))
+    made = lambda d, stop: F.struct(d.alias("date"), c["rule"].alias("rule"), F.lit(stop).alias("open_ended"))
+    stop = F.when(c["stops"] & open_ended(c["text"]), made(F.lit(None).cast("date"), True))
+    return F.when(in_range, F.coalesce(stop, _bind(date, lambda d: F.when(d.isNotNull(), made(d, False)))))
+
+
+def _scan(text: Column, as_of: Column, rules, triggers) -> Column:
+    """FOUND of the first candidate of the first line that gives one; null without. ``triggers``: patterns of the lines that rules can fire on."""
+    none, any_rule = F.lit(None).cast(FOUND), ci("|".join(f"(?:{x})" for x in triggers))
+
+    def first(all_lines: Column, mdy: Column) -> Column:
+        try_one = lambda a, c, at: F.when(a.isNotNull(), a).otherwise(_outcome(c, at, all_lines, mdy, as_of))
+        line = lambda a, at: F.when(a.isNotNull(), a).otherwise(F.aggregate(rules(at, all_lines), none, lambda b, c: try_one(b, c, at)))
+        hits = F.filter(F.transform(all_lines, lambda x, i: F.when(x.rlike(any_rule), i)), lambda i: i.isNotNull())
+        return F.aggregate(hits, none, line)
+
+    body = F.coalesce(text, F.lit(""))
+    # a whole text is searched without the anchors of its lines
+    return F.when(body.rlike(ci("|".join(f"(?:{x.lstrip('^')})" for x in triggers))), _bind(body, lambda t: _bind(F.struct(lines(t).alias("lines"), month_first(t).alias("mdy")), lambda b: first(b["lines"], b["mdy"]))))
+
+
+def deadline(text: Column, as_of: Column) -> Column:
+    """FOUND: the deadline of a text of lines, by which rule, or that it is open-ended; null without."""
+    return _scan(text, as_of, _rules, TRIGGERS)
+
+
+def start_date(text: Column, as_of: Column) -> Column:
+    """The date after a text's first start label that gives one."""
+    return _scan(text, as_of, _start_rules, V.START_LABELS)["date"]
+
+
+def expiry_date(text: Column, as_of: Column) -> Column:
+    """The deadline, or else the start date."""
+    return F.coalesce(deadline(text, as_of)["date"], start_date(text, as_of))
 
 
 def deadlines(docs: DataFrame, key: list[str], text: str, as_of: Column) -> DataFrame:
     """key, date, rule, open_ended of every document with a deadline or an open-ended label."""
-    return _scan(docs, key, text, as_of, _rules)
+    found = docs.select(*key, deadline(F.col(text), as_of).alias("__d")).filter("__d IS NOT NULL")
+    return found.select(*key, "__d.date", "__d.rule", "__d.open_ended")
 
 
 def start_dates(docs: DataFrame, key: list[str], text: str, as_of: Column) -> DataFrame:
     """key, date of every document with a start date after its label."""
-    return _scan(docs, key, text, as_of, _start_rules).select(*key, "date")
+    return docs.select(*key, start_date(F.col(text), as_of).alias("date")).filter("date IS NOT NULL")
 
 
 def expiry(docs: DataFrame, key: list[str], text: str, as_of: Column) -> DataFrame:
     """key, expiry_date: the deadline, or else the start date, of every document that has one."""
-    d = deadlines(docs, key, text, as_of).select(*key, F.col("date").alias("deadline"))
-    s = start_dates(docs, key, text, as_of).select(*key, F.col("date").alias("start"))
-    both = d.join(s, key, "full").select(*key, F.coalesce("deadline", "start").alias("expiry_date"))
-    return both.filter("expiry_date IS NOT NULL")
+    return docs.select(*key, expiry_date(F.col(text), as_of).alias("expiry_date")).filter("expiry_date IS NOT NULL")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postwright.operators.sync import ranked_sample
+from postwright.sources.shared import stage
 
 
 def seeded_order(key: Column, seed: str) -> Column:
@@ -19,23 +20,30 @@ def map_categories(rows: DataFrame, mapping: DataFrame, how: str = "left") -> Da
     return rows.join(m, F.lower(rows["category"]) == F.col("__label"), how).drop("__label")
 
 
-def quota_fill(mapped: DataFrame, heuristic: DataFrame, existing: DataFrame, limit: int, key: str, seed: str, mapped_percent: int = 80) -> DataFrame:
-    """New rows to label: each category is filled to ``limit``, at most ``mapped_percent`` of the need from the mapping.
+def quota_fill(candidates: DataFrame, existing: DataFrame, limit: int, key: str, seed: str, mapped_percent: int = 80, recheck: Column | None = None) -> DataFrame:
+    """New rows to label: each category is filled to ``limit``, at most ``mapped_percent`` of the need from the mapping, the rest from the heuristic.
 
-    ``mapped`` and ``heuristic`` hold key and category_id; rows already labelled (in
-    ``existing``) or taken by the first pass are not taken again.
+    ``candidates``: key, ``mapped`` and ``heuristic`` categories (or null); ``existing``: key
+    and category_id of rows labelled already, which are not taken again. ``recheck``
+    says which mapped labels are ambiguous: they count only where the heuristic agrees.
+    Two passes over one staged table; in each a bounded number of rows per
+    category is ranked, and Spark cuts each task's rows to that number before the shuffle.
     """
     have = existing.groupBy("category_id").agg(F.count("*").alias("have"))
+    open_ = stage(candidates.join(existing.select(key), key, "left_anti").withColumn("__order", seeded_order(F.col(key), seed)), "quota")
     need = F.greatest(F.lit(limit) - F.coalesce("have", F.lit(0)), F.lit(0))
 
-    def take(rows: DataFrame, share: Column) -> DataFrame:
-        open_ = rows.join(existing.select(key), key, "left_anti").join(have, "category_id", "left").withColumn("__quota", share)
-        return ranked_sample(open_, seeded_order(F.col(key), seed), F.col("__quota"), ["category_id"])
+    def take(rows: DataFrame, share: Column, name: str) -> DataFrame:
+        # no pass takes more than the limit, which is a constant that the ranking knows beforehand
+        ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("category_id").orderBy("__order", key))).filter(F.col("__rank") <= limit)
+        return ranked.join(have, "category_id", "left").filter(F.col("__rank") <= share).select(key, "category_id", F.lit(name).alias("pass"))
 
-    first = take(mapped, F.floor(need * mapped_percent / 100)).select(key, "category_id", "__quota")
-    taken = first.groupBy("category_id").agg(F.count("*").alias("taken"))
-    second = take(heuristic.join(first.select(key), key, "left_anti").join(taken, "category_id", "left"), need - F.coalesce("taken", F.lit(0)))
-    return first.select(key, "category_id", F.lit("map").alias("pass")).unionByName(second.select(key, "category_id", F.lit("heuristic").alias("pass")))
+    sure = F.lit(True) if recheck is None else ~recheck | F.col("mapped").eqNullSafe(F.col("heuristic"))
+    mapped = open_.filter(F.col("mapped").isNotNull() & sure).select(key, F.col("mapped").alias("category_id"), "__order")
+    first = stage(take(mapped, F.floor(need * mapped_percent / 100), "map"), "quota-map")
+    have = have.join(first.groupBy("category_id").agg(F.count("*").alias("taken")), "category_id", "full").select("category_id", (F.coalesce("have", F.lit(0)) + F.coalesce("taken", F.lit(0))).alias("have"))
+    rest = open_.filter("heuristic IS NOT NULL").select(key, F.col("heuristic").alias("category_id"), "__order").join(first.select(key), key, "left_anti")
+    return first.unionByName(take(rest, need, "heuristic"))
 
 
 def review_counts(categories: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -108,14 +116,26 @@ def report_averages(report: DataFrame) -> DataFrame:
     return report.agg(F.sum("support").alias("total"), *[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")], *[(F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(f"weighted_{c}") for c in ("precision", "recall", "f1")])
 
 
-def hit_rates(rows: DataFrame, by: list[str], hits: dict[str, Column]) -> DataFrame:
-    """Rows, and how many and what share of them have each hit."""
+def hit_rates(rows: DataFrame, by: list[str], hits: dict[str, Column], means: dict[str, Column] | None = None) -> DataFrame:
+    """Rows, how many and what share of them have each hit, and means of measures (such as a latency)."""
     aggs = [F.count("*").alias("n_rows")]
     for name, hit in hits.items():
         aggs += [F.count_if(hit).alias(f"n_{name}"), F.round(F.count_if(hit) / F.count("*"), 6).alias(f"share_{name}")]
+    aggs += [F.round(F.avg(measure), 6).alias(f"mean_{name}") for name, measure in (means or {}).items()]
     return rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
 
 
+def accuracy(rows: DataFrame, label: str, predicted: str) -> DataFrame:
+    """Rows, and the share whose prediction is the label; null labels and predictions are never right."""
+    return rows.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.col(label) == F.col(predicted), F.lit(False)).cast("double")).alias("accuracy"))
+
+
+def verified_only(rows: DataFrame, enabled: bool = True, category: int | None = None) -> DataFrame:
+    """Reviewed rows, if the filter is enabled, of one category, if one is given."""
+    rows = rows.filter("verified") if enabled else rows
+    return rows if category is None else rows.filter(F.col("category_id") == category)
+
+
 def rerank(probabilities: Column, floors: dict[int, float]) -> Column:
     """(category id, confidence) of class probabilities: a top class below its floor gives way to the second best, once."""
     top = F.array_max(probabilities)

@@ -45,12 +45,12 @@ def _either(a: str, b: str, y: str, mdy: str) -> str:
 
 def forms(t: str, mdy: str = "false") -> dict[str, str]:
     """DuckDB expressions of the date forms, in order."""
-    iso = _ymd(*[_g(t, D.ISO, i) for i in (1, 2, 3)])
-    mon = _ymd(_g(t, D.DAY_MON, 3), _month(_g(t, D.DAY_MON, 2), V.MONTH_ABBREVIATIONS), _g(t, D.DAY_MON, 1))
+    iso = _ymd(*[_g(t, V.ISO, i) for i in (1, 2, 3)])
+    mon = _ymd(_g(t, V.DAY_MON, 3), _month(_g(t, V.DAY_MON, 2), V.MONTH_ABBREVIATIONS), _g(t, V.DAY_MON, 1))
     a, b, y = (_g(t, _NUM, i) for i in (1, 2, 3))
     c, d, yy = (_g(t, _SHORT, i) for i in (1, 2, 3))
     num = f"CASE WHEN {y} <> '' THEN {_either(a, b, y, mdy)} WHEN {yy} <> '' THEN {_either(c, d, f"('20' || {yy})", mdy)} END"
-    o, f, e = r"(\d{1,2})(?:st|nd|rd|th)\s+([A-Za-z]+)\s+(\d{4})", r"(\d{1,2})\s+([a-zéûôàî]+)\s+(\d{4})", D.MONTH_DAY
+    o, f, e = r"(\d{1,2})(?:st|nd|rd|th)\s+([A-Za-z]+)\s+(\d{4})", r"(\d{1,2})\s+([a-zéûôàî]+)\s+(\d{4})", V.MONTH_DAY
     ordinal = _ymd(_g(t, o, 3), _month(_g(t, o, 2), V.EN_MONTHS), _g(t, o, 1))
     french = _ymd(_g(t, f, 3), _month(_g(t, f, 2), V.FR_MONTHS, V.EN_MONTHS), _g(t, f, 1))
     english = _ymd(_g(t, e, 3), _month(_g(t, e, 1), V.EN_MONTHS), _g(t, e, 2))
@@ -196,13 +196,50 @@ def start_date_fallback(spark, sf_dir):
     return DL.start_dates(postings(spark, sf_dir), ["source_job_id"], "description", _as_of())
 
 
-@R.add()
+#: Rule of each description of the postings view, by hand; others have none. The third is open-ended.
+_RULES = {0: "label", 1: "label", 2: "label", 3: "apply by", 4: "resume by", 5: "submit by", 6: "closes on", 7: "accepted until", 8: "by line", 9: "au line", 10: "label two lines", 11: "label", 14: "label", 15: "label"}
+_DATES = {
+    **dict.fromkeys((0, 3, 4, 5, 6, 7, 8, 10), r"CAST(strptime(regexp_extract(description, '([A-Z][a-z]+ \d{1,2}, \d{4})', 1), '%B %-d, %Y') AS DATE)"), 1: r"CAST(strptime(regexp_extract(description, '\d{2}/\d{2}/\d{4}'), '%d/%m/%Y') AS DATE)",
+    9: r"CAST(regexp_extract(description, 'au (\S+)', 1) AS DATE)", 11: "DATE '1997-04-12'", 14: "DATE '1998-03-22'", 15: "DATE '1997-04-02'",
+}
+
+
+@R.add(f"""{P} SELECT source_job_id, CASE source_job_id % 16 {" ".join(f"WHEN {k} THEN {d}" for k, d in _DATES.items())} END AS date, CASE source_job_id % 16 {" ".join(f"WHEN {k} THEN '{r}'" for k, r in _RULES.items())} END AS rule, source_job_id % 16 = 2 AS open_ended
+  FROM p WHERE source_job_id % 16 IN ({", ".join(map(str, _RULES))})""")
 def deadline_scan(spark, sf_dir):
-    """All rules together; the rules have their oracles one by one."""
+    """All rules together on the postings view."""
     return DL.deadlines(postings(spark, sf_dir), ["source_job_id"], "description", _as_of())
 
 
-@R.add(f"WITH {_STRINGS_SQL}, q AS (SELECT o_orderkey, {parse('t', 'mdy')} AS d FROM s) SELECT o_orderkey, CASE WHEN d < DATE '{AS_OF}' THEN 'expired' WHEN d IS NOT NULL THEN 'open' END AS status FROM q")
+#: Texts in which several rules could fire, by hand: lines (A, B: two dates of the row), the date that counts and its rule.
+_SEVERAL = [
+    (["Please apply by A", "Deadline: B"], "A", "apply by"), (["Deadline: B", "Please apply by A"], "B", "label"), (["Deadline: apply by A"], "A", "label"),
+    (["Closing date: see below", "Nothing here", "Please apply by A"], "A", "label two lines"), (["Closing date: see", "one", "two", "Please apply by A"], "A", "apply by"),
+    (["Deadline: until filled", "Please apply by A"], None, "label"), (["Closing date:", "Open", "Deadline: A"], None, "label next line"), (["Send a resume by", "tomorrow", "A"], None, None),
+    (["Applications are accepted until", "the day of", "or after", "A"], "A", "accepted until"), (["Please submit all papers by A", "by B"], "A", "submit by"), (["by A", "Deadline: B"], "B", "label"),
+    (["Send your resume", "or call", "by A", "by B"], "A", "by line"), (["au A", "Fin: B"], None, None), (["Le B", "au A"], "A", "au line"), (["This job posting closes soon on", "A", "Deadline: B"], "A", "label next line"), (["This position will close soon on", "A", "Deadline: B"], "A", "closes on"),
+]
+
+
+def _several(n: int) -> str:
+    day = lambda shift: f"strftime(CAST(o_orderdate AS DATE) + {shift}, '%Y-%m-%d')"
+    return f"SELECT o_orderkey, o_orderkey % {n} AS k, {day(0)} AS a, {day(9)} AS b FROM orders"
+
+
+@R.add(f"""WITH s AS ({_several(len(_SEVERAL))}) SELECT o_orderkey, CAST(CASE k {" ".join(f"WHEN {i} THEN {d.lower()}" for i, (_, d, _r) in enumerate(_SEVERAL) if d)} END AS DATE) AS date,
+  CASE k {" ".join(f"WHEN {i} THEN '{r}'" for i, (_, _d, r) in enumerate(_SEVERAL) if r)} END AS rule, k IN ({", ".join(str(i) for i, (_, d, r) in enumerate(_SEVERAL) if r and not d)}) AS open_ended
+  FROM s WHERE k IN ({", ".join(str(i) for i, (_, _d, r) in enumerate(_SEVERAL) if r)})""")
+def deadline_precedence(spark, sf_dir):
+    """Order of lines and rules, stops, and windows over several lines."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    a, b = F.date_format("day", "yyyy-MM-dd"), F.date_format(F.date_add("day", 9), "yyyy-MM-dd")
+    text = F.coalesce(*[F.when(F.col("o_orderkey") % len(_SEVERAL) == i, F.lit("\n".join(x))) for i, (x, _, _) in enumerate(_SEVERAL)])
+    text = F.regexp_replace(F.regexp_replace(text, r"\bA\b", F.lit("@")), r"\bB\b", F.lit("#"))
+    rows = orders.select("o_orderkey", F.replace(F.replace(text, F.lit("@"), a), F.lit("#"), b).alias("t"))
+    return DL.deadlines(rows, ["o_orderkey"], "t", _as_of())
+
+
+@R.add(f"WITH {_STRINGS_SQL}, q AS (SELECT o_orderkey, {parse('t', 'mdy')} AS d FROM s) SELECT o_orderkey, CASE WHEN d < DATE '{AS_OF}' THEN 'expired' WHEN d IS NOT NULL THEN strftime(d, '%Y-%m-%d') END AS status FROM q")
 def expiry_status(spark, sf_dir):
     rows = _strings(spark, sf_dir).select("o_orderkey", D.parse_date(F.col("t"), F.col("mdy")).alias("d"))
     return rows.select("o_orderkey", D.expiry_status(F.col("d"), _as_of()).alias("status"))

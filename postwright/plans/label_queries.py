@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from postwright.functions import email as E
+from postwright.operators import deadline as DL
 from postwright.operators import labelling as B
 from postwright.operators import process as W
 from postwright.operators import sync as S
@@ -87,9 +89,9 @@ c2 AS (SELECT he.k, he.category_id, greatest(120 - coalesce(have, 0), 0) - coale
 f2 AS (SELECT k, category_id FROM (SELECT *, row_number() OVER (PARTITION BY category_id ORDER BY md5(concat_ws('|', k, '42'))) AS r FROM c2) WHERE r <= need)
 SELECT k, category_id, 'map' AS pass FROM f1 UNION ALL SELECT k, category_id, 'heuristic' FROM f2""")
 def labelling_quota(spark, sf_dir):
-    mapped = B.map_categories(postings(spark, sf_dir), _mapping(spark), "inner").select(F.col("source_job_id").alias("k"), F.col("category_id").cast("long").alias("category_id"))
-    heuristic = postings(spark, sf_dir).select(F.col("source_job_id").alias("k"), (3 + F.col("source_job_id") % 6).alias("category_id"))
-    return B.quota_fill(mapped, heuristic, mapped.filter("k % 50 = 0"), 120, "k", SEED)
+    rows = B.map_categories(postings(spark, sf_dir), _mapping(spark), "left").select(F.col("source_job_id").alias("k"), F.col("category_id").cast("long").alias("mapped"), (3 + F.col("source_job_id") % 6).alias("heuristic"))
+    existing = rows.filter("k % 50 = 0 AND mapped IS NOT NULL").select("k", F.col("mapped").alias("category_id"))
+    return B.quota_fill(rows, existing, 120, "k", SEED)
 
 
 @R.add("SELECT doc_id, toxic FROM labels WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, -1 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id % 2 = 0)")
@@ -111,16 +113,8 @@ def labelling_toggle(spark, sf_dir):
     return B.toggle(store, store.filter("id % 7 = 0"))
 
 
-@R.add("SELECT d.doc_id, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.toxic, 0) <> 1 AND d.doc_id % 2 = 0")
+@R.add(f"{P} SELECT source_job_id, false AS changed_email, false AS changed_expiry_date, {html_queries._MARKED_ADDRESS} IS NOT NULL AS changed_description_clean, {html_queries._MARKED_ADDRESS} IS NOT NULL AS would_update FROM p")
 def dry_run_diff(spark, sf_dir):
-    """What an update would change, without a write."""
-    docs = table(spark, sf_dir, "documents").select("doc_id").filter("doc_id % 2 = 0")
-    joined = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return joined.filter(F.coalesce("toxic", F.lit(0)) != 1).select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
-
-
-@R.add()
-def dry_run_whole(spark, sf_dir):
     """What re-evaluation would change in every stored posting, as the difference of stored and recomputed columns, without a write."""
     rows = html_queries._marked(spark, sf_dir)
     done = W.process(rows.withColumn("full", F.lit(1)), "source_job_id", html_queries._as_of())
@@ -129,16 +123,8 @@ def dry_run_whole(spark, sf_dir):
     return B.would_change(stored, found, "source_job_id")
 
 
-@R.add("""SELECT coalesce(substring(text, 1, 20), '') AS title, coalesce(source, '') AS original_category, trim(regexp_replace('<p>' || coalesce(lang, '') || '</p>', '<[^>]*>', ' ', 'g')) AS description_plaintext, 1 + doc_id % 21 AS category_id
-  FROM documents WHERE doc_id % 4 = 0""")
+@R.add("SELECT '' AS title, coalesce(source, '') AS original_category, trim(regexp_replace(coalesce(text, ''), '<[^>]*>', ' ', 'g'), ' ') AS description_plaintext, 1 + doc_id % 21 AS category_id FROM documents")
 def training_export(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 4 = 0")
-    rows = docs.select(F.col("doc_id").alias("id"), (1 + F.col("doc_id") % 21).alias("category_id"), F.lit(None).cast("string").alias("title_clean"), F.substring("text", 1, 20).alias("title"), F.col("source").alias("original_category"), F.concat(F.lit("<p>"), F.col("lang"), F.lit("</p>")).alias("description_clean"))
-    return B.training_rows(rows)
-
-
-@R.add()
-def training_export_whole(spark, sf_dir):
     """Every document with its whole text as the description; documents have no title, so it's blank."""
     none = F.lit(None).cast("string")
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (1 + F.col("doc_id") % 21).alias("category_id"), none.alias("title_clean"), none.alias("title"), F.col("source").alias("original_category"), F.col("text").alias("description_clean"))
@@ -161,18 +147,23 @@ def confusion_metrics(spark, sf_dir):
     return B.classification_report(rows, "label", "predicted")
 
 
-@R.add("SELECT count(*) AS n_rows, count(*) FILTER (WHERE contains(text, '@')) AS n_email, round(count(*) FILTER (WHERE contains(text, '@'))::DOUBLE / count(*), 6) AS share_email, count(*) FILTER (WHERE lang = 'en') AS n_english, round(count(*) FILTER (WHERE lang = 'en')::DOUBLE / count(*), 6) AS share_english FROM documents")
+@R.add(f"""{P}, h AS (SELECT source_db, {html_queries._ADDRESS} IS NOT NULL AS e, {html_queries._EXPIRY} IS NOT NULL AND source_job_id % 16 <> 2 AS x, length(description) AS size FROM p)
+SELECT source_db, count(*) AS n_rows, count(*) FILTER (WHERE e) AS n_email, round(count(*) FILTER (WHERE e)::DOUBLE / count(*), 6) AS share_email, count(*) FILTER (WHERE x) AS n_expiry, round(count(*) FILTER (WHERE x)::DOUBLE / count(*), 6) AS share_expiry,
+  round(sum(size)::DOUBLE / count(*), 6) AS mean_chars FROM h GROUP BY source_db""")
 def hit_rate_report(spark, sf_dir):
-    return B.hit_rates(table(spark, sf_dir, "documents"), [], {"email": F.contains("text", F.lit("@")), "english": F.col("lang") == "en"})
+    """How often the extractors find an address and a date, source by source."""
+    rows = postings(spark, sf_dir).withColumns({"email": E.application_email(F.col("description")), "expiry": DL.expiry_date(F.col("description"), html_queries._as_of())})
+    return B.hit_rates(rows, ["source_db"], {"email": F.col("email").isNotNull(), "expiry": F.col("expiry").isNotNull()}, {"chars": F.length("description")})
 
 
-_PROBS = "e AS (SELECT vec_id, list_transform(embedding[1:22], lambda x: abs(CAST(x AS DOUBLE))) AS v FROM embeddings)"
+#: Classes of a vector: the greatest of the components whose numbers leave the same remainder.
+_PROBS = "e AS (SELECT vec_id, list_transform(range(22), lambda c: list_max(list_transform(list_filter(range(len(embedding)), lambda i: i % 22 = c), lambda i: abs(CAST(embedding[i + 1] AS DOUBLE))))) AS v FROM embeddings)"
 
 
 @R.add(f"""WITH {_PROBS}, t AS (SELECT vec_id, v, list_max(v) AS top, list_position(v, list_max(v)) AS place FROM e),
 o AS (SELECT *, list_transform(v, lambda x, i: CASE WHEN i = place THEN 0.0::DOUBLE ELSE x END) AS others FROM t)
-SELECT vec_id, CASE WHEN place IN (1, 17) AND top < 0.5 THEN list_position(others, list_max(others)) ELSE place END AS category_id, CASE WHEN place IN (1, 17) AND top < 0.5 THEN list_max(others) ELSE top END AS confidence FROM o""")
+SELECT vec_id, CASE WHEN place IN (1, 17) AND top < 2.5 THEN list_position(others, list_max(others)) ELSE place END AS category_id, CASE WHEN place IN (1, 17) AND top < 2.5 THEN list_max(others) ELSE top END AS confidence FROM o""")
 def threshold_rerank(spark, sf_dir):
-    probabilities = F.transform(F.slice("embedding", 1, 22), lambda x: F.abs(x.cast("double")))
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", probabilities.alias("p"))
-    return rows.select("vec_id", B.rerank(F.col("p"), {1: 0.5, 17: 0.5}).alias("r")).select("vec_id", "r.category_id", "r.confidence")
+    group = lambda c: F.array_max(F.transform(F.filter("embedding", lambda x, i: i % 22 == c), lambda x: F.abs(x.cast("double"))))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.array(*[group(c) for c in range(22)]).alias("p"))
+    return rows.select("vec_id", B.rerank(F.col("p"), {1: 2.5, 17: 2.5}).alias("r")).select("vec_id", "r.category_id", "r.confidence")

@@ -129,8 +129,8 @@ def normalise_backlog(spark, sf_dir):
     return rows.filter(F.col("title_clean").isNull() | F.col("description_clean").isNull()).select("source_job_id")
 
 
-def _snapshots(spark, sf_dir, older="source_job_id % 2 = 0", newer="source_job_id % 3 = 0"):
-    """An older state of the fact table, and the new rows: some keys are in both."""
+def _snapshots(spark, sf_dir, older="source_job_id % 3 <> 1", newer="source_job_id % 2 = 1 OR source_job_id % 3 = 1"):
+    """An older state of the fact table, and the new rows: together they hold every key, and some keys are in both."""
     rows = _payload(spark, sf_dir).select("source_db", "source_job_id", "site_id", "external_id", "title", "category")
     old = S.last_per_key(rows.filter(older), S.CONFLICT_KEY, "source_job_id")
     old = old.withColumns({"title": F.concat(F.lit("old "), F.col("title")), "email": F.lit("kept@x.example"), "external_id": F.when(F.col("source_job_id") % 10 == 0, F.concat(F.col("external_id"), F.lit("-moved"))).otherwise(F.col("external_id"))})
@@ -139,9 +139,9 @@ def _snapshots(spark, sf_dir, older="source_job_id % 2 = 0", newer="source_job_i
 
 
 _SNAP = f"""{P}, b AS (SELECT source_db, source_job_id, site_id, external_id, title, CASE WHEN trim(category) <> '' THEN trim(category) END AS category FROM p),
-o1 AS (SELECT *, row_number() OVER (PARTITION BY source_db, site_id, external_id ORDER BY source_job_id DESC) AS r FROM b WHERE source_job_id % 2 = 0),
+o1 AS (SELECT *, row_number() OVER (PARTITION BY source_db, site_id, external_id ORDER BY source_job_id DESC) AS r FROM b WHERE source_job_id % 3 <> 1),
 o AS (SELECT source_db, source_job_id, site_id, CASE WHEN source_job_id % 10 = 0 THEN external_id || '-moved' ELSE external_id END AS external_id, 'old ' || title AS title, category, 'kept@x.example' AS email FROM o1 WHERE r = 1),
-n1 AS (SELECT *, row_number() OVER (PARTITION BY source_db, site_id, external_id ORDER BY source_job_id DESC) AS r FROM b WHERE source_job_id % 3 = 0),
+n1 AS (SELECT *, row_number() OVER (PARTITION BY source_db, site_id, external_id ORDER BY source_job_id DESC) AS r FROM b WHERE source_job_id % 2 = 1 OR source_job_id % 3 = 1),
 n AS (SELECT source_db, source_job_id, site_id, external_id, title, CASE WHEN source_job_id % 9 <> 0 THEN category END AS category FROM n1 WHERE r = 1),
 k AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.source_db = o.source_db AND n.source_job_id = o.source_job_id AND (n.site_id <> o.site_id OR n.external_id <> o.external_id)))"""
 
@@ -154,13 +154,6 @@ def sync_upsert(spark, sf_dir):
     return S.upsert(old.select("source_db", "source_job_id", "site_id", "external_id", "title", "category", "email"), new)
 
 
-@R.add()
-def sync_upsert_whole(spark, sf_dir):
-    """The upsert over old and new states that together hold every key."""
-    old, new = _snapshots(spark, sf_dir, "source_job_id % 3 <> 1", "source_job_id % 2 = 1 OR source_job_id % 3 = 1")
-    return S.upsert(old.select("source_db", "source_job_id", "site_id", "external_id", "title", "category", "email"), new)
-
-
 @R.add("""WITH l AS (SELECT event_id % 500 AS job_id, CASE WHEN event_id % 3 = 0 THEN 'ai' ELSE 'other' END AS destination, ts AS dt FROM events)
 SELECT job_id, destination, max(dt) AS dt FROM l GROUP BY 1, 2""")
 def sync_ledger(spark, sf_dir):

@@ -17,7 +17,7 @@ def rows_of(name, *columns):
 
 
 def test_export_holds_every_whole_text(spark):
-    got = sorted(tuple(r) for r in catalogue.queries()["training_export_whole"](spark, SF).collect())
+    got = sorted(tuple(r) for r in catalogue.queries()["training_export"](spark, SF).collect())
     plain = lambda text: re.sub("<[^>]*>", " ", text or "").strip(" ")
     want = sorted(("", r["source"] or "", plain(r["text"]), 1 + r["doc_id"] % 21) for r in rows_of("documents", "doc_id", "source", "text"))
     assert got == want
@@ -27,7 +27,7 @@ def test_dry_run_compares_every_row(spark):
     from postwright.operators import process as W
     from postwright.plans import html_queries as H
 
-    got = {r["source_job_id"]: r for r in catalogue.queries()["dry_run_whole"](spark, SF).collect()}
+    got = {r["source_job_id"]: r for r in catalogue.queries()["dry_run_diff"](spark, SF).collect()}
     rows = H._marked(spark, SF).withColumn("full", F.lit(1))
     done = {r["source_job_id"]: r for r in W.process(rows, "source_job_id", H._as_of()).collect()}
     again = {r["source_job_id"]: r for r in W.reevaluate(rows, "source_job_id", H._as_of()).collect()}
@@ -66,7 +66,7 @@ def test_upsert_reads_every_key(spark):
     stay = {conflict(r): r for r in old.values() if at.get((r["source_db"], r["source_job_id"]), conflict(r)) == conflict(r)}
     want = [stay.get(c, {"email": None}) | n | {"category": n["category"] or stay.get(c, {}).get("category")} for c, n in new.items()]
     want += [r for c, r in stay.items() if c not in new]
-    got = catalogue.queries()["sync_upsert_whole"](spark, SF).collect()
+    got = catalogue.queries()["sync_upsert"](spark, SF).collect()
     line = lambda r: tuple(r[c] for c in (*columns, "email"))
     assert sorted(map(repr, map(line, got))) == sorted(map(repr, map(line, want)))
 
@@ -95,11 +95,11 @@ def test_full_processing_passes_other_languages_through(spark):
 
 
 def test_term_statistics_count_all_documents_and_pairs(spark):
-    count, docs = Counter(), rows_of("documents", "text")
+    count, docs = Counter(), rows_of("documents", "source", "text")
     for r in docs:
-        words = re.findall(r"\w\w+", " ".join([r["text"][:60]] * 3 + [r["text"]]).lower() if r["text"] is not None else "")
+        words = re.findall(r"\w\w+", " ".join(x for x in [r["source"]] * 3 + [r["text"]] if x is not None).lower())
         count.update({*words, *map(" ".join, zip(words, words[1:]))})
-    got = {r["term"]: (r["documents"], r["idf"]) for r in catalogue.queries()["tfidf_term_stats_whole"](spark, SF).collect()}
+    got = {r["term"]: (r["documents"], r["idf"]) for r in catalogue.queries()["tfidf_term_stats"](spark, SF).collect()}
     assert {t: n for t, (n, _) in got.items()} == dict(count) and any(" " in t for t in got)
     assert all(abs(idf - (math.log((1 + len(docs)) / (1 + n)) + 1)) < 1e-6 for n, idf in got.values())
 
@@ -108,13 +108,13 @@ def test_every_text_gets_a_result(spark):
     from postwright.operators import language_model as LM
 
     docs = rows_of("documents", "doc_id", "text", "lang")
-    found = {r["doc_id"]: r["detected"] for r in catalogue.queries()["lang_detect_whole"](spark, SF).collect()}
+    found = {r["doc_id"]: r["detected"] for r in catalogue.queries()["lang_detect"](spark, SF).collect()}
     assert set(found) == {r["doc_id"] for r in docs}
     assert all(found[r["doc_id"]] for r in docs if re.search(r"[^\W\d_]", r["text"] or ""))
     assert sum(found[r["doc_id"]] == r["lang"] for r in docs) >= 0.97 * len(docs)
     taught = spark.createDataFrame([("en", "the quick brown fox"), ("de", "über große Flüsse")], "lang string, text string")
     rare = spark.createDataFrame([(1, "quickest"), (2, "größte"), (3, ""), (4, None), (5, "12 !"), (6, "你")], "k int, text string")
-    got = LM.detect_any(rare, "k", F.col("text"), LM.fit_grams(taught)).collect()
+    got = LM.detect(rare, "k", F.col("text"), LM.fit(taught)).collect()
     assert {r["k"]: r["lang"] for r in got} == {1: "en", 2: "de", 3: None, 4: None, 5: None, 6: None}
 
 
@@ -126,6 +126,6 @@ def test_trigram_scores(spark):
     for r in docs:
         grams.setdefault(r["lang"], Counter()).update(cut(r["text"]))
     types = len(set().union(*grams.values()))
-    model = LM.fit_grams(spark.createDataFrame([(r["doc_id"], r["text"], r["lang"]) for r in docs], "doc_id long, text string, lang string")).collect()
+    model = LM.fit(spark.createDataFrame([(r["doc_id"], r["text"], r["lang"]) for r in docs], "doc_id long, text string, lang string")).collect()
     assert len(model) == types * len(grams)
     assert all(abs(r["log_p"] - math.log((grams[r["lang"]][r["gram"]] + 1) / (sum(grams[r["lang"]].values()) + types))) < 1e-9 for r in model)

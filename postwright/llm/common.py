@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postwright.sources.shared import shared_dir, stage
+
+__all__ = ["WORD", "held_out", "replace_text", "shared_dir", "stage", "table"]
+
 #: A word: a maximal run of anything but ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -17,26 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{os.path.join(tempfile.gettempdir(), 'postwright-checkpoints')}"
-    return found.rstrip("/")
-
-
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs at most the tasks of the next
-    step, never the work before it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/postwright/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id, modulus: int, remainder: int):
     """Fold of a document: crc32 of its id as text; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))

@@ -1,9 +1,14 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine, over all words and over telling words.
 
 All sampled labelled examples, clean ones too, are indexed with the TF-IDF
-weights of all their words; every text is compared with every one of them, and its
-nearest examples vote by a high power of similarity, so that copies and close
-variants of an example take over its label whatever words they hold.
+weights of all their words. The most frequent words are dense columns, rare ones
+inverted lists of postings; both are summed for every example. What the words between
+can add is bounded by the greatest norm of these words in a block of alike examples:
+only blocks whose greatest sum and bound reach the least similarity of a neighbour
+(NEAR) are visited, and there similarities are exact. The nearest examples vote by a
+high power of similarity, so that copies and close variants of an example take over
+its label whatever words they hold; below NEAR a vote would count less than a
+thousandth.
 
 A second vote sees only telling words, those that are significantly more frequent
 in toxic examples and mostly found there, so that one insult in a long text
@@ -17,8 +22,10 @@ frequencies are counted over all documents.
 
 Defined results: a null or empty text has no neighbour; a text without a telling
 word has the prior of such texts as its second vote. A word that no example holds
-weighs as much as one of a single document. Rows are scored one by one,
-repeated rows alike; a document labelled twice counts as toxic if one label says
+weighs as much as one of a single document. Texts of any length are scored whole. Of
+equally near examples the one with the smaller id counts first. Rows are scored one by
+one, repeated rows alike; of rows that share a labelled doc_id the one with the
+smallest text hash teaches; a document labelled twice counts as toxic if one label says
 so; null labels and ids teach nothing. Without labels all scores are 0. An empty table
 gives an empty table; extra columns are ignored.
 """
@@ -43,8 +50,9 @@ MAX_LABELLED = 20_000
 #: A word's least toxic examples, least share of toxic ones among its examples, and least likelihood ratio (G2).
 MIN_TOXIC, MIN_SHARE, MIN_G2 = 3, 0.6, 12.0
 NEIGHBOURS, BLOCK, ALPHA = 15, 64, 1.0
-#: Over all words: words kept as dense rows, texts compared at once, and the power of similarity that a vote counts.
-HEAD, AT_ONCE, POWER = 256, 64, 8
+#: Over all words: words kept as dense columns, most postings of a rare word, texts compared and scored at once, the power of similarity that a
+#: vote counts, and a neighbour's least similarity.
+HEAD, RARE, AT_ONCE, SLICE, POWER, NEAR = 256, 200, 64, 512, 8, 0.4
 THRESHOLD = 0.3
 _TOKEN = re.compile(r"\w+")
 
@@ -55,7 +63,7 @@ def tokens(text: str | None) -> list[str]:
 
 @dataclass
 class Whole:
-    """All words of all sampled examples: the words of most examples as dense rows, lists of (example, weight) for the others."""
+    """All words of all sampled examples: frequent words as dense columns, rare ones as lists of (example, weight), those between as each example's own (word, weight) pairs."""
 
     words: np.ndarray
     idf: np.ndarray
@@ -65,6 +73,11 @@ class Whole:
     start: np.ndarray
     rows: np.ndarray
     weights: np.ndarray
+    middle_of: np.ndarray
+    own: np.ndarray
+    own_word: np.ndarray
+    own_weight: np.ndarray
+    norm: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
 
@@ -176,55 +189,93 @@ def calibrate(model: Model, raw: np.ndarray, labels: np.ndarray) -> None:
     model.raw, model.calibrated = np.array(xs), np.maximum.accumulate(np.array(ys))
 
 
-def build_whole(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, words: np.ndarray, counts: np.ndarray, known: np.ndarray, df: np.ndarray, n: int) -> Whole:
-    """Examples, to be numbered in the order of their ids; the ``sizes`` words of each, with counts, stand one after another in ``words``. ``known``: all of them, sorted, with ``df``."""
-    idf = np.log((1 + n) / (1 + df)) + 1
+def weigh(words: np.ndarray, counts: np.ndarray, sizes: np.ndarray, known: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ``sizes`` words of each example, one after another, with counts -> their places in ``known`` and unit-length weights."""
     word = np.empty(len(words), np.int32)  # narrow types and chunks: the driver is small
     for i in range(0, len(words), 1 << 20):
         word[i : i + (1 << 20)] = np.searchsorted(known, words[i : i + (1 << 20)])
     w = (1 + np.log(counts.astype(np.float32))) * idf.astype(np.float32)[word]
     norms = np.sqrt(np.add.reduceat(np.square(w), (np.cumsum(sizes) - sizes)[sizes > 0], dtype=np.float64))
     w /= np.repeat(norms.astype(np.float32), sizes[sizes > 0])
-    order = np.argsort(ids, kind="stable")
-    ids, labels, number = ids[order], labels[order], np.argsort(order).astype(np.int32)
-    example = np.repeat(number, sizes)
-    top = np.argsort(-np.bincount(word, minlength=len(known)), kind="stable")[:HEAD]
-    head_of = np.full(len(known), -1, np.int32)
+    return word, w
+
+
+def build_whole(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, word: np.ndarray, w: np.ndarray, known: np.ndarray, idf: np.ndarray, n: int) -> Whole:
+    """Examples (id, label, number of words) with the words and weights of ``weigh`` -> the index. Examples of one block share their strongest words."""
+    size, often = len(ids), np.bincount(word, minlength=len(known))
+    top = np.argsort(-often, kind="stable")[:HEAD]
+    head_of = np.full(len(known), -1, np.int16)
     head_of[top] = np.arange(len(top))
+    example = np.repeat(np.arange(size, dtype=np.int32), sizes)
     dense = head_of[word] >= 0
-    head = np.zeros((len(top), len(ids)), np.float32)
-    head[head_of[word[dense]], example[dense]] = w[dense]
+    head = np.zeros((size, len(top)), np.float32)
+    head[example[dense], head_of[word[dense]]] = w[dense]
     word, example, w = word[~dense], example[~dense], w[~dense]
+    strongest = np.zeros(size, np.int64)
+    by_weight = np.argsort(w, kind="stable")
+    strongest[example[by_weight]] = word[by_weight]
+    del by_weight
+    place = np.lexsort((ids, strongest, head.argmax(axis=1) if len(top) else strongest))
+    head, example = head[place], np.argsort(place).astype(np.int32)[example]
+    between = (often > RARE) & (head_of < 0)
+    middle_of = np.where(between, np.cumsum(between) - 1, -1).astype(np.int32)
+    middle = between[word]
+    order = np.argsort(example[middle], kind="stable")
+    own_word, own_weight, owner = middle_of[word[middle]][order], w[middle][order], example[middle][order]
+    own = np.searchsorted(owner, np.arange(size + 1)).astype(np.int32)
+    norm = np.sqrt(np.bincount(owner, np.square(own_weight, dtype=np.float64), size)).astype(np.float32)
+    word, example, w = word[~middle], example[~middle], w[~middle]
     order = np.argsort(word, kind="stable")
-    start = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(known)))])
-    return Whole(known, idf, math.log((1 + n) / 2) + 1, head_of, head, start, example[order], w[order], ids, labels)
+    start = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(known)))]).astype(np.int32)
+    return Whole(known, idf, math.log((1 + n) / 2) + 1, head_of, head, start, example[order], w[order], middle_of, own, own_word, own_weight, norm, ids[place], labels[place])
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers first[0], ... (n[0] of them), first[1], ..., in a row."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 def nearest_whole(whole: Whole, bags: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per bag (distinct word hashes, their counts): the k examples of greatest cosine and their similarities, all examples compared; ties to the smaller number."""
+    """Per bag (distinct word hashes, their counts): the k examples of greatest cosine, from NEAR on, and their similarities; ties to the smaller id."""
     out, size = [], len(whole.ids)
-    behind, k = np.arange(size - 1, -1, -1), min(k, size)
+    blocks = -(-size // BLOCK)
+    sums, middle = np.full(blocks * BLOCK, -1.0, np.float32), np.zeros(int(whole.middle_of.max(initial=-1)) + 1, np.float32)
+    most = np.append(whole.norm, np.zeros(len(sums) - size, np.float32)).reshape(blocks, BLOCK).max(axis=1)
     for at in range(0, len(bags), AT_ONCE):
         part = bags[at : at + AT_ONCE]
-        heads, tails = np.zeros((len(part), len(whole.head))), []
+        heads, others = np.zeros((len(part), whole.head.shape[1]), np.float32), []
         for i, (own, counts) in enumerate(part):
             place = np.minimum(np.searchsorted(whole.words, own), len(whole.words) - 1)
             hit = whole.words[place] == own
             w = (1 + np.log(counts)) * np.where(hit, whole.idf[place], whole.unknown)
-            w = (w / (np.sqrt((w * w).sum()) or 1.0))[hit]
+            w = (w / (np.sqrt((w * w).sum()) or 1.0))[hit].astype(np.float32)
             place = place[hit]
             dense = whole.head_of[place] >= 0
             heads[i, whole.head_of[place[dense]]] = w[dense]
-            first, n = whole.start[place[~dense]], whole.start[place[~dense] + 1] - whole.start[place[~dense]]
-            lists = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-            tails.append(np.bincount(whole.rows[lists], np.repeat(w[~dense], n) * whole.weights[lists], size))
-        rough = heads.astype(np.float32) @ whole.head
-        for i, tail in enumerate(tails):
-            order = np.rint((rough[i] + tail) * 1e5).astype(np.int64) * size + behind
-            best = np.argpartition(order, size - k)[size - k :]
-            best = best[np.argsort(-order[best])]
-            sims = np.minimum(1.0, np.round(tail[best] + whole.head[:, best].T.astype(float) @ heads[i], 6))
-            out.append((best[sims > 0], sims[sims > 0]))
+            others.append((place[~dense], w[~dense]))
+        rough = heads @ whole.head.T
+        for i, (place, w) in enumerate(others):
+            between = whole.middle_of[place]
+            rare, mine = place[between < 0], between[between >= 0]
+            n = whole.start[rare + 1] - whole.start[rare]
+            postings = _ranges(whole.start[rare], n)
+            tail = np.bincount(whole.rows[postings], np.repeat(w[between < 0], n) * whole.weights[postings], size)
+            np.add(rough[i], tail, out=sums[:size], casting="same_kind")
+            reach = float(np.sqrt(np.square(w[between >= 0], dtype=np.float64).sum()))
+            visited = np.flatnonzero(sums.reshape(blocks, BLOCK).max(axis=1) + reach * most >= NEAR - 1e-4)
+            found = (visited[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            found = found[found < size]
+            found = found[sums[found] + reach * whole.norm[found] >= NEAR - 1e-4]
+            middle[mine] = w[between >= 0]
+            n = whole.own[found + 1] - whole.own[found]
+            pairs = _ranges(whole.own[found], n)
+            rest = np.bincount(np.repeat(np.arange(len(found)), n), middle[whole.own_word[pairs]] * whole.own_weight[pairs], len(found))
+            middle[mine] = 0
+            scores = sums[found] + rest
+            near = scores >= NEAR - 1e-6
+            found, scores = found[near], scores[near]
+            best = np.lexsort((whole.ids[found], -np.rint(scores * 1e5)))[:k]
+            out.append((found[best], np.minimum(1.0, np.round(scores[best], 6))))
     return out
 
 
@@ -250,6 +301,13 @@ def _lists(column) -> list[np.ndarray]:
     return np.split(values, ends[:-1]) if len(ends) else []
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of SLICE rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word hashes -> distinct ones and their counts."""
     for batch in batches:
@@ -302,11 +360,11 @@ def _scores(model: Model, hashes: list[np.ndarray]) -> list[tuple[float, list[tu
 
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = _scores(model, _lists(batch.column("hashes")))
+        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())]))
+        for part in _slices(batches):
+            found = _scores(model, _lists(part.column("hashes")))
             evidence = [[{"doc_id": d, "similarity": s} for d, s in near] for _, near in found]
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x for x, _ in found], pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x for x, _ in found], pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
 
     return run
 
@@ -315,10 +373,10 @@ def _filter(model: Model):
     """Whole rows and the hashes of their words as the last column -> the rows that are not predicted toxic; nothing is joined or shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            last = batch.num_columns - 1
-            found = _scores(model, _lists(batch.column(last)))
-            yield batch.select(range(last)).filter(pa.array([x < THRESHOLD for x, _ in found], pa.bool_()))
+        for part in _slices(batches):
+            last = part.num_columns - 1
+            found = _scores(model, _lists(part.column(last)))
+            yield part.select(range(last)).filter(pa.array([x < THRESHOLD for x, _ in found], pa.bool_()))
 
     return run
 
@@ -341,7 +399,9 @@ def fit(docs: DataFrame, labels: DataFrame, teach=None) -> tuple[Model, DataFram
     share = min(1.0, (1.1 * MAX_LABELLED + 100) / max(1, labels.count()))
     sample = labels.filter(F.col("order") <= int(share * (1 << 30))).orderBy("order", "doc_id").limit(MAX_LABELLED).drop("order")
     sample = stage(sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4))), "tox-labels")
-    texts = stage(docs.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]), "tox-texts")  # bounded by MAX_LABELLED
+    # rows of one doc_id: the same one each time; the sample is bounded by MAX_LABELLED
+    every = docs.join(F.broadcast(sample), "doc_id")
+    texts = stage(every.groupBy("doc_id").agg(F.min_by(F.struct("text", "toxic", "fold"), F.struct(F.xxhash64("text"), "text")).alias("t")).select("doc_id", "t.*"), "tox-texts")
     own = texts.filter("fold <> 0")
     words = own.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("term"))
     sizes = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -356,8 +416,9 @@ def fit(docs: DataFrame, labels: DataFrame, teach=None) -> tuple[Model, DataFram
     model.hashes, model.term_of = np.array([h for h, _ in by_hash], np.int64), np.array([i for _, i in by_hash], np.int64)
     n = docs.count()
     found, known, df = _examples(docs, texts)
+    idf = np.log((1 + n) / (1 + df)) + 1
     model.idf = np.zeros(len(model.terms))
-    model.idf[model.term_of] = np.log((1 + n) / (1 + df[np.searchsorted(known, model.hashes)])) + 1
+    model.idf[model.term_of] = idf[np.searchsorted(known, model.hashes)]
     examples, probes = [], []
     words, counts = (pa.compute.list_flatten(found[c]).to_numpy() for c in ("words", "counts"))
     sizes = pa.compute.list_value_length(found["words"]).to_numpy()
@@ -373,9 +434,11 @@ def fit(docs: DataFrame, labels: DataFrame, teach=None) -> tuple[Model, DataFram
         build_index(model, examples)
         raw = np.array([vote(model, nearest(model, *vector(model, p))) if p else 0.0 for p, _ in probes])
         calibrate(model, raw, np.array([y for _, y in probes], float))
+    ids, labels = found["doc_id"].to_numpy(), found["toxic"].to_numpy().astype(float)
     if len(words):
-        model.whole = build_whole(found["doc_id"].to_numpy(), found["toxic"].to_numpy().astype(float), sizes, words, counts, known, df, n)
-    del words, counts
+        word, w = weigh(words, counts, sizes, known, idf)
+        del words, counts, found, offsets
+        model.whole = build_whole(ids, labels, sizes, word, w, known, idf, n)
     pa.default_memory_pool().release_unused()
     return model, docs
 

@@ -1,4 +1,8 @@
+import math
+from collections import Counter
+
 import numpy as np
+import pytest
 
 from postwright.llm import toxicity as T
 from tests.llm.fixtures import documents, no_documents, prose
@@ -95,16 +99,65 @@ def test_copies_of_examples_without_a_telling_word(spark):
     assert not kept & {2000, 2001, 2002} and {2004, 2005, 2007} <= kept
 
 
-def test_neighbours_over_all_words_are_exact(monkeypatch):
-    monkeypatch.setattr(T, "HEAD", 8)
+def brute_neighbours(own, ids, near):
+    """Per bag of (words, counts): (similarity, id) of all bags from ``near`` on, nearest first, smaller ids first."""
+    words = np.unique(np.concatenate([x for x, _ in own]))
+    df = np.array([sum(w in x for x, _ in own) for w in words])
+    full = np.zeros((len(own), len(words)))
+    for i, (x, c) in enumerate(own):
+        at = np.searchsorted(words, x)
+        full[i, at] = (1 + np.log(c)) * (np.log((1 + len(own)) / (1 + df[at])) + 1)
+    full /= np.linalg.norm(full, axis=1, keepdims=True)
+    sims = np.round(full @ full.T, 5)
+    return words, df, [sorted(((-s, i) for s, i in zip(row, ids, strict=True) if s >= near))[: T.NEIGHBOURS] for row in sims]
+
+
+def index_of(own, ids, words, df):
+    idf = np.log((1 + len(own)) / (1 + df)) + 1
+    sizes = np.array([len(x) for x, _ in own])
+    word, w = T.weigh(np.concatenate([x for x, _ in own]), np.concatenate([c for _, c in own]), sizes, words, idf)
+    return T.build_whole(ids, np.zeros(len(own)), sizes, word, w, words, idf, len(own))
+
+
+@pytest.mark.parametrize(("head", "rare"), [(8, 5), (8, 10**6), (0, 0), (10**6, 0)])
+def test_neighbours_over_all_words_are_exact(monkeypatch, head, rare):
+    monkeypatch.setattr(T, "HEAD", head)
+    monkeypatch.setattr(T, "RARE", rare)
+    monkeypatch.setattr(T, "BLOCK", 16)
     rng = np.random.default_rng(5)
     bags = [np.minimum(rng.zipf(1.3, 40), 500).astype(np.int64) * 7919 for _ in range(300)]
+    bags += bags[:9]  # copies: ties
     own = [np.unique(b, return_counts=True) for b in bags]
-    df = {int(w): int(sum(w in x for x, _ in own)) for w in np.unique(np.concatenate([x for x, _ in own]))}
-    whole = T.build_whole(np.arange(300), np.zeros(300), np.array([len(x) for x, _ in own]), np.concatenate([x for x, _ in own]), np.concatenate([c for _, c in own]), np.array(sorted(df)), np.array([df[w] for w in sorted(df)]), 300)
-    full = np.zeros((300, 501))
-    for i, (x, c) in enumerate(own):
-        full[i, x // 7919] = (1 + np.log(c)) * (np.log(301 / (1 + np.array([df[int(w)] for w in x]))) + 1)
-    full /= np.linalg.norm(full, axis=1, keepdims=True)
-    for i, (best, sims) in enumerate(T.nearest_whole(whole, own)):
-        assert np.allclose(sims, np.sort(full @ full[i])[::-1][: T.NEIGHBOURS], atol=2e-5) and np.allclose(full[best] @ full[i], sims, atol=2e-6)
+    ids = rng.permutation(len(own))
+    words, df, want = brute_neighbours(own, ids, T.NEAR)
+    whole, seen = index_of(own, ids, words, df), 0
+    for found, expected in zip(T.nearest_whole(whole, own), want, strict=True):
+        got = [(-round(float(s), 5), int(whole.ids[i])) for i, s in zip(*found, strict=True)]
+        assert [i for _, i in got[:2]] == [i for _, i in expected[:2]] and np.allclose([s for s, _ in got], [s for s, _ in expected], atol=2e-5)
+        seen += len(got)
+    assert seen > 2 * len(own)
+
+
+def test_scores_of_the_query_from_brute_force(spark, monkeypatch):
+    """The evidence and whole-word votes of every document, from all pairs."""
+    rows, labels = corpus(120)
+    rows += [(500 + i, rows[i][1] + " tail") for i in range(0, 40, 3)] + [(600, rows[10][1]), (601, rows[10][1])]
+    docs, marked = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    found = {r["doc_id"]: r for r in T.score(docs, marked).collect()}
+    toxic, bags = dict(labels), [Counter(T.tokens(t)) for _, t in rows]
+    df, n = Counter(w for b in bags for w in b), len(rows)
+    taught = set().union(*(bags[i] for i, (d, _) in enumerate(rows) if d in toxic))
+    weigh = lambda b: {w: (1 + math.log(c)) * (math.log((1 + n) / (1 + (df[w] if w in taught else 1))) + 1) for w, c in b.items()}
+    vectors = [weigh(b) for b in bags]
+    norms = [math.sqrt(sum(x * x for x in v.values())) for v in vectors]
+    for i, (doc, _) in enumerate(rows):
+        near = []
+        for j, (d, _) in enumerate(rows):
+            s = sum(x * vectors[j].get(w, 0) for w, x in vectors[i].items()) / norms[i] / norms[j]
+            if d in toxic and s >= T.NEAR:
+                near.append((-round(s, 5), d))
+        near = sorted(near)[: T.NEIGHBOURS]
+        assert [e["doc_id"] for e in found[doc]["evidence"]] == [d for _, d in near[:3]]
+        vote = sum((-s) ** T.POWER * toxic[d] for s, d in near) / (sum((-s) ** T.POWER for s, _ in near) + 1)
+        assert found[doc]["score"] >= vote - 1e-3
+    assert found[600]["score"] == found[601]["score"]

@@ -47,14 +47,18 @@ def with_country(rows: DataFrame, code: str = "city_country_code") -> DataFrame:
 
 
 def payload(rows: DataFrame, now: Column, default_country: str | None, default_currency: str | None, detected: Column | None = None) -> DataFrame:
-    """Target columns of postings rows, derived ones included, in one projection."""
+    """The 28 target columns of source rows, derived ones included, in one projection; columns that a source lacks are null."""
     country = F.coalesce(L.fixed_length_code(F.col("country_code"), 2), F.lit(default_country))
     currency = F.coalesce(L.fixed_length_code(F.col("currency"), 3), F.lit(default_currency))
-    label = F.trim(F.col("category"))
+    own = lambda name, kind, source=None: optional(rows, source if source in rows.columns else name, kind).alias(name)
+    label, expires = F.trim(own("category", "string")), own("expires_at", "timestamp", "expires")
     return rows.select(
-        "source_db", "source_job_id", "site_id", "external_id", "title", "description", "city_id", "city_title", country.alias("country_code"), currency.alias("salary_currency"),
-        L.resolve(detected if detected is not None else F.lit(None).cast("string"), country, F.col("source_db")).alias("language_code"),
-        F.when(label != "", label).alias("category"), "salary_min", "published_at", "expires_at", L.is_remote(F.col("subcategory")).alias("is_remote"), L.is_active(F.col("expires_at"), now).alias("is_active"),
+        "source_db", "source_job_id", own("site_id", "smallint"), own("external_id", "string"), own("title", "string", "position"), own("description", "string"), own("company_id", "bigint"),
+        own("company_name", "string"), own("site_title", "string"), own("url", "string"), own("city_id", "bigint"), own("city_title", "string"), own("region_id", "bigint"), own("region_title", "string"),
+        country.alias("country_code"), L.resolve(detected if detected is not None else F.lit(None).cast("string"), country, F.col("source_db")).alias("language_code"),
+        own("salary_min", "decimal(15,2)"), own("salary_max", "decimal(15,2)"), own("salary_period", "string"), currency.alias("salary_currency"), own("contract", "string"), own("experience", "string"),
+        own("education", "string"), own("published_at", "timestamp", "published"), expires, L.is_remote(own("subcategory", "string")).alias("is_remote"), L.is_active(expires, now).alias("is_active"),
+        F.when(label != "", label).alias("category"),
     )
 
 

@@ -8,6 +8,7 @@ from postwright.functions import email as E
 from postwright.operators import deadline as DL
 from postwright.operators import labelling as B
 from postwright.operators import process as W
+from postwright.operators import report as RP
 from postwright.operators import sync as S
 from postwright.plans import html_queries
 from postwright.plans.base import P, Registry, table
@@ -79,7 +80,7 @@ def random_sample(spark, sf_dir):
     return docs.orderBy(B.seeded_order(F.col("doc_id"), SEED), "doc_id").limit(50).select("doc_id")
 
 
-@R.add(f"""{P}, {_MAPPING}, mp AS (SELECT source_job_id AS k, category_id FROM p JOIN map ON lower(category) = lower(original_category)),
+_QUOTA = f"""{P}, {_MAPPING}, mp AS (SELECT source_job_id AS k, category_id FROM p JOIN map ON lower(category) = lower(original_category)),
 ex AS (SELECT k, category_id FROM mp WHERE k % 50 = 0), hv AS (SELECT category_id, count(*) AS have FROM ex GROUP BY 1),
 he AS (SELECT source_job_id AS k, 3 + source_job_id % 6 AS category_id FROM p),
 c1 AS (SELECT mp.k, mp.category_id, greatest(120 - coalesce(have, 0), 0) AS need FROM mp LEFT JOIN hv USING (category_id) WHERE mp.k NOT IN (SELECT k FROM ex)),
@@ -87,13 +88,40 @@ f1 AS (SELECT k, category_id FROM (SELECT *, row_number() OVER (PARTITION BY cat
 t1 AS (SELECT category_id, count(*) AS taken FROM f1 GROUP BY 1),
 c2 AS (SELECT he.k, he.category_id, greatest(120 - coalesce(have, 0), 0) - coalesce(taken, 0) AS need FROM he LEFT JOIN hv USING (category_id) LEFT JOIN t1 USING (category_id) WHERE he.k NOT IN (SELECT k FROM ex) AND he.k NOT IN (SELECT k FROM f1)),
 f2 AS (SELECT k, category_id FROM (SELECT *, row_number() OVER (PARTITION BY category_id ORDER BY md5(concat_ws('|', k, '42'))) AS r FROM c2) WHERE r <= need)
-SELECT k, category_id, 'map' AS pass FROM f1 UNION ALL SELECT k, category_id, 'heuristic' FROM f2""")
+SELECT k, category_id, 'map' AS pass FROM f1 UNION ALL SELECT k, category_id, 'heuristic' FROM f2"""
+
+
+@R.add(_QUOTA)
 def labelling_quota(spark, sf_dir):
+    return _quota(spark, sf_dir)
+
+
+def _quota(spark, sf_dir):
     rows = B.map_categories(postings(spark, sf_dir), _mapping(spark), "left").select(F.col("source_job_id").alias("k"), F.col("category_id").cast("long").alias("mapped"), (3 + F.col("source_job_id") % 6).alias("heuristic"))
     existing = rows.filter("k % 50 = 0 AND mapped IS NOT NULL").select("k", F.col("mapped").alias("category_id"))
     return B.quota_fill(rows, existing, 120, "k", SEED)
 
 
+@R.add(_QUOTA.replace("SELECT k, category_id, 'map' AS pass FROM f1 UNION ALL SELECT k, category_id, 'heuristic' FROM f2", f"""z AS (SELECT k, category_id FROM f1 UNION ALL SELECT k, category_id FROM f2)
+SELECT source_job_id, category_id, title, category AS original_category, {html_queries._FRAGMENT} AS description_clean, {html_queries._ADDRESS} AS email, {html_queries._EXPIRY} AS expiry_date FROM p JOIN z ON k = source_job_id""").replace("f2 AS (SELECT k, category_id FROM (SELECT *, row_number() OVER (PARTITION BY category_id ORDER BY md5(concat_ws('|', k, '42'))) AS r FROM c2) WHERE r <= need)", "f2 AS (SELECT k, category_id FROM (SELECT *, row_number() OVER (PARTITION BY category_id ORDER BY md5(concat_ws('|', k, '42'))) AS r FROM c2) WHERE r <= need),"))
+def labelling_extraction(spark, sf_dir):
+    """Rows chosen for labelling, cleaned, with the address and the date that the extractors find."""
+    chosen = _quota(spark, sf_dir).select(F.col("k").alias("source_job_id"), "category_id")
+    rows = html_queries._marked(spark, sf_dir).join(chosen, "source_job_id")
+    return W.labelling_rows(rows, "source_job_id", html_queries._as_of()).drop("description")
+
+
+@R.add(f"""WITH r AS (SELECT doc_id % 5 AS label, CASE WHEN doc_id % 11 > 0 THEN (doc_id * 7 + doc_id % 3) % 5 END AS predicted FROM documents) SELECT count(*) AS n, avg(CASE WHEN label = predicted THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS accuracy FROM r""")
+def accuracy(spark, sf_dir):
+    predicted = F.when(F.col("doc_id") % 11 > 0, (F.col("doc_id") * 7 + F.col("doc_id") % 3) % 5)
+    return B.accuracy(table(spark, sf_dir, "documents").select((F.col("doc_id") % 5).alias("label"), predicted.alias("predicted")), "label", "predicted")
+
+
+@R.add(f"WITH {_STORE} SELECT id, category_id, verified FROM st WHERE verified AND category_id = 4")
+def labelling_verified(spark, sf_dir):
+    return B.verified_only(_store(spark, sf_dir), True, 4)
+
+
 @R.add("SELECT doc_id, toxic FROM labels WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, -1 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id % 2 = 0)")
 def labelling_insert_absent(spark, sf_dir):
     have = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter("doc_id % 2 = 0")
@@ -156,6 +184,19 @@ def hit_rate_report(spark, sf_dir):
     return B.hit_rates(rows, ["source_db"], {"email": F.col("email").isNotNull(), "expiry": F.col("expiry").isNotNull()}, {"chars": F.length("description")})
 
 
+_ESCAPED = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
+_SHARE = "CAST(count(*) FILTER (WHERE {0}) AS VARCHAR) || ' (' || format('{{:.1f}}', 100 * count(*) FILTER (WHERE {0})::DOUBLE / greatest(count(*), 1)) || '%)'"
+
+
+@R.add(f"""WITH s AS (SELECT CAST(NULL AS BIGINT) AS place, '<header>rows: ' || count(*) || ' · english: ' || {_SHARE.format("lang = 'en'")} || ' · long: ' || {_SHARE.format("length(text) > 1000")} || '</header>' AS page FROM documents),
+t AS (SELECT doc_id, text, lang FROM documents ORDER BY doc_id LIMIT 50)
+SELECT place, page FROM s UNION ALL SELECT doc_id, '<section><h2>doc: ' || doc_id || ' · lang: ' || {_ESCAPED.format("lang")} || '</h2><div class=''two''><pre>' || coalesce({_ESCAPED.format("text")}, '') || '</pre><div><p>x</p></div></div></section>' FROM t""")
+def report_pages(spark, sf_dir):
+    """A report over documents: a summary of all, and the first fifty."""
+    docs = table(spark, sf_dir, "documents")
+    return RP.report(docs, "doc_id", F.col("text"), F.lit("<p>x</p>"), {"doc": F.col("doc_id"), "lang": F.col("lang")}, {"english": F.col("lang") == "en", "long": F.length("text") > 1000}, 50)
+
+
 #: Classes of a vector: the greatest of the components whose numbers leave the same remainder.
 _PROBS = "e AS (SELECT vec_id, list_transform(range(22), lambda c: list_max(list_transform(list_filter(range(len(embedding)), lambda i: i % 22 = c), lambda i: abs(CAST(embedding[i + 1] AS DOUBLE))))) AS v FROM embeddings)"
 

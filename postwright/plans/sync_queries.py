@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from postwright.functions import language as L
 from postwright.operators import sync as S
+from postwright.operators import sync_run as SR
 from postwright.plans.base import P, Registry, table
 from postwright.sources import dims
+from postwright.sources import schema as SC
 from postwright.sources.postings import postings
 
 R = Registry()
@@ -95,11 +97,14 @@ _PAYLOAD = f"""SELECT source_db, source_job_id, site_id, external_id, title, des
   coalesce(CASE WHEN length(trim(country_code)) = 2 THEN upper(trim(country_code)) END, 'GB') AS country_code,
   coalesce(CASE WHEN length(trim(currency)) = 3 THEN upper(trim(currency)) END, 'GBP') AS salary_currency,
   CASE WHEN trim(category) <> '' THEN trim(category) END AS category, salary_min, published_at, expires_at,
-  coalesce(contains(lower(subcategory), 'remote'), false) AS is_remote, coalesce(expires_at >= TIMESTAMP '{NOW}', true) AS is_active FROM p"""
+  coalesce(contains(lower(subcategory), 'remote'), false) AS is_remote, coalesce(expires_at >= TIMESTAMP '{NOW}', true) AS is_active,
+  CAST(NULL AS BIGINT) AS company_id, 'Co ' || city_id AS company_name, CAST(NULL AS VARCHAR) AS site_title, 'https://x.example/' || source_job_id AS url, CAST(NULL AS BIGINT) AS region_id, CAST(NULL AS VARCHAR) AS region_title,
+  CAST(salary_min + 10 AS DECIMAL(15,2)) AS salary_max, CAST(NULL AS VARCHAR) AS salary_period, CASE WHEN source_job_id % 2 = 0 THEN 'full' END AS contract, CAST(NULL AS VARCHAR) AS experience, CAST(NULL AS VARCHAR) AS education FROM p"""
 
 
 def _payload(spark, sf_dir):
-    return S.payload(postings(spark, sf_dir), _now(), "GB", "GBP")
+    rows = postings(spark, sf_dir).withColumns({"company_name": F.concat(F.lit("Co "), F.col("city_id")), "url": F.concat(F.lit("https://x.example/"), F.col("source_job_id")), "salary_max": F.col("salary_min") + 10, "contract": F.when(F.col("source_job_id") % 2 == 0, "full")})
+    return S.payload(rows, _now(), "GB", "GBP")
 
 
 @R.add(f"{P} {_PAYLOAD}")
@@ -177,3 +182,34 @@ def backfill_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, "xx").when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("lang"))
     found = docs.filter("lang IS NULL").select("doc_id", F.when(F.col("doc_id") % 3 != 0, "filled").alias("lang"))
     return S.update_by_key(docs, found, "doc_id", ["lang"], overwrite=False)
+
+
+def _opened(spark, sf_dir, name: str) -> SR.Source:
+    """A source over the postings of one region; one of them cannot be opened, one lacks the city's country that it must have."""
+    if name == "asia":
+        raise OSError("no connection")
+    rows = postings(spark, sf_dir).filter(F.col("source_db") == name)
+    jobs = rows.select(F.col("source_job_id").alias("id"), "site_id", "external_id", F.col("title").alias("position"), "description", "city_id", "salary_min", F.col("currency").alias("salary_currency"), F.col("published_at").alias("published"), F.col("expires_at").alias("expires"), "subcategory", "category")
+    cities = rows.groupBy(F.col("city_id").alias("id")).agg(F.max("city_title").alias("title"), F.max("country_code").alias("country_code"))
+    sites = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("smallint").alias("id"), F.col("s_name").alias("name"))
+    ledger = table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), F.lit("ai").alias("destination")).filter("job_id % 3 = 0")
+    return SR.Source(jobs, cities.drop("country_code") if name == "europe" else cities, sites, ledger, None, "GB", "GBP", {"country_code_in_city": "1", "currency_in_job": "1"})
+
+
+@R.add(f"""{P}, g AS (SELECT event_id FROM events WHERE event_id % 3 = 0), c AS (SELECT source_db, city_id, max(country_code) AS code FROM p GROUP BY 1, 2),
+f AS (SELECT p.source_db, source_job_id, length(trim(code)) = 2 AS usable FROM p JOIN c ON p.source_db = c.source_db AND p.city_id = c.city_id WHERE p.source_db NOT IN ('asia', 'europe') AND source_job_id > CASE p.source_db WHEN 'africa' THEN 1000 ELSE 0 END AND source_job_id NOT IN (SELECT event_id FROM g)),
+t AS (SELECT source_db, count(*) AS fetched, count(*) FILTER (WHERE coalesce(usable, false)) AS processed, max(source_job_id) AS last_job_id FROM f GROUP BY 1)
+SELECT source_db, fetched, processed, fetched - processed AS skipped, last_job_id, false AS failed FROM t UNION ALL SELECT r, 0, 0, 0, NULL, true FROM (VALUES ('asia'), ('europe')) AS v(r)
+UNION ALL SELECT NULL, CAST(sum(fetched) AS BIGINT), CAST(sum(processed) AS BIGINT), CAST(sum(fetched - processed) AS BIGINT), NULL, false FROM t""")
+def sync_run(spark, sf_dir):
+    """A run over five sources, two of which fail: counts of each, and totals of the others."""
+    names = ("africa", "america", "asia", "europe", "middle east")
+    found = SR.run(spark, {n: (lambda n=n: _opened(spark, sf_dir, n)) for n in names}, {"africa": 1000}, "ai", _now(), lambda name, batch: None)
+    return found.select("source_db", "fetched", "processed", "skipped", "last_job_id", F.col("error").isNotNull().alias("failed"))
+
+
+@R.add("SELECT o_orderkey AS id, CAST(NULL AS BIGINT) AS source_job_id, 'x' AS source_db, CAST(o_custkey AS VARCHAR) AS title FROM orders")
+def schema_conform(spark, sf_dir):
+    """An older stored table under the declared schema: a renamed column, a column of another type, a missing and a dropped one."""
+    old = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.lit("x").alias("db"), F.col("o_custkey").alias("title"), F.lit(1).alias("gone"))
+    return SC.conform(old, SC.dims.JOBS, {"db": "source_db"}).select("id", "source_job_id", "source_db", "title")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from postwright.functions import fixed_values as V
 from postwright.functions import language as L
 from postwright.functions import titles as T
+from postwright.operators import categorise as C
 from postwright.plans.base import P, Registry, table
 from postwright.sources.postings import postings
 
@@ -90,3 +91,43 @@ def lang_fallback_chain(spark, sf_dir):
     key = F.col("source_job_id") % 5
     detected = F.when(key == 0, "EN").when(key == 1, "el").when(key == 2, "xx").when(key == 4, "fr")
     return postings(spark, sf_dir).select("source_job_id", L.resolve(detected, F.col("country_code"), F.col("source_db")).alias("language_code"))
+
+
+#: Titles with references (§: the row's value) and what they mean, by hand.
+_REFERENCES = [
+    ("R&amp;D &#38; §", "R&D & §"), ("caf&eacute; §", "café §"), ("&#x20AC;§ &euro;", "€§ €"), ("a &lt b §", "a < b §"), ("&bogus; §", "&bogus; §"), ("&#128;§", "€§"), ("x &notit; §", "x ¬it; §"), ("&amp;amp; §", "&amp; §"), ("§ & co", "§ & co"),
+]
+#: Title, generated title, and the title that counts, by hand.
+_GENERATED = [
+    ("Cook - Full Time", "senior cook - lead", "Senior Cook - Lead"), ("Cook - Full Time", "", "Cook"), ("Full Time", "", "Full Time"), ("Techniker (m/w/d)", "Techniker", "Techniker m/w/d"), ("Cook", None, "Cook"),
+    ("Non-Profit Lead", "Non-Profit Lead–Chief", "Non-Profit Lead - Chief"),
+]
+
+
+def _literal(text: str | None) -> str:
+    return "NULL" if text is None else "'" + text.replace("'", "''").replace("§", "' || p_partkey || '") + "'"
+
+
+def _choose(values: list[str | None], n: int) -> str:
+    return f"CASE p_partkey % {n} " + " ".join(f"WHEN {i} THEN {_literal(v)}" for i, v in enumerate(values)) + " END"
+
+
+def _chosen(values: list[str | None]):
+    k = F.col("p_partkey") % len(values)
+    return F.coalesce(*[F.when(k == i, F.replace(F.lit(v), F.lit("§"), F.col("p_partkey").cast("string"))) for i, v in enumerate(values) if v is not None])
+
+
+@R.add(f"SELECT p_partkey, {_choose([b for _, b in _REFERENCES], len(_REFERENCES))} AS title FROM part")
+def title_unescape(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", T.unescape(_chosen([a for a, _ in _REFERENCES])).alias("title"))
+
+
+@R.add(f"SELECT p_partkey, {_choose([c for *_, c in _GENERATED], len(_GENERATED))} AS title FROM part")
+def title_fallback(spark, sf_dir):
+    """Generated titles, and what counts where a model gave none."""
+    return table(spark, sf_dir, "part").select("p_partkey", T.normalise_with_fallback(_chosen([a for a, *_ in _GENERATED]), _chosen([b for _, b, _ in _GENERATED])).alias("title"))
+
+
+@R.add(f"{P} SELECT source_job_id, title || ' ' || title || ' ' || title || ' ' || description AS input FROM p")
+def categoriser_input(spark, sf_dir):
+    return postings(spark, sf_dir).select("source_job_id", C.model_input(F.col("title"), F.col("description")).alias("input"))

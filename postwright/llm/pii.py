@@ -49,7 +49,7 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone"
 #: Characters of a value inside; a value that may be an identifier: a token with a digit, or one after an assigning sign.
 _IN = r"\p{L}\p{N}_@%./+-"
 _GROUPS = r"\(?[0-9]{1,6}\)?(?:[ ./-]\(?[0-9]{1,6}\)?)++(?![\p{L}\p{N}])"
-VALUE = rf"(?<![{_IN}])(?:(?=[\p{{L}}_@%./+-]*+[0-9])|(?<=[=:#][\s\"'(\[]{{0,3}}))(?:{_GROUPS}|[\p{{L}}\p{{N}}](?:[{_IN}]*[\p{{L}}\p{{N}}])?)"
+VALUE = rf"(?<![{_IN}])(?:(?=\(?[\p{{L}}_@%./+-]*+[0-9])|(?<=[=:#][\s\"'(\[]{{0,3}}))(?:{_GROUPS}|[\p{{L}}\p{{N}}](?:[{_IN}]*[\p{{L}}\p{{N}}])?)"
 VALUE_NEEDS = "[0-9=:#]"
 #: The cue of a value: the word left of it and the signs between, in lower case with single blanks; read from this many characters.
 CUE, CONTEXT = r"(?<![\p{L}_])[\p{L}_]++[^\p{L}\p{N}_+]++", 40

@@ -1,4 +1,10 @@
+import math
+import random
 import re
+from collections import Counter, defaultdict
+
+import pytest
+import regex
 
 from postwright.llm import pii
 from tests.llm.fixtures import ROWS, documents, no_documents
@@ -42,6 +48,105 @@ def test_contexts_discover_identifiers(spark):
     assert all(found[i] == [f"q{i}w{i}e{i}r{i}t{i}y{i}"] or len(found[i]) == 2 for i in range(12)) and found[99] == []
 
 
+def cue_of(left):
+    found = regex.search(f"({pii.CUE})$", regex.sub(r"\s+", " ", left[-pii.CONTEXT :].lower()))
+    return f"near {found[1]}" if found and len(found[1]) < pii.CONTEXT else None
+
+
+def shape_of(value):
+    for pattern, sign in (("[0-9]+", "9"), ("[a-z]+", "a"), ("[A-Z]+", "A"), ("(?:(?![aA])\\p{L})+", "l"), ("(?:9[aA]|[aA]9){2,}[9aA]?", "*")):
+        value = regex.sub(pattern, sign, value)
+    return f"shape {value}"
+
+
+def brute_discovery(texts):
+    """{text number: [(start, end, kind)]} that the method must add, by dictionaries."""
+    places, edges, seeds = [], Counter(), {}
+    for i, text in enumerate(texts):
+        text = text or ""
+        spans = [(s, e, k) for k, found in base(text).items() for s, e in found]
+        places += [(i, s, e, k, True) for s, e, k in spans]
+        places += [(i, m.start(), m.end(), None, False) for m in regex.finditer(pii.VALUE, text) if not any(s < m.end() and m.start() < e for s, e, _ in spans)]
+    certain = set()
+    for i, s, e, kind, known in places:
+        value, cue = texts[i][s:e], cue_of(texts[i][:s])
+        sure = not known and (regex.search(pii.SEED_VALUE, value) or (cue and regex.search(pii.SEED_CUE, cue[5:])))
+        kind = kind or ("id" if sure or regex.search(pii.KEY, value) else None)
+        certain |= {(i, s)} if sure else set()
+        for pattern in (cue, shape_of(value)):
+            if pattern:
+                edges[pattern, value] += 1
+        if kind:
+            seeds.setdefault(value, set()).add(kind)
+    every, values = Counter(), defaultdict(set)
+    for (pattern, value), n in edges.items():
+        every[pattern] += n
+        values[pattern].add(value)
+    counted = Counter(f"near {c}" for t in texts for c in regex.findall(f"({pii.CUE})", regex.sub(r"\s+", " ", (t or "").lower())))
+    total = {p: max(n, counted[p]) for p, n in every.items() if p.startswith("shape ") or len(values[p]) >= pii.SUPPORT}
+    known = {(v, k): 1.0 for v, kinds in seeds.items() for k in kinds}
+    for turn in range(pii.ROUNDS):
+        hits, support = Counter(), Counter()
+        for (pattern, value), n in edges.items():
+            for (v, k), score in known.items():
+                if v == value and pattern in total:
+                    hits[pattern, k] += n * score
+                    support[pattern, k] += 1
+        confidence = {pk: h / (total[pk[0]] + pii.SMOOTHING) for pk, h in hits.items()}
+        good = {}
+        for (p, k), c in confidence.items():
+            if p.startswith("near ") and c >= pii.ACCEPT and support[p, k] >= pii.SUPPORT and (c, k) > good.get(p, (0, "")):
+                good[p] = (c, k)
+        if turn == pii.ROUNDS - 1:
+            break
+        met = {(v, good[p][1]) for p, v in edges if p in good and v not in seeds}
+        best = {}
+        for v, k in met:
+            score = 1 - math.exp(sum(math.log(max(1 - confidence[p, k], 1e-9)) for p, u in edges if u == v and (p, k) in confidence))
+            if (score, k) > best.get(v, (0, "")):
+                best[v] = (score, k)
+        grown = {(v, k): 1.0 for v, kinds in seeds.items() for k in kinds} | {(v, k): s for v, (s, k) in best.items()}
+        if len(grown) == len(known):
+            break
+        known = grown
+    out = defaultdict(list)
+    for i, s, e, _, is_base in places:
+        cue = cue_of(texts[i][:s])
+        if not is_base and (cue in good or (i, s) in certain):
+            out[i].append((s, e, good[cue][1] if cue in good else "id"))
+    return {i: sorted(x) for i, x in out.items()}
+
+
+def corpus(seed):
+    rng = random.Random(seed)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    out = []
+    for i in range(60):
+        phone = f"+1 ({digits(3)}) 555-{digits(4)}" if i % 3 else rng.choice([f"{digits(3)} 555 {digits(4)}", f"({digits(3)}) 555-{digits(4)}"])
+        out.append(f"you may call me at {phone} or write to u{digits(3)}@mail.example today, version {rng.randrange(4)} of the plan")
+        out.append(rng.choice([*[f'token = "{"%030x" % rng.getrandbits(118)}a1"'] * 6, f'Token = "k{digits(3)}"', 'token = "letmein"', f"account no: {digits(8)}", f"the year {1990 + i}"]))
+        out.append(rng.choice(["call the office", "write to us", "at the time of 3 pm", f"my badge is {digits(2)}", None, ""]))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_discovery_equals_brute_force(spark, seed):
+    texts = corpus(seed)
+    want = brute_discovery(texts)
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: [(s["start"], s["end"], s["kind"]) for s in r["id"]] for r in found if r["id"]} == want
+    # what the seeds could not give: short codes and letters after the cue of keys, phone numbers without a plus
+    added = [(texts[i][s:e], k) for i, spans in want.items() for s, e, k in spans]
+    assert ("letmein", "id") in added and any(k == "phone" and v[0] == "(" for v, k in added) and any(k == "phone" and v[0] != "(" for v, k in added)
+    assert not any(re.fullmatch("3|office|19[0-9]{2}|20[0-9]{2}", v) for v, _ in added)
+
+
+def test_repeated_rows_and_ties(spark):
+    docs = spark.createDataFrame([(1, "a@b.c +1 555 010 4477 4111111111111111")] * 3 + [(None, "a@b.c")], "doc_id long, text string")
+    rows = pii.find(docs).collect()
+    assert len(rows) == 4 and len({str([r[k] for k in pii.KINDS]) for r in rows if r["doc_id"] == 1}) == 1 and len({r["row"] for r in rows}) == 4
+
+
 def test_redact(spark):
     docs = documents(spark)
     out = pii.redact(docs)

@@ -123,3 +123,55 @@ def test_evidence_is_fused(spark):
     assert found[202]["lang"] == "en" and found[204]["lang"] == "en"
     assert langid.detect(pages.limit(0), labelled).count() == 0
     assert {r["lang"] for r in langid.detect(pages, labelled.limit(0)).collect()} == {None}
+
+
+def brute_language(pages, labelled):
+    """page_id -> posterior by language, from the definitions."""
+    langs = sorted({x for _, x in labelled if x})
+    table = np.full((len(langs), langid.SLOTS), 0.5)
+    for text, lang in labelled:
+        if text and lang:
+            np.add.at(table[langs.index(lang)], langid.slots(text), 1)
+    table = np.log(table / table.sum(axis=1, keepdims=True))
+    smooth = lambda c, p, w: (c + w * p) / (c.sum() + w)
+    rows, zero = [], lambda: np.zeros(len(langs))
+    host, domain, suffix, said = ({} for _ in range(4))
+    for page, url, html in pages:
+        at = langid.slots(langid.page_text(html))
+        ll = table[:, at].mean(axis=1) if len(at) else zero()
+        ll = (ll - ll.max()) * langid.EFFECTIVE * len(at) / (langid.EFFECTIVE + len(at))
+        own = np.exp(ll) / np.exp(ll).sum()
+        h, d, s = langid.address(url)
+        for where, key in ((host, h), (domain, (d, s)), (suffix, s), (said, langid.declared(html))):
+            where[key] = where.get(key, zero()) + own
+        rows.append((page, h, d, s, langid.declared(html), ll, own))
+    whole = sum(suffix.values()) + 1
+    out = {}
+    for page, h, d, s, says, ll, own in rows:
+        up = smooth(suffix[s], whole / whole.sum(), langid.HOST_WEIGHT)
+        up = smooth(domain[d, s], up, langid.HOST_WEIGHT)
+        prior = smooth(np.maximum(host[h] - own, 0), up, langid.HOST_WEIGHT)
+        spoken = (said[says] + langid.DECLARED_WEIGHT / len(langs)) / (whole + langid.DECLARED_WEIGHT)
+        p = np.exp(ll + np.log(prior) + np.log(spoken))
+        out[page] = dict(zip(langs, p / p.sum(), strict=True))
+    return out
+
+
+def test_posteriors_equal_the_definition_and_fusion_decides(spark):
+    labelled = [(EN, "en"), (FR, "fr"), (None, "en"), (EN, None)]
+    body = {"en": EN, "fr": FR, "both": EN + " " + FR, "no": "zzz qqq", "": ""}
+    page = lambda text, lang: f'<html lang="{lang}"><body><p>{body[text]}</p></body></html>'
+    pages = [(i, f"http://a.x.fr/{i}", page("fr", "fr")) for i in range(12)] + [(50 + i, f"http://b.y.com/{i}", page("en", "en")) for i in range(12)]
+    pages += [(100 + i, url, page(text, lang)) for i, (url, text, lang) in enumerate((u, t, g) for u in ("http://a.x.fr/q", "http://new.x.fr/q", "http://n.z.fr", "http://b.y.com/q", None) for t in body for g in ("en", "fr", ""))]
+    pages += [(300, "http://a.x.fr/long", page("fr", "en") * 400), (301, None, None)]
+    found = {r["page_id"]: r for r in langid.detect(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(labelled, "text string, lang string")).collect()}
+    want = brute_language(pages, labelled)
+    assert set(found) == set(want) and len(found) == len(pages)
+    for i, p in want.items():
+        assert all(abs(found[i]["posterior"][x] - p[x]) < 1e-4 for x in p)
+        if abs(p["en"] - p["fr"]) > 1e-3:
+            assert found[i]["lang"] == max(p, key=p.get)
+    # with the same text, the host and the declaration decide
+    by = {(url, text, lang): found[i]["lang"] for i, (url, text, lang) in enumerate(((u, t, g) for u in ("http://a.x.fr/q", "http://new.x.fr/q", "http://n.z.fr", "http://b.y.com/q", None) for t in body for g in ("en", "fr", "")), 100)}
+    assert by["http://a.x.fr/q", "no", ""] == by["http://new.x.fr/q", "", ""] == "fr" and by["http://b.y.com/q", "no", ""] == "en"
+    assert by[None, "no", "fr"] == "fr" and by[None, "no", "en"] == "en"

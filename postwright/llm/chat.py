@@ -12,7 +12,9 @@ becomes ``\\n``), so no text can hold a control string, and reading back is exac
 Defined results: a null text or role counts as empty, a null seq sorts first,
 events of one seq apply in the order message, other kinds, then by kind, role and
 text; unknown kinds are ignored. A null conv_id is a conversation of its own. Rows
-of ``turns_as_events`` that repeat a turn are separate turns, by role and text.
+of ``turns_as_events`` that repeat a turn are separate turns, by role and text. Texts of
+any length are rendered whole. An empty table gives an empty table; extra columns, of
+whatever names, are ignored.
 """
 
 from __future__ import annotations

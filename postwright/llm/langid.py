@@ -8,7 +8,8 @@ behind both are grouped sums of the text-only posteriors over all pages; a page'
 own share is taken out of its host's.
 
 Defined results: a null or empty page has no text likelihood, and its host and
-declaration decide; a null url has the empty host, suffix and domain. Without
+declaration decide; a null url has the empty host, suffix and domain. Pages of any
+length are read whole, though their trigrams count for EFFECTIVE at most. Without
 labelled documents lang is null. Rows are judged one by one, so repeated rows get
 equal results; ties go to the language that sorts first; extra columns are
 ignored; an empty table gives an empty table.

@@ -12,9 +12,11 @@ windows of decreasing powers of two. Nothing is shuffled, so neither a hot
 source nor repeated rows make one task larger, and a lost task packs its own
 rows again to the same result.
 
-Defined results: a null or empty text is the end id alone; rows that repeat a
-doc_id are packed as separate documents; a null doc_id stays null in its pieces;
-an empty table gives no pieces; extra columns are ignored.
+Defined results: a null or empty text is the end id alone; a text of any length is
+encoded whole and cut into as many pieces as it needs; of equally long pieces the one
+read last is taken first; rows that repeat a doc_id, or a whole row, are packed as separate
+documents; a null doc_id stays null in its pieces; an empty table gives no pieces;
+extra columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations

@@ -39,8 +39,8 @@ ENDED = "[.!?…:;][)\\]\"'”’»]*[\\x20\\x09-\\x0D]*\\z"
 TEASER = "(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*\\z"
 SEPARATOR = "[|»›•·]"
 LINK = "(?:https?://|www\\.)[^\\x20\\x09-\\x0D]+"
-#: Phrases of licences, notices and page furniture, by language (English, French, German, Spanish).
-BOILERPLATE = "(?i)(" + "|".join(
+#: Phrases of licences, notices and page furniture, by language (English, French, German, Spanish); looked for where a word starts only.
+BOILERPLATE = "(?i)(?:^|[^a-z])(?:" + "|".join(
     (
         "all rights reserved|licensed under|released under the|terms of (use|service)|terms and conditions|privacy policy|cookie policy|accept (all )?cookies",
         "tous droits r[eé]serv[eé]s|conditions (g[eé]n[eé]rales|d['’]utilisation)|politique de confidentialit[eé]|mentions l[eé]gales|accepter (tous )?les cookies|sous licence",
@@ -48,6 +48,8 @@ BOILERPLATE = "(?i)(" + "|".join(
         "todos los derechos reservados|t[eé]rminos (de uso|y condiciones)|pol[ií]tica de (privacidad|cookies)|aviso legal|aceptar (todas las )?cookies|bajo (la )?licencia",
     )
 ) + ")"
+#: Whole lines, and the words of the longest.
+NAVIGATION_WORDS = 3
 NAVIGATION = "(?i)^\\s*(" + "|".join(
     (
         "home|menu|log ?in|sign (in|up)|subscribe|next|previous|back to top|read more|share|skip to content|contact( us)?|search",
@@ -67,28 +69,47 @@ def _has_word(line: Column) -> Column:
     return line.rlike("[^\\x20\\x09-\\x0D]")
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line that has words fails a rule of its own (earlier copies are the document's affair)."""
-    bound = F.transform(F.array(split_words(line)), lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), F.size(F.array_distinct(w)).alias("distinct")))
-    verdict = lambda x: (
-        (F.regexp_count(line, F.lit(SYMBOL)) > SYMBOLS_PER_WORD * x["n"])
+def judge_line(line: Column, may_link: Column | None = None, may_separate: Column | None = None) -> Column:
+    """struct<fails, short> of a line that has words: whether a rule of its own fails (earlier copies are the document's affair), and whether it may be in a run of short lines.
+
+    ``may_link`` and ``may_separate``: whether its text can hold a link or a separator at all.
+    """
+    yes = F.lit(True)
+    ended = line.rlike(ENDED)
+    separators = F.regexp_count(line, F.lit(SEPARATOR))
+    linked = F.length(F.array_join(F.regexp_extract_all(line, F.lit(f"({LINK})"), F.lit(1)), ""))
+    bound = F.transform(F.array(split_words(line)), lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), F.size(F.array_distinct(w)).alias("distinct"), ended.alias("ended")))
+    fails = lambda x: (
+        ((x["n"] >= SENTENCE) & ~x["ended"])
+        | (F.regexp_count(line, F.lit(SYMBOL)) > SYMBOLS_PER_WORD * x["n"])
         | (F.regexp_count(line, F.lit(CAPITAL)) > CAPITALS_PER_CHAR * x["chars"])
-        | ((x["n"] >= SENTENCE) & ~line.rlike(ENDED))
-        | line.rlike(TEASER)
-        | ((F.regexp_count(line, F.lit(SEPARATOR)) >= SEPARATORS) & (x["n"] <= WORDS_PER_SEPARATOR * F.regexp_count(line, F.lit(SEPARATOR))))
-        | (line.rlike(LINK) & (F.length(F.array_join(F.regexp_extract_all(line, F.lit(f"({LINK})"), F.lit(1)), "")) > LINK_SHARE * x["chars"]))
         | ((x["n"] >= LONG_LINE) & (x["distinct"] < DISTINCT_SHARE * x["n"]))
+        | (x["ended"] & line.rlike(TEASER))
+        | ((x["n"] <= NAVIGATION_WORDS) & line.rlike(NAVIGATION))
+        | ((yes if may_separate is None else may_separate) & (separators >= SEPARATORS) & (x["n"] <= WORDS_PER_SEPARATOR * separators))
+        | ((yes if may_link is None else may_link) & line.rlike(LINK) & (linked > LINK_SHARE * x["chars"]))
         | line.rlike(BOILERPLATE)
-        | line.rlike(NAVIGATION)
     )
-    return F.element_at(F.transform(bound, verdict), 1)
+    return F.element_at(F.transform(bound, lambda x: F.struct(fails(x).alias("fails"), ((x["n"] <= SHORT) & ~x["ended"]).alias("short"))), 1)
+
+
+def line_fails(line: Column) -> Column:
+    """Whether a line that has words fails a rule of its own."""
+    return judge_line(line)["fails"]
 
 
 def _with_lines(docs: DataFrame) -> DataFrame:
     """Adds __lines: struct<line, fails> in order; fails is null for a line without words."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    judged = lambda x: F.struct(x.alias("line"), F.when(_has_word(x), line_fails(x)).alias("fails"), (_has_word(x) & (F.size(split_words(x)) <= SHORT) & ~x.rlike(ENDED)).alias("short"))
-    docs = docs.withColumn("__rules", F.transform(lines, judged))
+    text = F.coalesce("text", F.lit(""))
+    holds = F.struct((F.contains(text, F.lit("://")) | F.contains(text, F.lit("www."))).alias("link"), text.rlike(SEPARATOR).alias("separator"))
+
+    def judged(x: Column, text_holds: Column) -> Column:
+        verdict = F.when(_has_word(x), judge_line(x, text_holds["link"], text_holds["separator"]))
+        return F.element_at(F.transform(F.array(verdict), lambda v: F.struct(x.alias("line"), v["fails"].alias("fails"), F.coalesce(v["short"], F.lit(False)).alias("short"))), 1)
+
+    # what the text holds is bound once: a column would be computed again for every line
+    docs = docs.withColumn("__rules", F.element_at(F.transform(F.array(holds), lambda h: F.transform(lines, lambda x: judged(x, h))), 1))
     # a short line is in a run if some window of RUN lines around it is all short
     short = lambda i: F.coalesce(F.get(F.col("__rules"), i)["short"], F.lit(False))
     window = lambda i: reduce(or_, (reduce(and_, (short(i + k) for k in range(first, first + RUN))) for first in range(1 - RUN, 1)))

@@ -32,6 +32,7 @@ gives an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 from collections.abc import Iterator
@@ -191,9 +192,7 @@ def calibrate(model: Model, raw: np.ndarray, labels: np.ndarray) -> None:
 
 def weigh(words: np.ndarray, counts: np.ndarray, sizes: np.ndarray, known: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ``sizes`` words of each example, one after another, with counts -> their places in ``known`` and unit-length weights."""
-    word = np.empty(len(words), np.int32)  # narrow types and chunks: the driver is small
-    for i in range(0, len(words), 1 << 20):
-        word[i : i + (1 << 20)] = np.searchsorted(known, words[i : i + (1 << 20)])
+    word = np.searchsorted(known, words).astype(np.int32)
     w = (1 + np.log(counts.astype(np.float32))) * idf.astype(np.float32)[word]
     norms = np.sqrt(np.add.reduceat(np.square(w), (np.cumsum(sizes) - sizes)[sizes > 0], dtype=np.float64))
     w /= np.repeat(norms.astype(np.float32), sizes[sizes > 0])
@@ -212,9 +211,12 @@ def build_whole(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, word: np
     head[example[dense], head_of[word[dense]]] = w[dense]
     word, example, w = word[~dense], example[~dense], w[~dense]
     strongest = np.zeros(size, np.int64)
-    by_weight = np.argsort(w, kind="stable")
-    strongest[example[by_weight]] = word[by_weight]
-    del by_weight
+    begins = np.flatnonzero(np.concatenate([[True], example[1:] != example[:-1]])) if len(example) else np.empty(0, np.int64)
+    if len(begins):
+        greatest = np.zeros(size, np.float32)
+        greatest[example[begins]] = np.maximum.reduceat(w, begins)
+        at = np.flatnonzero(w == greatest[example])[::-1]  # of equal ones the first
+        strongest[example[at]] = word[at]
     place = np.lexsort((ids, strongest, head.argmax(axis=1) if len(top) else strongest))
     head, example = head[place], np.argsort(place).astype(np.int32)[example]
     between = (often > RARE) & (head_of < 0)
@@ -222,12 +224,14 @@ def build_whole(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, word: np
     middle = between[word]
     order = np.argsort(example[middle], kind="stable")
     own_word, own_weight, owner = middle_of[word[middle]][order], w[middle][order], example[middle][order]
+    own_word = own_word.astype(np.uint16 if between.sum() <= 1 << 16 else np.int32)
     own = np.searchsorted(owner, np.arange(size + 1)).astype(np.int32)
     norm = np.sqrt(np.bincount(owner, np.square(own_weight, dtype=np.float64), size)).astype(np.float32)
     word, example, w = word[~middle], example[~middle], w[~middle]
     order = np.argsort(word, kind="stable")
     start = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(known)))]).astype(np.int32)
-    return Whole(known, idf, math.log((1 + n) / 2) + 1, head_of, head, start, example[order], w[order], middle_of, own, own_word, own_weight, norm, ids[place], labels[place])
+    example = example[order].astype(np.uint16 if size <= 1 << 16 else np.int32)
+    return Whole(known, idf, math.log((1 + n) / 2) + 1, head_of, head, start, example, w[order], middle_of, own, own_word, own_weight, norm, ids[place], labels[place])
 
 
 def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -316,7 +320,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], words, counts], names=["doc_id", "toxic", "fold", "words", "counts"])
 
 
-def _examples(docs: DataFrame, texts: DataFrame) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+def _examples(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """(doc_id, toxic, fold, words, counts) of ``texts`` (bounded by MAX_LABELLED); all their words, sorted, with frequencies over all of ``docs``."""
     hashed = texts.select("doc_id", (F.col("toxic") == 1).cast("int").alias("toxic"), "fold", _hashes("text").alias("hashes"))
     bags = stage(hashed.mapInArrow(_bags, "doc_id long, toxic int, fold long, words array<long>, counts array<int>"), "tox-bags")
@@ -325,7 +329,17 @@ def _examples(docs: DataFrame, texts: DataFrame) -> tuple[pa.Table, np.ndarray,
     counted = every.groupBy("word").agg(F.count("*").alias("df")).toArrow()
     words, df = counted["word"].to_numpy(), counted["df"].to_numpy()
     order = np.argsort(words)
-    return bags.toArrow(), words[order], df[order]
+    return bags, words[order], df[order]
+
+
+def _parts(bags: DataFrame) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches of ``bags`` with words, counts and their numbers as arrays; a batch is gone once the next is asked for, as the driver is small."""
+    batches = bags.orderBy("doc_id").toArrow().to_batches(1000)
+    batches.reverse()
+    while batches:
+        batch = batches.pop()
+        words, counts = (batch.column(c).flatten().to_numpy() for c in ("words", "counts"))
+        yield batch, words, counts, pa.compute.list_value_length(batch.column("words")).to_numpy()
 
 
 def telling(model: Model, words: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
@@ -415,30 +429,36 @@ def fit(docs: DataFrame, labels: DataFrame, teach=None) -> tuple[Model, DataFram
     by_hash = sorted((hashes[t], i) for t, i in model.terms.items())
     model.hashes, model.term_of = np.array([h for h, _ in by_hash], np.int64), np.array([i for _, i in by_hash], np.int64)
     n = docs.count()
-    found, known, df = _examples(docs, texts)
+    bags, known, df = _examples(docs, texts)
     idf = np.log((1 + n) / (1 + df)) + 1
     model.idf = np.zeros(len(model.terms))
     model.idf[model.term_of] = idf[np.searchsorted(known, model.hashes)]
-    examples, probes = [], []
-    words, counts = (pa.compute.list_flatten(found[c]).to_numpy() for c in ("words", "counts"))
-    sizes = pa.compute.list_value_length(found["words"]).to_numpy()
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    found = found.select(["doc_id", "toxic", "fold"])
-    for i, (doc, label, fold) in enumerate(zip(found["doc_id"].to_pylist(), found["toxic"].to_pylist(), found["fold"].to_pylist(), strict=True)):
-        pairs = telling(model, words[offsets[i] : offsets[i + 1]], counts[offsets[i] : offsets[i + 1]])
-        if fold == 0:
-            probes.append((pairs, label))
-        elif pairs:
-            examples.append((doc, label, pairs))
+    examples, probes, ids, marks, lengths, word_parts, weights = [], [], [], [], [], [], []
+    for batch, words, counts, sizes in _parts(bags):
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        for i, (doc, label, fold) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "fold")), strict=True)):
+            pairs = telling(model, words[offsets[i] : offsets[i + 1]], counts[offsets[i] : offsets[i + 1]])
+            if fold == 0:
+                probes.append((pairs, label))
+            elif pairs:
+                examples.append((doc, label, pairs))
+            ids.append(doc)
+            marks.append(float(label))
+        if len(words):
+            word, w = weigh(words, counts, sizes, known, idf)
+            word_parts.append(word)
+            weights.append(w)
+        lengths.append(sizes)
     if examples:
         build_index(model, examples)
         raw = np.array([vote(model, nearest(model, *vector(model, p))) if p else 0.0 for p, _ in probes])
         calibrate(model, raw, np.array([y for _, y in probes], float))
-    ids, labels = found["doc_id"].to_numpy(), found["toxic"].to_numpy().astype(float)
-    if len(words):
-        word, w = weigh(words, counts, sizes, known, idf)
-        del words, counts, found, offsets
-        model.whole = build_whole(ids, labels, sizes, word, w, known, idf, n)
+    if word_parts:
+        word, w = np.concatenate(word_parts), np.concatenate(weights)
+        del word_parts, weights
+        model.whole = build_whole(np.array(ids, np.int64), np.array(marks), np.concatenate(lengths), word, w, known, idf, n)
+        del word, w
+    gc.collect()
     pa.default_memory_pool().release_unused()
     return model, docs
 

@@ -112,9 +112,10 @@ def expiry_date(text: Column, as_of: Column) -> Column:
     return F.coalesce(deadline(text, as_of)["date"], start_date(text, as_of))
 
 
-def deadlines(docs: DataFrame, key: list[str], text: str, as_of: Column) -> DataFrame:
-    """key, date, rule, open_ended of every document with a deadline or an open-ended label."""
-    found = docs.select(*key, deadline(F.col(text), as_of).alias("__d")).filter("__d IS NOT NULL")
+def deadlines(docs: DataFrame, key: list[str], text: str, as_of: Column, only=None) -> DataFrame:
+    """key, date, rule, open_ended of every document with a deadline or an open-ended label; ``only``: which candidates may give one."""
+    rules = _rules if only is None else lambda at, all_lines: F.filter(_rules(at, all_lines), only)
+    found = docs.select(*key, _scan(F.col(text), as_of, rules, TRIGGERS).alias("__d")).filter("__d IS NOT NULL")
     return found.select(*key, "__d.date", "__d.rule", "__d.open_ended")
 
 

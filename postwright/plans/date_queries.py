@@ -145,8 +145,7 @@ def _label_date(t: str) -> str:
 ), q AS (SELECT k, i * 10 + rank AS o, stops AND regexp_matches(t, '{V.OPEN_ENDED}', 'i') AS stop, {_label_date("t")} AS d FROM c), z AS (SELECT k, arg_min(struct_pack(d := d, stop := stop), o) AS x FROM q WHERE stop OR d IS NOT NULL GROUP BY k)
 SELECT k AS source_job_id, x.d AS date, x.stop AS open_ended FROM z""")
 def deadline_label(spark, sf_dir):
-    rules = lambda at, ls: F.filter(DL._rules(at, ls), lambda c: c["rank"] < 10)
-    found = DL._scan(postings(spark, sf_dir), ["source_job_id"], "description", _as_of(), rules)
+    found = DL.deadlines(postings(spark, sf_dir), ["source_job_id"], "description", _as_of(), only=lambda c: c["rank"] < 10)
     return found.select("source_job_id", "date", "open_ended")
 
 
@@ -161,8 +160,7 @@ def _inline(name: str, rule: str, pattern: str, joined: bool = True) -> None:
 
     @R.add(f"{_LINES}, h AS (SELECT k, i, {date} AS d FROM n WHERE regexp_matches(line, '{pattern}', 'i')) SELECT k AS source_job_id, arg_min(d, i) AS date FROM h WHERE d IS NOT NULL GROUP BY k", name=name)
     def query(spark, sf_dir):
-        rules = lambda at, ls: F.filter(DL._rules(at, ls), lambda c: c["rule"] == rule)
-        return DL._scan(postings(spark, sf_dir), ["source_job_id"], "description", _as_of(), rules).select("source_job_id", "date")
+        return DL.deadlines(postings(spark, sf_dir), ["source_job_id"], "description", _as_of(), only=lambda c: c["rule"] == rule).select("source_job_id", "date")
 
 
 _inline("deadline_apply_by", "apply by", V.INLINE_APPLY_BY)
@@ -176,15 +174,13 @@ _inline("deadline_submit_by", "submit by", r"submit\w*\s+(?:(?:[^b\s]\S*|b[^y\s]
 @R.add(f"""{_LINES}, h AS (SELECT k, i, regexp_extract(line, '{V.BY_LINE}', 1, 'i') AS t, nxt FROM n WHERE regexp_matches(line, '{V.BY_LINE}', 'i') AND regexp_matches(array_to_string(before, ' '), '{V.BY_LINE_CONTEXT}', 'i')),
 q AS (SELECT k, i, coalesce({_label_date("t")}, {_label_date("nxt")}) AS d FROM h) SELECT k AS source_job_id, arg_min(d, i) AS date FROM q WHERE d IS NOT NULL GROUP BY k""")
 def deadline_by_line(spark, sf_dir):
-    rules = lambda at, ls: F.filter(DL._rules(at, ls), lambda c: c["rule"] == "by line")
-    return DL._scan(postings(spark, sf_dir), ["source_job_id"], "description", _as_of(), rules).select("source_job_id", "date")
+    return DL.deadlines(postings(spark, sf_dir), ["source_job_id"], "description", _as_of(), only=lambda c: c["rule"] == "by line").select("source_job_id", "date")
 
 
 @R.add(f"""{_LINES}, h AS (SELECT k, i, regexp_extract(line, '{V.AU_LINE}', 1, 'i') AS t FROM n WHERE regexp_matches(line, '{V.AU_LINE}', 'i') AND len(list_filter(before, lambda x: {parse("x")} IS NOT NULL)) > 0),
 q AS (SELECT k, i, {parse("t")} AS d FROM h) SELECT k AS source_job_id, arg_min(d, i) AS date FROM q WHERE d IS NOT NULL GROUP BY k""")
 def deadline_fr_range(spark, sf_dir):
-    rules = lambda at, ls: F.filter(DL._rules(at, ls), lambda c: c["rule"] == "au line")
-    return DL._scan(postings(spark, sf_dir), ["source_job_id"], "description", _as_of(), rules).select("source_job_id", "date")
+    return DL.deadlines(postings(spark, sf_dir), ["source_job_id"], "description", _as_of(), only=lambda c: c["rule"] == "au line").select("source_job_id", "date")
 
 
 _START = rf"(?:{'|'.join(V.START_LABELS)})\s*:?\s*(.*)$".replace("'", "''")

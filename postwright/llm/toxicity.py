@@ -34,7 +34,9 @@ from __future__ import annotations
 
 import gc
 import math
+import pickle
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -190,6 +192,13 @@ def calibrate(model: Model, raw: np.ndarray, labels: np.ndarray) -> None:
     model.raw, model.calibrated = np.array(xs), np.maximum.accumulate(np.array(ys))
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts one after another; the list is emptied, so that none is held twice."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
 def weigh(words: np.ndarray, counts: np.ndarray, sizes: np.ndarray, known: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ``sizes`` words of each example, one after another, with counts -> their places in ``known`` and unit-length weights."""
     word = np.searchsorted(known, words).astype(np.int32)
@@ -372,9 +381,14 @@ def _scores(model: Model, hashes: list[np.ndarray]) -> list[tuple[float, list[tu
     return out
 
 
-def _scorer(model: Model):
+def packed(model: Model) -> bytes:
+    """A model as the tasks get it: compressed, so that driver, broadcast and workers hold less."""
+    return zlib.compress(pickle.dumps(model, pickle.HIGHEST_PROTOCOL), 1)
+
+
+def _scorer(sent: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())]))
+        kind, model = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())])), pickle.loads(zlib.decompress(sent))
         for part in _slices(batches):
             found = _scores(model, _lists(part.column("hashes")))
             evidence = [[{"doc_id": d, "similarity": s} for d, s in near] for _, near in found]
@@ -383,10 +397,11 @@ def _scorer(model: Model):
     return run
 
 
-def _filter(model: Model):
+def _filter(sent: bytes):
     """Whole rows and the hashes of their words as the last column -> the rows that are not predicted toxic; nothing is joined or shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pickle.loads(zlib.decompress(sent))
         for part in _slices(batches):
             last = part.num_columns - 1
             found = _scores(model, _lists(part.column(last)))
@@ -454,10 +469,8 @@ def fit(docs: DataFrame, labels: DataFrame, teach=None) -> tuple[Model, DataFram
         raw = np.array([vote(model, nearest(model, *vector(model, p))) if p else 0.0 for p, _ in probes])
         calibrate(model, raw, np.array([y for _, y in probes], float))
     if word_parts:
-        word, w = np.concatenate(word_parts), np.concatenate(weights)
-        del word_parts, weights
-        model.whole = build_whole(np.array(ids, np.int64), np.array(marks), np.concatenate(lengths), word, w, known, idf, n)
-        del word, w
+        pa.default_memory_pool().release_unused()
+        model.whole = build_whole(np.array(ids, np.int64), np.array(marks), np.concatenate(lengths), _joined(word_parts), _joined(weights), known, idf, n)
     gc.collect()
     pa.default_memory_pool().release_unused()
     return model, docs
@@ -465,15 +478,15 @@ def fit(docs: DataFrame, labels: DataFrame, teach=None) -> tuple[Model, DataFram
 
 def score(docs: DataFrame, labels: DataFrame, teach=None) -> DataFrame:
     """doc_id, score, evidence (the nearest examples) of every row of ``docs``."""
-    model, _ = fit(docs, labels, teach)
-    return docs.select("doc_id", _hashes("text").alias("hashes")).mapInArrow(_scorer(model), "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double>>")
+    sent = packed(fit(docs, labels, teach)[0])
+    return docs.select("doc_id", _hashes("text").alias("hashes")).mapInArrow(_scorer(sent), "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double>>")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, teach=None) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic; all columns."""
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots don't pass mapInArrow
     at = docs.columns.index("text")
-    kept = plain.select("*", _hashes(f"c{at}").alias("hashes")).mapInArrow(_filter(fit(docs, labels, teach)[0]), plain.schema)
+    kept = plain.select("*", _hashes(f"c{at}").alias("hashes")).mapInArrow(_filter(packed(fit(docs, labels, teach)[0])), plain.schema)
     return kept.toDF(*docs.columns)
 
 

@@ -35,7 +35,7 @@ END_ID = 1
 GROUP_TOKENS = 1 << 21
 STEP_TOKENS = 1 << 16
 #: Words whose ids a Python worker remembers in each of two generations, and the longest such word in bytes.
-CACHED_WORDS, CACHED_LENGTH = 300_000, 64
+CACHED_WORDS, CACHED_LENGTH = 100_000, 64
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_id long"
 

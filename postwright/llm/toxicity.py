@@ -53,6 +53,8 @@ MAX_LABELLED = 20_000
 #: A word's least toxic examples, least share of toxic ones among its examples, and least likelihood ratio (G2).
 MIN_TOXIC, MIN_SHARE, MIN_G2 = 3, 0.6, 12.0
 NEIGHBOURS, BLOCK, ALPHA = 15, 64, 1.0
+#: Shares in which the driver fetches the examples.
+FETCHES = 8
 #: Over all words: words kept as dense columns, most postings of a rare word, texts compared and scored at once, the power of similarity that a
 #: vote counts, and a neighbour's least similarity.
 HEAD, RARE, AT_ONCE, SLICE, POWER, NEAR = 256, 200, 64, 512, 8, 0.4
@@ -342,13 +344,13 @@ def _examples(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, np.ndarray,
 
 
 def _parts(bags: DataFrame) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """Batches of ``bags`` with words, counts and their numbers as arrays; a batch is gone once the next is asked for, as the driver is small."""
-    batches = bags.orderBy("doc_id").toArrow().to_batches(1000)
-    batches.reverse()
-    while batches:
-        batch = batches.pop()
-        words, counts = (batch.column(c).flatten().to_numpy() for c in ("words", "counts"))
-        yield batch, words, counts, pa.compute.list_value_length(batch.column("words")).to_numpy()
+    """Batches of ``bags`` with words, counts and their numbers as arrays, a share of the examples at a time, as the driver is small."""
+    for part in range(FETCHES):
+        share = bags.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FETCHES)) == part).orderBy("doc_id")
+        for batch in share.toArrow().combine_chunks().to_batches():
+            words, counts = (batch.column(c).flatten().to_numpy() for c in ("words", "counts"))
+            yield batch, words, counts, pa.compute.list_value_length(batch.column("words")).to_numpy()
+        pa.default_memory_pool().release_unused()
 
 
 def telling(model: Model, words: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:

@@ -191,7 +191,7 @@ def _opened(spark, sf_dir, name: str) -> SR.Source:
     rows = postings(spark, sf_dir).filter(F.col("source_db") == name)
     jobs = rows.select(F.col("source_job_id").alias("id"), "site_id", "external_id", F.col("title").alias("position"), "description", "city_id", "salary_min", F.col("currency").alias("salary_currency"), F.col("published_at").alias("published"), F.col("expires_at").alias("expires"), "subcategory", "category")
     cities = rows.groupBy(F.col("city_id").alias("id")).agg(F.max("city_title").alias("title"), F.max("country_code").alias("country_code"))
-    sites = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("smallint").alias("id"), F.col("s_name").alias("name"))
+    sites = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     ledger = table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), F.lit("ai").alias("destination")).filter("job_id % 3 = 0")
     return SR.Source(jobs, cities.drop("country_code") if name == "europe" else cities, sites, ledger, None, "GB", "GBP", {"country_code_in_city": "1", "currency_in_job": "1"})
 

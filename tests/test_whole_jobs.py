@@ -129,3 +129,16 @@ def test_trigram_scores(spark):
     model = LM.fit(spark.createDataFrame([(r["doc_id"], r["text"], r["lang"]) for r in docs], "doc_id long, text string, lang string")).collect()
     assert len(model) == types * len(grams)
     assert all(abs(r["log_p"] - math.log((grams[r["lang"]][r["gram"]] + 1) / (sum(grams[r["lang"]].values()) + types))) < 1e-9 for r in model)
+
+
+def test_a_run_reads_sites_with_long_ids(spark, tmp_path):
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("orders", "customer", "nation", "region", "events", "supplier"):
+        more = " UNION ALL SELECT * REPLACE (s_suppkey + 32768 AS s_suppkey) FROM '{0}'" if name == "supplier" else ""
+        con.execute(f"COPY (SELECT * FROM '{{0}}'{more}) TO '{tmp_path}/{name}.parquet'".format(f"{SF}/{name}.parquet"))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    got = catalogue.queries()["sync_run"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(con.execute(catalogue.oracle_sql()["sync_run"]).fetchall(), key=repr)
+    assert {r["source_db"] for r in got if r["failed"]} == {"asia", "europe"}

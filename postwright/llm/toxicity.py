@@ -388,9 +388,54 @@ def packed(model: Model) -> bytes:
     return zlib.compress(pickle.dumps(model, pickle.HIGHEST_PROTOCOL), 1)
 
 
+class _Unpacking:
+    """A compressed model as a file to read from, so that it is never held whole as bytes."""
+
+    def __init__(self, sent: bytes) -> None:
+        self.sent, self.at, self.ready, self.inflate = sent, 0, bytearray(), zlib.decompressobj()
+
+    def _fill(self, enough) -> None:
+        while not enough() and self.at < len(self.sent):
+            self.ready += self.inflate.decompress(self.sent[self.at : self.at + (1 << 18)])
+            self.at += 1 << 18
+
+    def _take(self, n: int) -> bytes:
+        out = bytes(memoryview(self.ready)[:n])
+        del self.ready[:n]
+        return out
+
+    def read(self, n: int) -> bytes:
+        self._fill(lambda: len(self.ready) >= n)
+        return self._take(n)
+
+    def readline(self) -> bytes:
+        self._fill(lambda: b"\n" in self.ready)
+        end = self.ready.find(b"\n") + 1
+        return self._take(end or len(self.ready))
+
+    def readinto(self, into) -> int:
+        done = 0
+        while done < len(into):
+            self._fill(lambda: bool(self.ready))
+            n = min(len(self.ready), len(into) - done)
+            if not n:
+                break
+            into[done : done + n] = memoryview(self.ready)[:n]
+            del self.ready[:n]
+            done += n
+        return done
+
+
+def unpacked(held: list[bytes]) -> Model:
+    """The model of ``packed`` bytes, which are taken from ``held``: a task needs them once."""
+    return pickle.load(_Unpacking(held.pop()))
+
+
 def _scorer(sent: bytes):
+    held = [sent]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, model = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())])), pickle.loads(zlib.decompress(sent))
+        kind, model = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())])), unpacked(held)
         for part in _slices(batches):
             found = _scores(model, _lists(part.column("hashes")))
             evidence = [[{"doc_id": d, "similarity": s} for d, s in near] for _, near in found]
@@ -400,16 +445,16 @@ def _scorer(sent: bytes):
 
 
 def _filter(sent: bytes):
-    """Whole rows and the hashes of their words as the last column -> the rows that are not predicted toxic; nothing is joined or shuffled."""
+    """The hashes of a text's words -> whether it isn't predicted toxic; the rows themselves stay in the JVM, and nothing is joined or shuffled."""
+    held = [sent]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pickle.loads(zlib.decompress(sent))
-        for part in _slices(batches):
-            last = part.num_columns - 1
-            found = _scores(model, _lists(part.column(last)))
-            yield part.select(range(last)).filter(pa.array([x < THRESHOLD for x, _ in found], pa.bool_()))
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = unpacked(held)
+        for column in columns:
+            kept = [x < THRESHOLD for at in range(0, len(column), SLICE) for x, _ in _scores(model, _lists(column.slice(at, SLICE)))]
+            yield pa.array(kept, pa.bool_())
 
-    return run
+    return F.arrow_udf(run, "boolean")
 
 
 def fit(docs: DataFrame, labels: DataFrame, teach=None) -> tuple[Model, DataFrame]:
@@ -486,10 +531,7 @@ def score(docs: DataFrame, labels: DataFrame, teach=None) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, teach=None) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic; all columns."""
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots don't pass mapInArrow
-    at = docs.columns.index("text")
-    kept = plain.select("*", _hashes(f"c{at}").alias("hashes")).mapInArrow(_filter(packed(fit(docs, labels, teach)[0])), plain.schema)
-    return kept.toDF(*docs.columns)
+    return docs.filter(_filter(packed(fit(docs, labels, teach)[0]))(_hashes("text")))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -161,3 +161,23 @@ def test_scores_of_the_query_from_brute_force(spark, monkeypatch):
         vote = sum((-s) ** T.POWER * toxic[d] for s, d in near) / (sum((-s) ** T.POWER for s, _ in near) + 1)
         assert found[doc]["score"] >= vote - 1e-3
     assert found[600]["score"] == found[601]["score"]
+
+
+def test_a_task_holds_the_model_once():
+    import tracemalloc
+
+    model = T.Model(terms={"a": 0, "ß": 1}, labels=np.random.default_rng(1).random(1 << 20), tiles=[np.eye(3), np.zeros((2, 0))])
+    held = [T.packed(model)]
+    tracemalloc.start()
+    got = T.unpacked(held)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not held and got.terms == model.terms and (got.labels == model.labels).all() and [t.tolist() for t in got.tiles] == [t.tolist() for t in model.tiles]
+    assert peak < 1.5 * model.labels.nbytes
+
+
+def test_the_filter_sends_no_texts_to_python(spark):
+    docs = spark.createDataFrame([(1, "x", "a b"), (2, None, None)], "doc_id long, `a.b` string, text string")
+    kept = docs.filter(T._filter(T.packed(T.Model()))(T._hashes("text")))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert kept.collect() == docs.collect() and "ArrowEvalPython" in plan and "MapInArrow" not in plan

@@ -28,6 +28,9 @@ from postwright.llm.textset import WordHashes, set_digest, shingles
 #: Sets, and shingles of sets, of half a block of an unresolved bucket, about; parts into which a bucket's sets are dealt.
 BLOCK, BLOCK_SHINGLES, SALTS = 512, 400_000, 64
 
+#: Bits of a filter for each value, and of all of it at most (32 MB).
+FILTER_BITS, FILTER_MOST = 16, 1 << 28
+
 _SKETCH = "doc_id long, text_key long, n_shingles long, set_id binary, regs binary, bands array<long>"
 
 
@@ -155,11 +158,28 @@ def _block_links(threshold: float, size: int, percent: int):
     return run
 
 
+def _maybe_in(rows: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``column`` is in ``values``, and a few others: what spares an exact join most of its shuffle, not the join.
+
+    ``values`` is a staged table of one column of that name, without nulls. The
+    filter is a bit a hash, broadcast as rows of 64 longs. It never holds more than
+    FILTER_MOST bits: with more values than these are for, more other rows pass.
+    """
+    bits = min(FILTER_MOST, max(4096, 1 << (FILTER_BITS * values.count() - 1).bit_length()))
+    at = F.pmod(F.xxhash64(column), F.lit(bits))
+    longs = values.select(at.alias("at")).groupBy(F.expr("shiftright(at, 6) AS at")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int))) AS long"))
+    line = longs.groupBy(F.expr("shiftright(at, 6) AS line")).agg(F.expr("map_from_entries(collect_list(struct(at & 63 AS at, long))) AS longs"))
+    line = line.select("line", F.expr("transform(sequence(0L, 63L), x -> coalesce(try_element_at(longs, x), 0L)) AS longs"))
+    there = F.getbit(F.get("longs", F.shiftright(at, 6).bitwiseAND(63).cast("int")), at.bitwiseAND(63).cast("int")) == 1
+    return rows.join(F.broadcast(line), (F.shiftright(at, 12) == F.col("line")) & there, "left_semi")
+
+
 def _texts(set_ids: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """(set_id, text): one text for each of the set ids."""
+    """(set_id, text): one text for each of the set ids. Few other texts are shuffled."""
     keys = sets.select("set_id", "rep").join(set_ids.distinct(), "set_id").select("set_id", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_key").alias("text_key"))
+    keys = stage(keys, "text-keys")
     # null doc_ids join too; rows repeated word for word give one text
-    texts = docs.join(keys, docs.doc_id.eqNullSafe(keys.doc_id) & (docs.text_key == keys.text_key)).select("set_id", "text")
+    texts = _maybe_in(docs, keys.select("text_key"), "text_key").join(keys, docs.doc_id.eqNullSafe(keys.doc_id) & (docs.text_key == keys.text_key)).select("set_id", "text")
     return stage(texts.dropDuplicates(["set_id"]), "texts")
 
 
@@ -197,7 +217,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     full = sketch.filter("set_id IS NOT NULL")
     rep = full.groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"), F.first("bands").alias("bands"))
     sets = stage(rep, "sets")
+    # most keys are of one set: these go before anything but the key is shuffled
+    repeated = stage(sets.select(F.explode("bands").alias("key")).groupBy("key").count().filter("count > 1").select("key"), "repeated")
     keys = sets.select(F.explode("bands").alias("key"), F.pmod(F.xxhash64("set_id"), F.lit(SALTS)).cast("int").alias("salt"), "set_id", "n_shingles")
+    keys = stage(_maybe_in(keys, repeated, "key"), "keys")
     parts = keys.groupBy("key", "salt").agg(F.min("set_id").alias("leader"), F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     whole = parts.groupBy("key").agg(F.min("leader").alias("head"), F.sum("n").alias("size"), F.sum("s").alias("shingles")).filter("size > 1")
     parts = stage(parts.select("key", "salt", "leader").join(whole, "key"), "parts")

@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from postwright.llm import neardup
 from postwright.llm import setsketch as sk
@@ -91,6 +92,32 @@ def test_keep_first_keeps_one_of_each(spark):
     assert ids[15] == 1 and ids[None] == 1
 
 
+def test_texts_and_keys_of_one_set_are_not_shuffled(spark):
+    # long texts without a common word, but for ten pairs: more than the texts themselves was shuffled before
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join(map(str, rng.integers(0, 2**62, 400)))) for k in range(390)]
+    rows += [(1000 + k, rows[k][1] + " more") for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = shuffled()
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, 4).collect()}
+    assert found == {k: k for k in range(390)} | {1000 + k: k for k in range(10)}
+    assert shuffled() - before < 0.4 * sum(len(text) for _, text in rows)
+
+
+@pytest.mark.parametrize("most", [4096, 1 << 28])
+def test_filter_loses_no_value(spark, monkeypatch, most):
+    monkeypatch.setattr(neardup, "FILTER_MOST", most)
+    rows = spark.range(-20000, 20000).select((F.col("id") * 7919 * 2**32).alias("key"), "id")
+    found = {r["id"] for r in neardup._maybe_in(rows, rows.filter("id % 20 = 0").select("key"), "key").collect()}
+    assert found >= set(range(-20000, 20000, 20)) and len(found) < (40000 if most == 4096 else 6000)
+    assert neardup._maybe_in(rows, rows.filter("id > 20000").select("key"), "key").count() == 0
+
+
 def test_repeated_rows_without_words_all_stay(spark):
     docs = spark.createDataFrame([(1, " "), (1, " "), (2, None), (2, None), (3, "a b"), (3, "a b")], "doc_id long, text string")
     assert Counter(r["doc_id"] for r in neardup.keep_first(docs).collect()) == {1: 2, 2: 2, 3: 1}

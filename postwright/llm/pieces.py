@@ -321,7 +321,10 @@ class Transducer:
         ends = np.cumsum(sizes)
         places = np.repeat(self.start[numbers] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
         text = self.text[places].tobytes()
-        return text[1:] if self.dummy_prefix and text.startswith(b" ") else text
+        # only a piece has a dummy prefix: a space of the unknown piece's text or of a byte stays
+        first = numbers[sizes > 0][:1]
+        prefixed = self.dummy_prefix and len(first) and self.kinds[first[0]] in (NORMAL, USER) and text.startswith(b" ")
+        return text[1:] if prefixed else text
 
     def decode(self, ids: bytes) -> str:
         return self.decode_bytes(ids).decode("utf-8", "replace")

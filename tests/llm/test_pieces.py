@@ -47,5 +47,13 @@ def test_decoding_bytes_and_unknown_like_the_library():
         assert fst.decode(np.array(ids, "<u4").tobytes()) == library.decode(ids)
 
 
+def test_decoding_random_ids_like_the_library():
+    library, fst, rng = sentencepiece.SentencePieceProcessor(model_file=PATH), pieces.Transducer(PATH), random.Random(5)
+    first = [fst.unknown, 1, 2, fst.byte[32], fst.byte[65], fst.ids["▁"], 300]
+    for _ in range(2000):
+        ids = [*rng.choices(first, k=rng.randrange(4)), *rng.choices(list(fst.ids.values()), k=rng.randrange(3))]
+        assert fst.decode(np.array(ids, "<u4").tobytes()) == library.decode(ids), ids
+
+
 def test_empty_table(spark):
     assert pieces.encode(no_documents(spark), PATH).count() == 0

@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postwright.sources.shared import shared_dir, stage
 
-__all__ = ["WORD", "held_out", "replace_text", "shared_dir", "stage", "table"]
+__all__ = ["WORD", "forget", "held_out", "replace_text", "shared_dir", "stage", "table", "worker_keeps"]
 
 #: A word: a maximal run of anything but ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
+_KEPT: dict = {}
+
+
+def worker_keeps(key, make):
+    """``make()``, kept by a Python worker for its later tasks; one thing at a time, so that what several operators keep doesn't add up."""
+    if key not in _KEPT:
+        forget()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Drops what the worker keeps: its memory is needed for something else."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()  # parts of it refer to one another
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

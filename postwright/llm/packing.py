@@ -29,6 +29,8 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from postwright.llm.common import worker_keeps
+
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 #: Tokens that one group holds before it is packed, and tokens of a step group.
@@ -107,14 +109,9 @@ class Encoder:
         return [b"".join(map(known, (t or "").encode("utf-8", "surrogatepass").split())) + end for t in texts]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(tokenizer_path: str) -> Encoder:
-    """The worker's encoder; it outlives a task, and so do the words that it knows."""
-    if tokenizer_path not in _ENCODERS:
-        _ENCODERS[tokenizer_path] = Encoder(tokenizer_path)
-    return _ENCODERS[tokenizer_path]
+    """The worker's encoder; it outlives a task, and so do the words that it knows, until another operator needs the memory."""
+    return worker_keeps(("packing", tokenizer_path), lambda: Encoder(tokenizer_path))
 
 
 class Pool:

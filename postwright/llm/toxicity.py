@@ -43,10 +43,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postwright.llm.common import held_out, stage
+from postwright.llm.common import forget, held_out, stage
 
 #: Labelled rows that the classifier is fitted on, at most (by the order of a hash of their ids).
 MAX_LABELLED = 20_000
@@ -444,12 +445,17 @@ def _scorer(sent: bytes):
     return run
 
 
-def _filter(sent: bytes):
-    """The hashes of a text's words -> whether it isn't predicted toxic; the rows themselves stay in the JVM, and nothing is joined or shuffled."""
-    held = [sent]
+def _filter(sent: bytes | Broadcast):
+    """The hashes of a text's words -> whether it isn't predicted toxic; the rows themselves stay in the JVM, and nothing is joined or shuffled.
+
+    ``sent``: a packed model, or the broadcast of one, which a worker reads from its file
+    for all its tasks: no packed copy is held beside it.
+    """
+    held = sent if isinstance(sent, Broadcast) else [sent]
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = unpacked(held)
+        forget()  # what earlier stages keep
+        model = held.value if isinstance(held, Broadcast) else unpacked(held)
         for column in columns:
             kept = [x < THRESHOLD for at in range(0, len(column), SLICE) for x, _ in _scores(model, _lists(column.slice(at, SLICE)))]
             yield pa.array(kept, pa.bool_())
@@ -531,7 +537,7 @@ def score(docs: DataFrame, labels: DataFrame, teach=None) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, teach=None) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic; all columns."""
-    return docs.filter(_filter(packed(fit(docs, labels, teach)[0]))(_hashes("text")))
+    return docs.filter(_filter(docs.sparkSession.sparkContext.broadcast(fit(docs, labels, teach)[0]))(_hashes("text")))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -181,3 +181,36 @@ def test_the_filter_sends_no_texts_to_python(spark):
     kept = docs.filter(T._filter(T.packed(T.Model()))(T._hashes("text")))
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert kept.collect() == docs.collect() and "ArrowEvalPython" in plan and "MapInArrow" not in plan
+
+
+def test_the_filter_gets_the_model_without_a_packed_copy(spark, monkeypatch):
+    rows, labels = corpus(120)
+    docs, marked = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    want = {r["doc_id"] for r in T.score(docs, marked).collect() if r["score"] < T.THRESHOLD}
+
+    def refuse(_):
+        raise AssertionError("a packed copy stays in each worker")
+
+    monkeypatch.setattr(T, "packed", refuse)
+    kept = T.without_toxic(docs, marked)
+    assert 0 < len(want) < len(rows) and {r["doc_id"] for r in kept.collect()} == want
+
+
+def test_the_filter_makes_a_worker_drop_what_it_keeps():
+    import weakref
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    from postwright.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = packing.encoder(path)
+    encoder(["some words"])
+    assert packing.encoder(path) is encoder
+    gone = weakref.ref(encoder)
+    del encoder
+    assert gone() is not None
+    run = T._filter(T.packed(T.Model())).func
+    assert [x.to_pylist() for x in run(iter([pa.array([[1, 2], []], pa.list_(pa.int64()))]))] == [[True, True]]
+    assert gone() is None

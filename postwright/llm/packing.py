@@ -21,11 +21,11 @@ extra columns, of whatever names, are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -36,8 +36,8 @@ END_ID = 1
 #: Tokens that one group holds before it is packed, and tokens of a step group.
 GROUP_TOKENS = 1 << 21
 STEP_TOKENS = 1 << 16
-#: Words whose ids a Python worker remembers in each of two generations, and the longest such word in bytes.
-CACHED_WORDS, CACHED_LENGTH = 100_000, 64
+#: Words and parts of words whose ids a Python worker remembers in each of two generations, and the longest such one.
+CACHED_WORDS, CACHED_PARTS, CACHED_LENGTH = 50_000, 150_000, 64
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_id long"
 
@@ -72,15 +72,19 @@ class Encoder:
     """ids of whole texts as little-endian uint32 bytes.
 
     The vocabulary's pre-tokeniser removes white space and never looks across
-    it, so a text's ids are its words' ids in a row. Words that only hold Latin
-    letters, digits and signs are normalised and split here, as the vocabulary's file
-    says, and their parts are encoded by its model; any other word goes
-    through the whole tokeniser. Words and parts are remembered, within a bound.
+    it, so a text's ids are its words' ids in a row. What only holds Latin
+    letters, digits and signs is normalised and split here, as the vocabulary's file
+    says, whole texts at once, and the parts are encoded by its model; of any other text
+    each word is taken so, or goes through the whole tokeniser. Words and parts are remembered,
+    within a bound.
     """
 
-    #: Signs from ! to ~ and from U+00A1 to U+024F, which are in normal form and lose case one by one.
-    PLAIN = regex.compile("[!-~\u00a1-\u012f\u0131-\u0148\u014a-\u024f]*")
-    PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    #: Signs from ! to ~ and from U+00A1 to U+024F, which are in normal form and lose case one by one; and white space.
+    PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u0148\u014a-\u024f]*")
+    PLAIN_TEXT = re.compile("[ \t-\r!-~\u00a1-\u012f\u0131-\u0148\u014a-\u024f]*")
+    #: Contractions, letters, single digits and signs of such a text in lower case.
+    LETTERS, DIGITS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u02af\u2c65\u2c66", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+    PARTS = re.compile(rf"[{LETTERS}]+|[{DIGITS}]|'(?:s|t|re|ve|m|ll|d)|[^ \t-\r{LETTERS}{DIGITS}]+")
 
     def __init__(self, tokenizer_path: str) -> None:
         from tokenizers import Tokenizer
@@ -88,25 +92,30 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.signs, self.model = _byte_signs(), self.tokenizer.model
-        self.parts, self.words = _Known(self._part, CACHED_WORDS), _Known(self._word, CACHED_WORDS)
+        self.bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.parts, self.words = _Known(self._part, CACHED_PARTS), _Known(self._word, CACHED_WORDS)
 
     def _part(self, part: str) -> bytes:
         found = self.model.tokenize(part if part.isascii() and part.isalpha() else "".join(map(self.signs.__getitem__, part.encode())))
-        return b"".join(t.id.to_bytes(4, "little") for t in found)
+        return b"".join([self.bytes[t.id] for t in found])
+
+    def _split(self, text: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, self.PARTS.findall(text.lower())))
 
     def _word(self, word: bytes) -> bytes:
-        if word.isalpha():  # ASCII letters alone are one part
-            return self.parts[word.lower().decode()]
-        if word[-1:] in (b".", b",") and word[:-1].isalpha():
-            return self.parts[word[:-1].lower().decode()] + self.parts[word[-1:].decode()]
         text = word.decode("utf-8", "replace")
         if self.PLAIN.fullmatch(text) and not any(t in text for t in self.special):
-            return b"".join(map(self.parts.__getitem__, self.PARTS.findall(text.lower())))
-        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
+            return self._split(text)
+        return b"".join([self.bytes[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+
+    def _text(self, text: str) -> bytes:
+        if self.PLAIN_TEXT.fullmatch(text) and not any(t in text for t in self.special):
+            return self._split(text)
+        return b"".join(map(self.words.__getitem__, text.encode("utf-8", "surrogatepass").split()))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        end, known = END_ID.to_bytes(4, "little"), self.words.__getitem__
-        return [b"".join(map(known, (t or "").encode("utf-8", "surrogatepass").split())) + end for t in texts]
+        end = END_ID.to_bytes(4, "little")
+        return [self._text(t or "") + end for t in texts]
 
 
 def encoder(tokenizer_path: str) -> Encoder:

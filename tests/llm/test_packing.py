@@ -22,6 +22,18 @@ def test_encoder_equals_the_library():
     assert packing.Encoder(PATH)(texts) == expected(texts)
 
 
+def test_plain_texts_are_split_at_once():
+    encoder, texts = packing.Encoder(PATH), ["Cook, cook!\tCOOK 12\n(cook) it's", "Küche. KÜCHE"]
+    assert encoder(texts) == expected(texts)
+    assert not encoder.words and set(encoder.parts) == {"cook", ",", "!", "1", "2", "(", ")", "it", "'s", "küche", "."}
+
+
+def test_every_plain_sign_equals_the_library():
+    signs = [chr(i) for i in range(9, 0x250)]
+    texts = [f"a{c}B 1{c}2 {c}{c}' {c}'s '{c}S" for c in signs] + ["".join(signs[i::7]) for i in range(7)]
+    assert packing.Encoder(PATH)(texts) == expected(texts)
+
+
 def test_small_cache_gives_the_same():
     texts = [t for _, t in ROWS]
     encoder = packing.Encoder(PATH)

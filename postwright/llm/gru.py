@@ -18,6 +18,8 @@ HIDDEN, WINDOW = 16, 16
 #: Symbols: the end of a document (also the input before its first word), and any word outside the vocabulary.
 END, OTHER, SPECIAL = 0, 1, 2
 MAX_LANES = 1024
+#: Tokens that are scored together, about; and logits whose exponentials and their sums are surely numbers of single precision lie within FAR of 0.
+SCORED, FAR = 1 << 15, 60.0
 
 
 def shapes(classes: int) -> dict[str, tuple[int, ...]]:
@@ -89,94 +91,113 @@ def lanes(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return source, target, owner
 
 
-def _recur(p: dict, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-    """x: steps x lanes x 3H input sums. Returns all states (the first is ``h``) and what backpropagation needs."""
-    out, kept, k = np.empty((len(x) + 1, *h.shape), np.float32), [], HIDDEN
+def _inputs(p: dict, x: np.ndarray) -> np.ndarray:
+    """Embeddings (steps x lanes x H) -> their input sums, steps x 3H x lanes: what is done to all lanes lies side by side."""
+    return np.matmul(p["w"].T, x.transpose(0, 2, 1)) + p["b"][:, None]
+
+
+def _recur(p: dict, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, tuple | None]:
+    """x: steps x 3H x lanes input sums. Returns all states (the first is ``h``) and what backpropagation needs: r and z, what r lets through, c."""
+    k, steps, n = HIDDEN, len(x), x.shape[2]
+    out, held = np.empty((steps + 1, k, n), np.float32), steps if keep else 1
     out[0] = h
-    for t in range(len(x)):
-        old = out[t] * fresh[t][:, None]
-        sums = old @ p["u"]
-        gates = sums[:, : 2 * k] + x[t, :, : 2 * k]
-        gates *= -1
+    # gates are 1 / (1 + exp(-sum)): their sums come with the sign changed
+    u, to_gates = p["u"].T.copy(), -x[:, : 2 * k]
+    u[: 2 * k] *= -1
+    kept = np.empty((held, 2 * k, n), np.float32), np.empty((held, k, n), np.float32), np.empty((held, k, n), np.float32)
+    for t in range(steps):
+        gates, inner, c = (a[t if keep else 0] for a in kept)
+        old = out[t] * fresh[t]
+        sums = u @ old
+        np.add(sums[: 2 * k], to_gates[t], out=gates, casting="same_kind")
         np.exp(gates, out=gates)
         gates += 1
         np.reciprocal(gates, out=gates)
-        r, z, inner = gates[:, :k], gates[:, k:], sums[:, 2 * k :]
-        c = r * inner
-        c += x[t, :, 2 * k :]
+        inner[:] = sums[2 * k :]
+        np.multiply(gates[:k], inner, out=c)
+        c += x[t, 2 * k :]
         np.tanh(c, out=c)
         np.subtract(old, c, out=out[t + 1])
-        out[t + 1] *= z
+        out[t + 1] *= gates[k:]
         out[t + 1] += c
-        if keep:
-            kept.append((old, r, z, inner, c))
-    return out, kept
+    return out, kept if keep else None
 
 
-def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, target: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log-probabilities of the targets, and the gradient of their negative sum by the logits."""
-    x = h @ w
-    x += b
-    x -= x.max(axis=1, keepdims=True)
+def _softmax(x: np.ndarray, target: np.ndarray, far: bool, learn: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Logits, which are overwritten -> log-probabilities of the targets, and the gradient of their negative sum by the logits. ``far``: they may have exponentials beyond their type."""
+    if far:
+        x -= x.max(axis=1, keepdims=True)
     rows = np.arange(len(target))
     own = x[rows, target]
     np.exp(x, out=x)
-    total = x.sum(axis=1)
+    total = x @ np.ones(x.shape[1], x.dtype)
     logs = own - np.log(total)
     if not learn:
         return logs, None
-    x *= (1 / total)[:, None]
+    x *= np.reciprocal(total)[:, None]
     x[rows, target] -= 1
     return logs, x
 
 
+def _weights(w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Weights with their biases as a last row, and whether logits may be far from 0: states lie between -1 and 1."""
+    whole = np.concatenate([w, b[..., None, :]], axis=-2)
+    return whole, bool(np.abs(whole).sum(axis=-2).max() > FAR)
+
+
 def _output(p: dict, h: np.ndarray, target: np.ndarray, learn: bool) -> tuple[np.ndarray, dict | None, np.ndarray | None]:
     """States and targets -> natural log-probabilities, and the gradients of their negative sum."""
-    size = p["word_b"].shape[1]
+    size, k = p["word_b"].shape[1], HIDDEN
     cls = np.where(target < SPECIAL, 0, (target - SPECIAL) // size + 1)
     # targets class by class: each class is a slice
     order = np.argsort(cls.astype(np.int16 if size < 1 << 15 else np.int64), kind="stable")
-    h, target, cls = h[order], target[order], cls[order]
+    target, cls = target[order], cls[order]
+    h = np.concatenate([h[order], np.ones((len(order), 1), h.dtype)], axis=1)
     edges = np.searchsorted(cls, np.arange(len(p["class_b"]) + 1)).tolist()
-    total, d = _softmax(h, p["class_w"], p["class_b"], cls, learn)
-    grads = dh = None
-    if learn:
-        grads = {"class_w": h.T @ d, "class_b": d.sum(0), "special_w": np.zeros_like(p["special_w"]), "special_b": np.zeros_like(p["special_b"]), "word_w": np.zeros_like(p["word_w"]), "word_b": np.zeros_like(p["word_b"])}
-        dh = d @ p["class_w"].T
-    for c in range(len(edges) - 1):
-        part = slice(edges[c], edges[c + 1])
-        if part.start == part.stop:
-            continue
-        if c:
-            w, b, word = p["word_w"][c - 1], p["word_b"][c - 1], target[part] - SPECIAL - (c - 1) * size
-        else:
-            w, b, word = p["special_w"], p["special_b"], target[part]
-        logs, d = _softmax(h[part], w, b, word, learn)
-        total[part] += logs
-        if learn:
-            gw, gb = (grads["word_w"][c - 1], grads["word_b"][c - 1]) if c else (grads["special_w"], grads["special_b"])
-            gw[:], gb[:] = h[part].T @ d, d.sum(0)
-            dh[part] += d @ w.T
-    logs, back = np.empty_like(total), None
-    logs[order] = total
+    within = np.where(target < SPECIAL, target, (target - SPECIAL) % size)
+    of_class, far = _weights(p["class_w"], p["class_b"])
+    special, special_far = _weights(p["special_w"], p["special_b"])
+    of_word, word_far = _weights(p["word_w"], p["word_b"])
+    total, d = _softmax(h @ of_class, cls, far, learn)
+    # each class's logits in its rows; the special class has fewer
+    x = np.empty((len(target), size), np.result_type(h, of_word))
+    slices = [(c, slice(a, b)) for c, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if c and a < b]
+    rest = edges[1]
+    for c, part in slices:
+        np.matmul(h[part], of_word[c - 1], out=x[part])
+    logs, d_word = _softmax(x[rest:], within[rest:], word_far, learn)
+    total[rest:] += logs
+    logs, d_special = _softmax(h[:rest] @ special, within[:rest], special_far, learn)
+    total[:rest] += logs
+    grads = back = None
     if learn:
+        g_word, dh = np.zeros_like(of_word), d @ p["class_w"].T
+        dh[:rest] += d_special @ p["special_w"].T
+        for c, part in slices:
+            np.matmul(h[part].T, x[part], out=g_word[c - 1])
+            dh[part] += x[part] @ of_word[c - 1, :k].T
+        parts = (("class", h.T @ d), ("special", h[:rest].T @ d_special), ("word", g_word))
+        grads = {f"{name}_{kind}": np.ascontiguousarray(g[..., :k, :] if kind == "w" else g[..., k, :]) for name, g in parts for kind in "wb"}
         back = np.empty_like(dh)
         back[order] = dh
-    return logs, grads, back
+    ordered = np.empty_like(total)
+    ordered[order] = total
+    return ordered, grads, back
 
 
 def log_likelihoods(p: dict, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log-likelihood of each document (symbols with their END), state carried across windows."""
     source, target, owner = lanes(docs)
-    table = p["embed"] @ p["w"] + p["b"]
-    sums, h = np.zeros(len(docs)), np.zeros((source.shape[1], HIDDEN), np.float32)
+    sums, h = np.zeros(len(docs)), np.zeros((HIDDEN, source.shape[1]), np.float32)
     first = np.ones(target.shape, bool)
     first[1:] = owner[1:] != owner[:-1]
-    for at in range(0, len(source), WINDOW):
-        part = slice(at, at + WINDOW)
-        states, _ = _recur(p, table[source[part]], (~first[part]).astype(np.float32), h, False)
+    # words of several windows are looked at together
+    step = WINDOW * max(1, SCORED // (WINDOW * source.shape[1]))
+    for at in range(0, len(source), step):
+        part = slice(at, at + step)
+        states, _ = _recur(p, _inputs(p, p["embed"][source[part]]), (~first[part]).astype(np.float32), h, False)
         h, real = states[-1], target[part] >= 0
-        logs, _, _ = _output(p, states[1:][real], target[part][real], False)
+        logs, _, _ = _output(p, states[1:].transpose(0, 2, 1)[real], target[part][real], False)
         sums += np.bincount(owner[part][real], weights=logs, minlength=len(docs))
     return sums
 
@@ -193,36 +214,38 @@ class Trainer:
         source, target, owner = lanes(docs)
         first = np.ones(target.shape, bool)
         first[1:] = owner[1:] != owner[:-1]
-        h = np.zeros((source.shape[1], k), np.float32)
+        h = np.zeros((k, source.shape[1]), np.float32)
         for at in range(0, len(source), WINDOW):
             part = slice(at, at + WINDOW)
             ids, real, fresh = source[part], target[part] >= 0, (~first[part]).astype(np.float32)
             x = p["embed"][ids]
-            states, kept = _recur(p, x @ p["w"] + p["b"], fresh, h, True)
-            _, grads, dh = _output(p, states[1:][real], target[part][real], True)
-            flow = np.zeros_like(states[1:])
+            states, (gates, inner, c) = _recur(p, _inputs(p, x), fresh, h, True)
+            _, grads, dh = _output(p, states[1:].transpose(0, 2, 1)[real], target[part][real], True)
+            flow = np.zeros((*ids.shape, k), np.float32)
             flow[real] = dh
-            dx, du, back = np.empty((*ids.shape, 3 * k), np.float32), np.zeros_like(p["u"]), np.zeros_like(h)
-            down = p["u"].T.copy()
+            flow = flow.transpose(0, 2, 1).copy()
+            # all that doesn't depend on later steps, of all steps at once
+            old, r, z = states[:-1] * fresh[:, None, :], gates[:, :k], gates[:, k:]
+            stays = 1 - z
+            to_c = (1 - c * c) * stays
+            to_r, to_z, on = inner * r * (1 - r), (old - c) * z * stays, z * fresh[:, None, :]
+            through, inside, back = np.empty((len(ids), 3 * k, ids.shape[1]), np.float32), np.empty_like(c), None
             for t in range(len(ids) - 1, -1, -1):
-                old, r, z, inner, c = kept[t]
-                g, own = flow[t], dx[t]
-                g += back
-                dc = g * (1 - z)
-                dc *= 1 - c * c
-                through = np.empty_like(own)  # what goes back into the last state
-                np.multiply(dc * inner, r * (1 - r), out=through[:, :k])
-                np.multiply(g * (old - c), z * (1 - z), out=through[:, k : 2 * k])
-                np.multiply(dc, r, out=through[:, 2 * k :])
-                du += old.T @ through
-                back = through @ down
-                g *= z
-                back += g
-                back *= fresh[t][:, None]
-                own[:, : 2 * k], own[:, 2 * k :] = through[:, : 2 * k], dc
-            flat, xs = dx.reshape(-1, 3 * k), x.reshape(-1, k)
+                g, own, dc = flow[t], through[t], inside[t]  # own: what goes back into the last state
+                if back is not None:
+                    g += back
+                np.multiply(g, to_c[t], out=dc)
+                np.multiply(dc, to_r[t], out=own[:k])
+                np.multiply(g, to_z[t], out=own[k : 2 * k])
+                np.multiply(dc, r[t], out=own[2 * k :])
+                back = p["u"] @ own
+                back *= fresh[t]
+                back += g * on[t]
+            du = np.matmul(old, through.transpose(0, 2, 1)).sum(0)
+            through[:, 2 * k :] = inside
+            flat, xs = through.transpose(0, 2, 1).reshape(-1, 3 * k), x.reshape(-1, k)
             seen, place = np.unique(ids.ravel(), return_inverse=True)
-            order = np.argsort(place, kind="stable")
+            order = np.argsort(place.astype(np.int16 if len(seen) < 1 << 15 else np.int64), kind="stable")
             embed = np.zeros_like(p["embed"])
             embed[seen] = np.add.reduceat((flat @ p["w"].T)[order], np.searchsorted(place[order], np.arange(len(seen))), axis=0)
             grads |= {"u": du, "w": xs.T @ flat, "b": flat.sum(0), "embed": embed}
@@ -233,7 +256,16 @@ class Trainer:
         self.t += 1
         scale = self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
         for k, g in grads.items():
-            g = g / np.float32(n)
-            self.m[k] += np.float32(0.1) * (g - self.m[k])
-            self.v[k] += np.float32(0.01) * (g * g - self.v[k])
-            self.p[k] -= np.float32(scale) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-7))
+            g *= np.float32(1 / n)
+            m, v = self.m[k], self.v[k]
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            g *= g
+            v *= np.float32(0.99)
+            g *= np.float32(0.01)
+            v += g
+            np.sqrt(v, out=g)
+            g += np.float32(1e-7)
+            np.divide(m, g, out=g)
+            g *= np.float32(scale)
+            self.p[k] -= g

@@ -113,3 +113,26 @@ def test_gradients():
             q[name][at] += sign * 1e-2
             caught[sign] = -gru.log_likelihoods(q, docs)[0]
         assert abs((caught[1] - caught[-1]) / 2e-2 - caught[name][at]) < 2e-2 * max(1, abs(caught[name][at]))
+
+
+def test_logits_of_all_classes_are_normalised_together(monkeypatch):
+    calls, softmax = [], gru._softmax
+    monkeypatch.setattr(gru, "_softmax", lambda *a: calls.append(1) or softmax(*a))
+    p, rng = gru.start(np.ones(gru.vocabulary(32)), 32), np.random.default_rng(5)
+    gru.Trainer(p, 0.01).learn([rng.integers(0, gru.vocabulary(32), gru.WINDOW).astype(np.int32)])
+    assert len(calls) == 3  # the classes, their words, and the special symbols
+
+
+def test_large_logits_and_missing_symbols():
+    p, rng = gru.start(np.ones(gru.vocabulary(32)), 32), np.random.default_rng(6)
+    h = rng.uniform(-1, 1, (40, gru.HIDDEN)).astype(np.float32)
+    for scale in (1, 300):
+        q = {k: (v * scale).astype(np.float32) if k in ("class_w", "word_w", "word_b", "special_b") else v for k, v in p.items()}
+        for target in (rng.integers(0, gru.vocabulary(32), 40), np.arange(40) % 2, np.arange(2, 42)):
+            got, grads, back = gru._output(q, h, target, True)
+            for i, t in enumerate(target):
+                c, w = (0, t) if t < gru.SPECIAL else (1 + (t - gru.SPECIAL) // 32, (t - gru.SPECIAL) % 32)
+                logits = [h[i] @ q["class_w"] + q["class_b"], h[i] @ q["word_w"][c - 1] + q["word_b"][c - 1] if c else h[i] @ q["special_w"] + q["special_b"]]
+                want = sum(float(x[j] - x.max() - np.log(np.exp(x.astype(float) - x.max()).sum())) for x, j in zip(logits, (c, w), strict=True))
+                assert abs(got[i] - want) <= 1e-4 * max(1, abs(want))
+            assert np.isfinite(back).all() and all(np.isfinite(g).all() and g.shape == q[k].shape for k, g in grads.items())
